@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -19,13 +19,17 @@ def _three_way(text: Column, yes: str, no: str) -> Column:
     return F.when(text.rlike(yes), F.lit(True)).when(text.rlike(no), F.lit(False))
 
 
-def price_context(text: Column) -> Column:
-    """Struct of the stated context; NULL when the text carries no price."""
-    body = F.coalesce(text, F.lit(""))
+def with_price_context(texts: DataFrame, column: str, name: str = "price") -> DataFrame:
+    """Add the stated price context as a struct; NULL when there is no price.
+
+    Built in steps so that each pattern runs once per row, and only on rows that
+    carry an amount.
+    """
+    body = F.coalesce(F.col(column), F.lit(""))
     amounts = F.array_sort(F.array_distinct(F.concat(
         _amounts(body, fv.AMOUNT_PATTERN), _amounts(body, fv.AMOUNT_PREFIX_PATTERN))))
     basis = F.coalesce(
-        *[F.when(body.rlike(p), F.lit(name)) for name, p in fv.BASIS_PATTERNS],
+        *[F.when(body.rlike(p), F.lit(label)) for label, p in fv.BASIS_PATTERNS],
         F.when(body.rlike(fv.TOTAL_WORDS_PATTERN), F.lit("TOTAL")), F.lit("UNKNOWN"))
     vat = (F.when(body.rlike(fv.VAT_INCLUDED_PATTERN), "INCLUDED")
            .when(body.rlike(fv.VAT_EXCLUDED_PATTERN), "EXCLUDED").otherwise("UNKNOWN"))
@@ -35,21 +39,29 @@ def price_context(text: Column) -> Column:
     sizes = F.array_sort(F.array_distinct(F.filter(
         F.transform(sizes, lambda s: F.regexp_replace(s, ",", ".").try_cast("double")),
         lambda s: s.isNotNull())))
+    priced = F.size("_amounts") > 0
+    read = texts.withColumn("_amounts", F.when(body.rlike("[0-9]"), amounts)).withColumns({
+        "_basis": F.when(priced, basis),
+        "_vat": F.when(priced, vat),
+        "_sizes": F.when(priced, sizes),
+        "_battery": F.when(priced, _three_way(
+            body, fv.BATTERY_IN_PATTERN, fv.BATTERY_OUT_PATTERN)),
+        "_installed": F.when(priced, _three_way(
+            body, fv.INSTALLATION_IN_PATTERN, fv.INSTALLATION_OUT_PATTERN)),
+    })
     context = F.struct(
-        amounts.alias("amounts"),
+        F.col("_amounts").alias("amounts"),
         F.when(body.rlike(r"(?i)€|eur"), F.lit("EUR")).alias("currency"),
-        basis.alias("basis"),
-        vat.alias("vat_status"),
-        sizes.alias("system_size_kwp"),
-        _three_way(body, fv.BATTERY_IN_PATTERN, fv.BATTERY_OUT_PATTERN)
-        .alias("battery_included"),
-        _three_way(body, fv.INSTALLATION_IN_PATTERN, fv.INSTALLATION_OUT_PATTERN)
-        .alias("installation_included"),
-        (F.size(amounts) > 1).alias("is_range"),
-        (basis != "UNKNOWN").alias("usable"),
+        F.col("_basis").alias("basis"),
+        F.col("_vat").alias("vat_status"),
+        F.col("_sizes").alias("system_size_kwp"),
+        F.col("_battery").alias("battery_included"),
+        F.col("_installed").alias("installation_included"),
+        (F.size("_amounts") > 1).alias("is_range"),
+        (F.col("_basis") != "UNKNOWN").alias("usable"),
     )
-    # The cheap digit test keeps the pattern battery off texts that cannot match.
-    return F.when(body.rlike("[0-9]"), F.when(F.size(amounts) > 0, context))
+    return read.withColumn(name, F.when(priced, context)).drop(
+        "_amounts", "_basis", "_vat", "_sizes", "_battery", "_installed")
 
 
 def _plain_number(value: Column) -> Column:

@@ -15,7 +15,7 @@ COMPARABLE = ["basis", "vat_status", "currency", "battery_included",
 
 def price_contexts(texts: DataFrame, column: str) -> DataFrame:
     """Add ``price``: the stated context, NULL when the text carries no price."""
-    return texts.withColumn("price", prices.price_context(F.col(column)))
+    return prices.with_price_context(texts, column)
 
 
 def observed_range(contexts: DataFrame, minimum: int = 2) -> DataFrame:
