@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
+from probatio.functions import text
 
 
 def _amounts(text: Column, pattern: str) -> Column:
@@ -40,15 +41,17 @@ def with_price_context(texts: DataFrame, column: str, name: str = "price") -> Da
         F.transform(sizes, lambda s: F.regexp_replace(s, ",", ".").try_cast("double")),
         lambda s: s.isNotNull())))
     priced = F.size("_amounts") > 0
-    read = texts.withColumn("_amounts", F.when(body.rlike("[0-9]"), amounts)).withColumns({
-        "_basis": F.when(priced, basis),
-        "_vat": F.when(priced, vat),
-        "_sizes": F.when(priced, sizes),
-        "_battery": F.when(priced, _three_way(
+    found = text.once(texts, _amounts=F.when(body.rlike("[0-9]"), amounts))
+    read = text.once(
+        found,
+        _basis=F.when(priced, basis),
+        _vat=F.when(priced, vat),
+        _sizes=F.when(priced, sizes),
+        _battery=F.when(priced, _three_way(
             body, fv.BATTERY_IN_PATTERN, fv.BATTERY_OUT_PATTERN)),
-        "_installed": F.when(priced, _three_way(
+        _installed=F.when(priced, _three_way(
             body, fv.INSTALLATION_IN_PATTERN, fv.INSTALLATION_OUT_PATTERN)),
-    })
+    )
     context = F.struct(
         F.col("_amounts").alias("amounts"),
         F.when(body.rlike(r"(?i)€|eur"), F.lit("EUR")).alias("currency"),

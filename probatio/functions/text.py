@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -80,6 +80,18 @@ def normalise(text: Column) -> Column:
     return squeeze(fold(text))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns so that each is computed once per row.
+
+    A plain ``withColumn`` is not enough: a later filter on a derived column is
+    pushed down through the projection with the whole expression copied into it,
+    once per use.  A generator over a one-row array is a boundary no expression is
+    copied through, and it stays inside whole-stage codegen.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def string_array(values: Iterable[str]) -> Column:
     items = [F.lit(v) for v in values]
     return F.array(*items) if items else F.array().cast("array<string>")

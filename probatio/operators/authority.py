@@ -33,7 +33,7 @@ def lookup(sources: DataFrame, profile: Profile) -> DataFrame:
         F.col("region").alias("authority_region"),
         F.col("claim_categories").alias("authority_categories"),
         F.col("priority").alias("authority_priority"))
-    return sources.withColumn("authority_domain", F.get(found, F.lit(0))).join(
+    return text.once(sources, authority_domain=F.get(found, F.lit(0))).join(
         entries, "authority_domain", "left")
 
 
@@ -82,8 +82,7 @@ def _with_region_and_freshness(pages: DataFrame, profile: Profile,
     """An authority's own region is definitive; the page text decides otherwise."""
     own = F.coalesce(F.col("authority_region"), F.lit("UNKNOWN"))
     page = F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))
-    read = pages.withColumn("_page", page).withColumn(
-        "_norm", text.normalise(F.col("_page")))
+    read = text.once(text.once(pages, _page=page), _norm=text.normalise(F.col("_page")))
     return classify.with_freshness(read, "_page", "_norm", as_of_year).withColumn(
         "region", F.when(own != "UNKNOWN", own).otherwise(
             classify.region(F.col("_norm"), profile))).drop("_page", "_norm")

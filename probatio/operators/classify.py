@@ -77,9 +77,10 @@ def call_to_action(intent_: Column, profile: Profile) -> Column:
 
 def classify_queries(queries: DataFrame, profile: Profile) -> DataFrame:
     return (
-        queries.withColumn("_norm", text.normalise(F.col("query")))
-        .withColumn("_plain", without_market(F.col("_norm"), profile))
-        .withColumn("intent", intent(F.col("_plain"), profile))
+        text.once(text.once(
+            text.once(queries, _norm=text.normalise(F.col("query"))),
+            _plain=without_market(F.col("_norm"), profile)),
+            intent=intent(F.col("_plain"), profile))
         .withColumn("content_type", content_type(F.col("_norm"), F.col("intent"), profile))
         .withColumn("cta", call_to_action(F.col("intent"), profile))
         .drop("_norm", "_plain")
@@ -229,15 +230,16 @@ def with_freshness(pages: DataFrame, body: str, normal: str, as_of_year: int) ->
         found = F.trim(F.regexp_extract(value, pattern, 1))
         return F.when(found != "", found)
 
-    read = pages.withColumns({
-        "_historical": text.first_contained(plain, fv.HISTORICAL_MARKERS),
-        "_current": text.first_contained(plain, fv.CURRENT_MARKERS),
-        # Each stated date carries a digit, so digit-free pages skip the patterns.
-        "_updated": F.when(value.rlike("[0-9]"), stated(fv.UPDATED_PATTERN)),
-        "effective_from": F.when(value.rlike("[0-9]"), stated(fv.EFFECTIVE_FROM_PATTERN)),
-        "effective_until": F.when(value.rlike("[0-9]"),
-                                  stated(fv.EFFECTIVE_UNTIL_PATTERN)),
-    })
+    # Each stated date carries a digit, so digit-free pages skip the patterns.
+    dates = value.rlike("[0-9]")
+    read = text.once(
+        pages,
+        _historical=text.first_contained(plain, fv.HISTORICAL_MARKERS),
+        _current=text.first_contained(plain, fv.CURRENT_MARKERS),
+        _updated=F.when(dates, stated(fv.UPDATED_PATTERN)),
+        effective_from=F.when(dates, stated(fv.EFFECTIVE_FROM_PATTERN)),
+        effective_until=F.when(dates, stated(fv.EFFECTIVE_UNTIL_PATTERN)),
+    )
     historical, current = F.col("_historical"), F.col("_current")
     updated, since = F.col("_updated"), F.col("effective_from")
     until = F.col("effective_until")
@@ -299,6 +301,13 @@ def category(claim: Column, normal: Column, profile: Profile) -> Column:
     return F.coalesce(*tests, F.lit("GENERAL"))
 
 
+def with_category(rows: DataFrame, column: str, profile: Profile) -> DataFrame:
+    """Add ``category`` of a text column, its normalised form computed once."""
+    read = text.once(rows, _norm=text.normalise(F.coalesce(F.col(column), F.lit(""))))
+    return text.once(read, category=category(
+        F.col(column), F.col("_norm"), profile)).drop("_norm")
+
+
 def claim_requirements(claims: DataFrame, profile: Profile) -> DataFrame:
     """Attach the bar each claim must clear; ``category`` must be present.
 

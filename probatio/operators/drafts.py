@@ -25,10 +25,9 @@ def prepare(drafts: DataFrame) -> DataFrame:
     trimmed = drafts.withColumns({
         name: text.strip(F.coalesce(name, F.lit("")))
         for name in ("title", "body", "meta_title", "meta_description")})
-    return trimmed.withColumns({
-        "norm_body": text.normalise(F.col("body")),
-        "n_words": text.word_count(text.squeeze(F.col("body"))),
-    })
+    return text.once(
+        trimmed, norm_body=text.normalise(F.col("body")),
+        n_words=text.word_count(text.squeeze(F.col("body"))))
 
 
 def _finding(test: Column, code: str, message, blocking, detail=None) -> Column:

@@ -69,23 +69,25 @@ def gate_sources(sources: DataFrame, profiles: DataFrame) -> DataFrame:
     :func:`query_profile`, one row per package.
     """
     wanted = profiles.select("package_id", "topic_tokens", "modifier_tokens")
-    hits = (
-        sources.join(wanted, "package_id", "left")
-        .withColumn("_title", text.gate_tokens(F.col("title")))
-        .withColumn("_body", text.gate_tokens(F.col("body")))
-        .withColumn("_domain", text.gate_tokens(_host_words(F.col("url"))))
-        .withColumn("_all", F.array_union("_title", "_body"))
-        .withColumn("topic_matched", F.array_sort(F.array_intersect(
-            "topic_tokens", F.array_union("_all", "_domain"))))
-        .withColumn("modifier_matched", F.array_sort(F.array_intersect(
-            "modifier_tokens", "_all")))
-        .withColumn("_score", _score(
-            F.size("topic_tokens"), F.size("modifier_tokens"),
-            F.size(F.array_intersect("topic_tokens", "_title")),
-            F.size(F.array_intersect("topic_tokens", "_body")),
-            F.size(F.array_intersect("topic_tokens", "_domain")),
-            F.size("modifier_matched")))
-    )
+    # Tokens are read before the join, so the wide text columns of a source that
+    # needs no text downstream can be dropped on the scan side.
+    tokenised = text.once(
+        sources,
+        _title=text.gate_tokens(F.col("title")), _body=text.gate_tokens(F.col("body")),
+        _domain=text.gate_tokens(_host_words(F.col("url"))))
+    joined = tokenised.join(wanted, "package_id", "left").withColumn(
+        "_all", F.array_union("_title", "_body"))
+    matched = text.once(
+        joined,
+        topic_matched=F.array_sort(F.array_intersect(
+            "topic_tokens", F.array_union("_all", "_domain"))),
+        modifier_matched=F.array_sort(F.array_intersect("modifier_tokens", "_all")))
+    hits = text.once(matched, _score=_score(
+        F.size("topic_tokens"), F.size("modifier_tokens"),
+        F.size(F.array_intersect("topic_tokens", "_title")),
+        F.size(F.array_intersect("topic_tokens", "_body")),
+        F.size(F.array_intersect("topic_tokens", "_domain")),
+        F.size("modifier_matched")))
     no_topic = F.coalesce(F.size("topic_tokens"), F.lit(0)) == 0
     unmatched = F.size("topic_matched") == 0
     labelled = hits.withColumn(

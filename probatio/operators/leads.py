@@ -29,8 +29,7 @@ def qualification(raw: Column, site: Site) -> Column:
         key, kind = field.get("key"), field.get("type", "text")
         if not key or kind == "consent":
             continue
-        answer = F.get(F.map_values(F.map_filter(
-            bounded, lambda k, _, name=key: k == name)), F.lit(0))
+        answer = F.try_element_at(bounded, F.lit(key))
         entries.append(F.when(_answer(answer, kind, field).isNotNull(), F.struct(
             F.lit(key).alias("key"), _answer(answer, kind, field).alias("value"))))
     if not entries:
@@ -82,9 +81,7 @@ def validate(submissions: DataFrame, site: Site) -> DataFrame:
         if not field.get("required") or not key or key == "email" \
                 or field.get("type") == "consent":
             continue
-        absent = F.get(F.map_values(F.map_filter(
-            F.col("qualification"), lambda k, _, name=key: k == name)),
-            F.lit(0)).isNull()
+        absent = F.try_element_at("qualification", F.lit(key)).isNull()
         if key in submissions.columns:
             absent = absent & (F.coalesce(F.col(key), F.lit("")) == "")
         missing.append(F.when(absent, F.lit(key)))
@@ -112,8 +109,7 @@ def validate(submissions: DataFrame, site: Site) -> DataFrame:
                 F.lit(site.default_language)),
             "postcode": contacts.postcode(F.coalesce(
                 F.when(F.col("postcode") != "", F.col("postcode")),
-                F.get(F.map_values(F.map_filter(
-                    F.col("qualification"), lambda k, _: k == "postcode")), F.lit(0)))),
+                F.try_element_at("qualification", F.lit("postcode")))),
             "state": F.when(F.col("rejection_reason").isNull(), "PENDING_EXPORT"),
             "consent_version": F.lit(site.consent_version),
         }).drop("_lacking", "raw_email")

@@ -45,22 +45,23 @@ def concepts(texts: DataFrame, column: str, profile: Profile,
     phrases = [F.when(norm.rlike(text.whole_word_pattern([p])), F.lit(p))
                for p in profile.phrases]
     any_phrase = text.whole_word_pattern(profile.phrases)
-    read = (
-        texts.withColumn("norm", text.normalise(F.coalesce(F.col(column), F.lit(""))))
-        .withColumn("_terms", text.token_set(norm, fv.MATCH_STOPWORDS))
-        .withColumn("topic_terms", F.array_sort(F.array_except("_terms", generic)))
-        .withColumn("generic_terms", F.array_sort(F.array_intersect("_terms", generic)))
-        .withColumn("category", classify.category(F.col(column), norm, profile))
-        .withColumn("numerics", numerics.quantities(F.col(column)) if with_numerics
-                    else F.array().cast(numerics.NUMERIC_TYPE))
-    )
+    read = text.once(texts, norm=text.normalise(F.coalesce(F.col(column), F.lit(""))))
+    read = text.once(
+        read, _terms=text.token_set(norm, fv.MATCH_STOPWORDS),
+        category=classify.category(F.col(column), norm, profile))
+    read = text.once(
+        read, topic_terms=F.array_sort(F.array_except("_terms", generic)),
+        generic_terms=F.array_sort(F.array_intersect("_terms", generic))
+    ).withColumn("numerics", numerics.quantities(F.col(column)) if with_numerics
+                 else F.array().cast(numerics.NUMERIC_TYPE))
     if "region" not in texts.columns:
-        read = read.withColumn("region", classify.region(norm, profile))
+        read = text.once(read, region=classify.region(norm, profile))
     if any_phrase:
         # Longest-first alternation: the earliest phrase, the longest at a tie.
         found = F.regexp_extract(norm, any_phrase, 0)
-        read = read.withColumn("_phrase", F.when(found != "", found)).withColumn(
-            "phrases", F.when(F.col("_phrase").isNull(), text.string_array([]))
+        read = text.once(
+            text.once(read, _phrase=F.when(norm.rlike(any_phrase), found)),
+            phrases=F.when(F.col("_phrase").isNull(), text.string_array([]))
             .otherwise(F.array_compact(F.array(*phrases))))
     else:
         read = read.withColumn("_phrase", F.lit(None).cast("string")).withColumn(
@@ -184,20 +185,19 @@ def match_pairs(pairs: DataFrame, claims: DataFrame, passages: DataFrame,
 
 def _staged(joined: DataFrame, profile: Profile) -> DataFrame:
     n_terms = F.size("c_topic_terms")
-    measured = (
-        joined
-        .withColumn("_shared", F.size(F.array_intersect("c_topic_terms", "p_topic_terms")))
-        .withColumn("_coverage", F.when(n_terms > 0, F.col("_shared") / n_terms)
-                    .otherwise(0.0))
-        .withColumn("_head", F.coalesce(
-            F.col("p_marked").contains(F.col("c_head_marked")), F.lit(False))
-            | (F.col("c_head_phrase").isNotNull()
-               & F.arrays_overlap("c_phrases", "p_phrases")))
-        .withColumn("_rest", F.array_except("c_topic_terms", "c_head_terms"))
-        .withColumn("_rest_share", F.when(F.size("_rest") > 0, F.size(
+    counted = text.once(
+        joined,
+        _shared=F.size(F.array_intersect("c_topic_terms", "p_topic_terms")),
+        _head=F.coalesce(F.col("p_marked").contains(F.col("c_head_marked")), F.lit(False))
+        | (F.col("c_head_phrase").isNotNull()
+           & F.arrays_overlap("c_phrases", "p_phrases")),
+        _rest=F.array_except("c_topic_terms", "c_head_terms"),
+        _kinds=F.array_intersect("c_kinds", "p_kinds"))
+    measured = text.once(
+        counted,
+        _coverage=F.when(n_terms > 0, F.col("_shared") / n_terms).otherwise(0.0),
+        _rest_share=F.when(F.size("_rest") > 0, F.size(
             F.array_intersect("_rest", "p_topic_terms")) / F.size("_rest")))
-        .withColumn("_kinds", F.array_intersect("c_kinds", "p_kinds"))
-    )
     shared, coverage, head = F.col("_shared"), F.col("_coverage"), F.col("_head")
     absent = F.when(F.col("c_head_phrase").isNotNull(), F.array(
         F.lit("HEAD_CONCEPT_ABSENT"))).otherwise(text.string_array([]))
@@ -244,7 +244,7 @@ def _staged(joined: DataFrame, profile: Profile) -> DataFrame:
     matched = F.when(head, "MATCHED_HEAD_CONCEPT").otherwise("MATCHED_TOPIC_TERMS")
     allowed = F.col("_refusal").isNull()
     return (
-        measured.withColumn("_refusal", refusal)
+        text.once(measured, _refusal=refusal)
         .withColumn("score", score)
         .withColumn("_figure", F.when(allowed, figure))
         .withColumn("supports", F.coalesce(

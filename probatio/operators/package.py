@@ -43,8 +43,9 @@ def facts_second_version(facts: DataFrame, profile: Profile) -> DataFrame:
     ``facts``: claim, observability, relevance_status (of the claim),
     source_quality.
     """
-    read = facts.withColumn("_norm", text.normalise(F.col("claim"))).withColumn(
-        "claim_risk", classify.simple_risk(F.col("claim"), F.col("_norm"), profile))
+    read = text.once(
+        text.once(facts, _norm=text.normalise(F.col("claim"))),
+        claim_risk=classify.simple_risk(F.col("claim"), F.col("_norm"), profile))
     judged = read.withColumn("_s", classify.simple_sufficiency(
         F.col("claim_risk"), F.col("source_quality")))
     return judged.withColumns({

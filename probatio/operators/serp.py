@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
 from probatio.functions import text
+from probatio.functions.rounding import round_tenth
 from probatio.profiles import Profile
 
 TOP_DOMAINS = 5
@@ -15,18 +16,16 @@ REPEATED_DOMAINS = 3
 
 def page_shapes(results: DataFrame) -> DataFrame:
     """One boolean per page shape, read from the title; plus bare host and local TLD."""
-    shaped = (
-        results.withColumn("_title", text.normalise(F.coalesce("title", F.lit(""))))
-        .withColumn("host", text.bare_host(F.col("url")))
-    )
+    shaped = text.once(
+        results, _title=text.normalise(F.coalesce("title", F.lit(""))),
+        host=text.bare_host(F.col("url")))
     local = F.lit(False)
     for tld in fv.LOCAL_TLDS:
         local = local | F.col("host").endswith(tld)
-    return shaped.withColumns({
+    return text.once(
+        shaped, local_domain=F.coalesce(local, F.lit(False)),
         **{name: text.contains_any(F.col("_title"), hints)
-           for name, hints in fv.PAGE_SHAPE_HINTS.items()},
-        "local_domain": F.coalesce(local, F.lit(False)),
-    }).drop("_title")
+           for name, hints in fv.PAGE_SHAPE_HINTS.items()}).drop("_title")
 
 
 def analyse(snapshots: DataFrame, results: DataFrame, questions: DataFrame,
@@ -149,18 +148,18 @@ def opportunity_score(keywords: DataFrame, profile: Profile) -> DataFrame:
         F.lit(30.0), 6.0 * F.col("feature_count"))
     values = {
         "commercial_intent": F.coalesce(intents[F.col("intent")], F.lit(40.0)),
-        "business_relevance": F.round(F.col("topic_alignment") * 100, 1),
+        "business_relevance": round_tenth(F.col("topic_alignment") * 100),
         "conversion_potential":
             F.when(F.col("intent").isin(*served), 90.0).otherwise(40.0)
             if profile.cta_options else F.lit(None).cast("double"),
         "content_gap": F.when(has_serp, F.least(F.lit(100.0), 25.0 * F.col("gap_count"))),
-        "serp_opportunity": F.when(has_serp, F.round(
-            F.greatest(F.lit(0.0), F.least(F.lit(100.0), spread)), 1)),
-        "search_demand": F.when(F.col("search_volume").isNotNull(), F.round(F.least(
-            F.lit(100.0),
-            20.0 * F.log10(F.greatest("search_volume", F.lit(1.0)) + 1)), 1)),
-        "competition": F.when(F.col("competition_index").isNotNull(), F.round(
-            F.greatest(F.lit(0.0), 100.0 - F.col("competition_index")), 1)),
+        "serp_opportunity": F.when(has_serp, round_tenth(
+            F.greatest(F.lit(0.0), F.least(F.lit(100.0), spread)))),
+        "search_demand": F.when(F.col("search_volume").isNotNull(), round_tenth(
+            F.least(F.lit(100.0), 20.0 * F.log10(
+                F.greatest("search_volume", F.lit(1.0)) + 1)))),
+        "competition": F.when(F.col("competition_index").isNotNull(), round_tenth(
+            F.greatest(F.lit(0.0), 100.0 - F.col("competition_index")))),
     }
     scored = keywords.withColumns(values)
     total = known = F.lit(0.0)

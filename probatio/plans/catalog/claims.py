@@ -228,12 +228,13 @@ def price_texts(spark, sf):
         F.lit(" en "), F.lit("20"), F.substring(F.year("l_shipdate").cast("string"), 3, 2),
         F.lit("."))
     return inputs.spread(inputs.table(spark, sf, "lineitem"), "l_orderkey").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", body.alias("text"))
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+        body.alias("text"))
 
 
 PRICE_TEXTS = """
 price_texts AS (
-  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
     CASE l_returnflag WHEN 'A' THEN 'Le prix moyen est de ' WHEN 'N' THEN 'Comptez entre '
          ELSE 'Nos tarifs sont de ' END || floor(l_extendedprice)::BIGINT
     || CASE WHEN l_returnflag = 'N' THEN ' € et ' || floor(l_extendedprice * 2)::BIGINT
@@ -270,8 +271,7 @@ def _sql_category(raw: str, normal: str) -> str:
 
 
 def _categorised(rows, column: str):
-    return rows.withColumn("_n", text.normalise(F.col(column))).withColumn(
-        "category", classify.category(F.col(column), F.col("_n"), PROFILE)).drop("_n")
+    return classify.with_category(rows, column, PROFILE)
 
 
 def claim_category_documents(spark, sf):

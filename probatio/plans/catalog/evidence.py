@@ -282,12 +282,10 @@ WHERE risk = 'HIGH' AND evidence_status <> 'SUPPORTED'"""
 
 def _plan_packages(spark, sf):
     """Documents of each retrieval source as blocked claims of one package."""
-    from probatio.functions import text
-
-    rows = inputs.documents(spark, sf).withColumn("_n", text.normalise(F.col("body")))
+    rows = classify.with_category(inputs.documents(spark, sf), "body", PROFILE)
     blocked = classify.claim_requirements(rows.select(
         F.col("source").alias("package_id"), F.col("doc_id").alias("claim_ord"),
-        classify.category(F.col("body"), F.col("_n"), PROFILE).alias("category")), PROFILE)
+        "category"), PROFILE)
     packages = inputs.table(spark, sf, "documents").groupBy(
         F.col("source").alias("package_id")).agg(
             F.concat(F.lit("topic "), F.min("source")).alias("topic")).withColumn(
@@ -593,13 +591,10 @@ FROM documents JOIN ({OFFICIAL_SOURCES}) USING (doc_id) WHERE accepted"""
 def _priced_packages(spark, sf):
     """Suppliers as packages, their price sentences as evaluated claims."""
     claims = price_texts(spark, sf)
-    from probatio.functions import text
-
-    rows = claims.withColumn("_n", text.normalise(F.col("text"))).select(
+    rows = classify.with_category(claims, "text", PROFILE).select(
         F.col("l_suppkey").alias("package_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_ord"),
-        F.col("text").alias("claim"),
-        classify.category(F.col("text"), F.col("_n"), PROFILE).alias("category"),
+        F.col("text").alias("claim"), "category",
         F.when(F.col("l_partkey") % 3 == 0, "SUPPORTED").otherwise("UNSUPPORTED")
         .alias("evidence_status"))
     packages = inputs.table(spark, sf, "supplier").select(
@@ -645,14 +640,8 @@ suppliers AS (
 
 def price_gap(spark, sf):
     """Parts whose price question no supported, usable figure answers."""
-    from probatio.functions import text
-
-    claims = price_texts(spark, sf).join(
-        inputs.table(spark, sf, "lineitem").select(
-            "l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"])
-    evaluated = claims.withColumn("_n", text.normalise(F.col("text"))).select(
-        F.col("l_partkey").alias("package_id"), F.col("text").alias("claim"),
-        classify.category(F.col("text"), F.col("_n"), PROFILE).alias("category"),
+    evaluated = classify.with_category(price_texts(spark, sf), "text", PROFILE).select(
+        F.col("l_partkey").alias("package_id"), F.col("text").alias("claim"), "category",
         F.when(F.col("l_quantity") < 5, "SUPPORTED").otherwise("UNSUPPORTED")
         .alias("evidence_status"))
     packages = inputs.table(spark, sf, "part").select(
@@ -666,8 +655,7 @@ SELECT p_partkey AS package_id, concat_ws(' ', p_type, p_name) AS query FROM par
 WHERE (contains(lower(concat_ws(' ', p_type, p_name)), 'tion')
        OR contains(lower(concat_ws(' ', p_type, p_name)), 'ing'))
   AND p_partkey NOT IN (
-    SELECT l_partkey FROM priced JOIN lineitem l USING (l_orderkey, l_linenumber, l_partkey)
-    WHERE l.l_quantity < 5 AND basis <> 'UNKNOWN')"""
+    SELECT l_partkey FROM priced WHERE l_quantity < 5 AND basis <> 'UNKNOWN')"""
 
 
 def core_question(spark, sf):
