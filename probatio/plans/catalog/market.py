@@ -135,6 +135,9 @@ _KNOWN = " + ".join(f"CASE WHEN {n} IS NULL THEN 0.0 ELSE {w}::DOUBLE END"
                     for n, w in fv.SCORE_WEIGHTS.items())
 _TOTAL = " + ".join(f"coalesce({n} * {w}::DOUBLE, 0.0)"
                     for n, w in fv.SCORE_WEIGHTS.items())
+_SPREAD = ("greatest(0.0::DOUBLE, least(100.0::DOUBLE, (k % 10 + 1) / 10.0::DOUBLE * 100 "
+           "- least(30.0::DOUBLE, 6.0::DOUBLE * (k % 4))))")
+_DEMAND = "least(100.0::DOUBLE, 20.0::DOUBLE * log10(greatest(vol, 1.0::DOUBLE) + 1))"
 OPPORTUNITY_SCORE = f"""
 WITH src AS (
   SELECT c_custkey AS keyword, [{o.listed(fv.INTENTS)}][c_nationkey % 5 + 1] AS intent,
@@ -144,17 +147,13 @@ parts AS (
   SELECT keyword, k, {o.case([(f"intent = '{i}'", f"{v}::DOUBLE")
                               for i, v in fv.INTENT_SCORES.items()], "40.0::DOUBLE")}
       AS commercial_intent,
-    round_even((align * 100)::DECIMAL(38, 20), 1)::DOUBLE AS business_relevance,
+    {o.tenth('align * 100')} AS business_relevance,
     CASE WHEN intent IN ({o.listed(_SERVED)}) THEN 90.0::DOUBLE ELSE 40.0::DOUBLE END
       AS conversion_potential,
     CASE WHEN k % 7 <> 0 THEN least(100.0::DOUBLE, 25.0::DOUBLE * (k % 5)) END
       AS content_gap,
-    CASE WHEN k % 7 <> 0 THEN round_even(greatest(0.0::DOUBLE, least(100.0::DOUBLE,
-      (k % 10 + 1) / 10.0::DOUBLE * 100 - least(30.0::DOUBLE, 6.0::DOUBLE * (k % 4))))
-      ::DECIMAL(38, 20), 1)::DOUBLE END AS serp_opportunity,
-    CASE WHEN k % 3 <> 0 THEN round_even(least(100.0::DOUBLE, 20.0::DOUBLE
-      * log10(greatest(vol, 1.0::DOUBLE) + 1))::DECIMAL(38, 20), 1)::DOUBLE END
-      AS search_demand,
+    CASE WHEN k % 7 <> 0 THEN {o.tenth(_SPREAD)} END AS serp_opportunity,
+    CASE WHEN k % 3 <> 0 THEN {o.tenth(_DEMAND)} END AS search_demand,
     CASE WHEN k % 2 = 0 THEN 100.0::DOUBLE - (k % 100) END AS competition
   FROM src)
 SELECT keyword, round_even(({_TOTAL}) / ({_KNOWN}), 0)::INT AS overall_score,

@@ -105,6 +105,15 @@ def rank(x: str, ranks: dict[str, int]) -> str:
     return case([(f"{x} = {quoted(k)}", str(v)) for k, v in ranks.items()])
 
 
+def tenth(x: str) -> str:
+    """One decimal, half to even on the exact binary value, in whole numbers."""
+    n = f"(({x})::DOUBLE * {float(2 ** 56)!r})::HUGEINT * 10"
+    unit, half = 2 ** 56, 2 ** 55
+    q, r = f"(({n}) // {unit})", f"(({n}) % {unit})"
+    return (f"(({q} + CASE WHEN {r} > {half} OR ({r} = {half} AND {q} % 2 = 1) THEN 1 "
+            f"ELSE 0 END)::DOUBLE / 10)")
+
+
 DOCUMENT_URL = ("'https://' || source || '.example.' || CASE lang WHEN 'fr' THEN 'net' "
                 "WHEN 'es' THEN 'org' ELSE 'com' END || '/' || doc_id")
 
