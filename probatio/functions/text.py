@@ -32,6 +32,9 @@ _EXPANSIONS = (
 SPACE = (r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000")
 SPACES = f"[{SPACE}]+"
 WORD = f"[^{SPACE}]+"
+# The white space beyond ASCII, as characters (fixed values).
+_WIDE_SPACES = ("\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b)))
+                + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def local_normalise(text: str) -> str:
@@ -49,6 +52,9 @@ def _fold_table() -> tuple[str, str]:
             char = chr(code)
             if char != char.lower():
                 continue
+            if char in _WIDE_SPACES:
+                mapped.append((char, " "))
+                continue
             folded = "".join(
                 c for c in unicodedata.normalize("NFKD", char.casefold())
                 if not unicodedata.combining(c)
@@ -73,11 +79,19 @@ def fold(text: Column) -> Column:
 
 
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, SPACES, " "))
+    """Collapse white space; the wide spaces are mapped first where there may be any.
+
+    The test range is wider than needed: two ranges are far cheaper to test on every
+    letter than the exact list.
+    """
+    plain = F.when(text.rlike(r"[\x1c-\x1f\x85\xa0\u1680-\u3000]"), F.translate(
+        text, _WIDE_SPACES, " " * len(_WIDE_SPACES))).otherwise(text)
+    return F.trim(F.regexp_replace(plain, r"\s+", " "))
 
 
 def normalise(text: Column) -> Column:
-    return squeeze(fold(text))
+    # Folding already turns every wide space into a plain one.
+    return F.trim(F.regexp_replace(fold(text), r"\s+", " "))
 
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
@@ -252,4 +266,4 @@ def split_sentences(text: Column, closers: str = ".!?") -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r" + _WIDE_SPACES))

@@ -13,31 +13,33 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import text
 
+_FIVE_ASCII_WORDS = rf"(?:\S+\s+){{{fv.FURNITURE_LINE_WORDS - 1}}}\S"
 _FIVE_WORDS = (f"(?:{text.WORD}{text.SPACES}){{{fv.FURNITURE_LINE_WORDS - 1}}}"
                f"{text.WORD}")
 _UNIT = "\u001e"  # separates grouped sentences while the fold runs
 
 
-def _clean(block: Column) -> Column:
-    tidy = F.regexp_replace(
-        block, r"^\s*(#{1,6}\s*|[-*+]\s+|\d+[.)]\s+|>\s*)", "")
+def _clean(flat: Column) -> Column:
+    """List and heading marks, addresses and links out of a squeezed block."""
+    tidy = F.regexp_replace(flat, r"^(#{1,6}\s*|[-*+]\s+|\d+[.)]\s+|>\s*)", "")
     # The address can only start where a run of non-spaces starts.
     tidy = F.regexp_replace(tidy, r"https?://\S+|(?<!\S)\S+@\S+\.\S+", "")
-    return text.squeeze(tidy)
+    return F.trim(F.regexp_replace(tidy, " {2,}", " "))
 
 
 def _without_furniture_lines(block: Column) -> Column:
     """Drop short lines that carry a furniture phrase."""
     lines = F.filter(F.split(block, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"),
                      lambda ln: ln.rlike(text.WORD))
-    kept = F.filter(lines, lambda ln: ~(
+    # Most lines pass the cheap first test; wide spaces can only add words.
+    kept = F.filter(lines, lambda ln: ln.rlike(_FIVE_ASCII_WORDS) | ~(
         ~ln.rlike(_FIVE_WORDS)
         & text.contains_any(text.fold(ln), fv.FURNITURE_PHRASES)))
     return F.array_join(kept, "\n")
 
 
 def _drop_reason(block: Column) -> Column:
-    """Why a block is furniture; ``block``: stripped, n_words, folded."""
+    """Why a block is furniture; ``block``: stripped, n_words, folded when short."""
     stripped, n_words = block["stripped"], block["n_words"]
     phrase = text.first_contained(block["folded"], fv.FURNITURE_PHRASES)
     letters = F.length(F.regexp_replace(stripped, r"[^\p{L}]", ""))
@@ -82,13 +84,18 @@ def _cut(body: Column) -> Column:
     """
     pieces = F.split(body, r"\n\s*\n|\r\n\s*\r\n")
     lines = F.transform(pieces, _without_furniture_lines)
-    seen = F.transform(lines, lambda b: F.struct(
-        b.alias("block"),
-        text.strip(b).alias("stripped"),
-        text.word_count(text.squeeze(b)).alias("n_words"),
-        text.fold(b).alias("folded")))
+    flat = F.transform(lines, lambda b: F.struct(
+        text.strip(b).alias("stripped"), text.squeeze(b).alias("flat")))
+    counted = F.transform(flat, lambda b: F.struct(
+        b["stripped"].alias("stripped"), b["flat"].alias("flat"),
+        text.word_count(b["flat"]).alias("n_words")))
+    seen = F.transform(counted, lambda b: F.struct(
+        b["stripped"].alias("stripped"), b["flat"].alias("flat"),
+        b["n_words"].alias("n_words"),
+        F.when(b["n_words"] < fv.FURNITURE_BLOCK_WORDS, text.fold(b["stripped"]))
+        .alias("folded")))
     judged = F.transform(seen, lambda b: F.struct(
-        _drop_reason(b).alias("reason"), _clean(b["block"]).alias("cleaned")))
+        _drop_reason(b).alias("reason"), _clean(b["flat"]).alias("cleaned")))
     grouped = F.transform(judged, lambda b: F.struct(
         b["reason"].alias("reason"),
         F.when(b["reason"].isNotNull(),
@@ -156,22 +163,28 @@ def _propositions(sentence: Column) -> Column:
     return F.when(several & (F.size(parts) > 1), merged).otherwise(F.array(sentence))
 
 
+# Claims are cut from squeezed passages, so one space separates their words.  The
+# tests below are ordered from cheap to costly and stop at the first that decides.
+_FIVE_LONG_WORDS = "(?:[^ ]{3,} (?:[^ ]{1,2} )*){4}[^ ]{3}"
+_CAPITAL_WORD = r"(?<![^ ])\p{Lu}[^ ]{2,}"
+
+
 def is_title_fragment(body: Column) -> Column:
     """A heading or a name rather than a statement: no verb, mostly capitals."""
-    long = F.regexp_count(body, F.lit(f"[^{text.SPACE}]{{3,}}"))
-    capitals = F.regexp_count(
-        body, F.lit(rf"(?<![^{text.SPACE}])\p{{Lu}}[^{text.SPACE}]{{2,}}"))
-    mostly = capitals >= F.greatest(F.lit(2.0), long * fv.TITLE_CAPITAL_SHARE)
-    closed = F.rtrim(body).rlike(r"[.!]$")
-    return ~body.rlike(fv.VERB_PATTERN) & (
-        body.rlike(fv.TITLE_SEPARATOR_PATTERN) | (long == 0) | mostly | ~closed)
+    capitals = F.regexp_count(body, F.lit(_CAPITAL_WORD))
+    long_words = F.size(F.filter(F.split(body, " "), lambda w: F.length(w) > 2))
+    mostly = (capitals >= 2) & (capitals >= long_words * fv.TITLE_CAPITAL_SHARE)
+    open_ended = ~F.rtrim(body).rlike(r"[.!]$")
+    label = (open_ended | ~body.rlike("[^ ]{3}") | mostly
+             | body.rlike(fv.TITLE_SEPARATOR_PATTERN))
+    return label & ~body.rlike(fv.VERB_PATTERN)
 
 
 def is_assertion(body: Column) -> Column:
     return (
         (F.length(body) >= fv.MIN_CLAIM_CHARS)
         & ~body.rlike(r"\?\s*$")
-        & (F.regexp_count(body, F.lit(f"[^{text.SPACE}]{{3,}}")) >= 5)
+        & body.rlike(_FIVE_LONG_WORDS)
         & ~body.rlike(fv.NON_ASSERTION_PATTERN)
         & ~body.rlike(fv.PROMOTIONAL_PATTERN)
         & ~is_title_fragment(body)
