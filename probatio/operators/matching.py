@@ -5,9 +5,10 @@ pairs that can possibly matter with an inverted index instead of comparing every
 claim with every passage, and loses none:
 
 * a pair counts only when it shares the claim's head or enough topic terms;
-* sharing at least three of a claim's n topic terms means sharing one of any
-  n - 2 of them, so a claim is looked up under its n - 2 rarest terms only
-  (with fewer than three terms all must be present, so one is enough);
+* without the head, r of a claim's n topic terms must be shared, r being three and
+  at least half of them (all of them when there are fewer than three); sharing r
+  terms means sharing one of any n - r + 1, so a claim is looked up under its
+  n - r + 1 rarest terms only;
 * heads and configured phrases are looked up under keys of their own.
 
 ``match`` then runs the staged rules on the surviving pairs.
@@ -42,8 +43,7 @@ def concepts(texts: DataFrame, column: str, profile: Profile,
     """
     generic = text.string_array(profile.generic_tokens)
     norm = F.col("norm")
-    phrases = [F.when(norm.rlike(text.whole_word_pattern([p])), F.lit(p))
-               for p in profile.phrases]
+    phrases = [F.when(text.has_term(norm, [p]), F.lit(p)) for p in profile.phrases]
     any_phrase = text.whole_word_pattern(profile.phrases)
     read = text.once(texts, norm=text.normalise(F.coalesce(F.col(column), F.lit(""))))
     read = text.once(
@@ -60,18 +60,24 @@ def concepts(texts: DataFrame, column: str, profile: Profile,
         # Longest-first alternation: the earliest phrase, the longest at a tie.
         found = F.regexp_extract(norm, any_phrase, 0)
         read = text.once(
-            text.once(read, _phrase=F.when(norm.rlike(any_phrase), found)),
+            text.once(read, _phrase=F.when(
+                text.contains_any(norm, profile.phrases) & (found != ""), found)),
             phrases=F.when(F.col("_phrase").isNull(), text.string_array([]))
             .otherwise(F.array_compact(F.array(*phrases))))
     else:
         read = read.withColumn("_phrase", F.lit(None).cast("string")).withColumn(
             "phrases", text.string_array([]))
-    own_words = F.filter(F.split(norm, " "),
-                         lambda w: F.array_contains(F.col("topic_terms"), w))
-    first_two = F.array_join(F.slice(own_words, 1, 2), " ")
-    return read.withColumn(
-        "head_phrase", F.coalesce("_phrase", F.when(first_two != "", first_two))
-    ).drop("_terms", "_phrase")
+    # Without a phrase: the first two words that are topic terms as they stand.  Set
+    # intersection keeps the order of the words and hashes the terms.
+    own = text.once(read, _words=F.when(F.col("_phrase").isNull(), F.split(norm, " ")))
+    own = text.once(own, _first=F.get(
+        F.array_intersect("_words", "topic_terms"), F.lit(0)))
+    after = F.slice("_words", F.array_position("_words", F.col("_first")).cast("int") + 1,
+                    F.size("_words"))
+    second = F.get(F.array_intersect(after, "topic_terms"), F.lit(0))
+    return own.withColumn("head_phrase", F.coalesce(
+        "_phrase", F.when(F.col("_first").isNotNull(), F.concat_ws(" ", "_first", second)))
+    ).drop("_terms", "_phrase", "_words", "_first")
 
 
 def compatible_categories(claim: Column, passage: Column) -> Column:
@@ -105,10 +111,11 @@ def _claim_keys(claims: DataFrame, term_counts: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct(
             F.coalesce("passages", F.lit(0)).alias("passages"), "term"))).alias("_r"))
     )  # a claim holds at most a few dozen terms, so this list is bounded
+    n = F.size("_r")
+    needed = F.least(n, F.greatest(
+        F.lit(fv.MIN_TOPIC_OVERLAP), F.ceil(n * fv.MIN_TOPIC_COVERAGE).cast("int")))
     rare = ranked.select(
-        *CLAIM_KEYS,
-        F.explode(F.slice("_r", F.lit(1), F.greatest(
-            F.lit(1), F.size("_r") - (fv.MIN_TOPIC_OVERLAP - 1)))).alias("r"),
+        *CLAIM_KEYS, F.explode(F.slice("_r", F.lit(1), n - needed + 1)).alias("r"),
     ).select(*CLAIM_KEYS, F.concat(F.lit("t:"), F.col("r.term")).alias("key"))
     named = F.concat(
         F.transform(_head_terms(claims), lambda t: F.concat(F.lit("t:"), t)),
