@@ -382,6 +382,16 @@ def ledger_findings(spark, sf):
         "draft_id", "code").agg(F.count("*").alias("findings"))
 
 
+LEDGER_FINDINGS = LEDGER_REVIEW.split("blocks AS (")[0].rstrip().rstrip(",") + """
+SELECT draft_id, 'HIGH_RISK_CLAIM_ASSERTED' AS code, count(*) AS findings FROM asserted
+  WHERE risk = 'HIGH' AND evidence_status <> 'SUPPORTED' GROUP BY 1
+UNION ALL SELECT draft_id, 'CONFLICTING_EVIDENCE_ASSERTED', count(*) FROM asserted
+  WHERE evidence_status = 'CONFLICTING' GROUP BY 1
+UNION ALL SELECT draft_id, 'UNSUPPORTED_DRAFT_CLAIM', 1 FROM totals WHERE m < n
+UNION ALL SELECT draft_id, 'NO_SUPPORTED_CLAIMS', 1 FROM totals WHERE package_id NOT IN (
+  SELECT package_id FROM ledger WHERE evidence_status = 'SUPPORTED')"""
+
+
 def claim_ledger(spark, sf):
     return factual.claim_ledger(_ledger(spark, sf))
 
@@ -478,7 +488,7 @@ QUERIES = {
     "seo_review": (seo_review, SEO_REVIEW),
     "ledger_matches": (ledger_matches, LEDGER_MATCHES),
     "ledger_review": (ledger_review, LEDGER_REVIEW),
-    "ledger_findings": (ledger_findings, None),
+    "ledger_findings": (ledger_findings, LEDGER_FINDINGS),
     "claim_ledger": (claim_ledger, CLAIM_LEDGER),
     "bound_sentences": (bound_sentences, BOUND_SENTENCES),
     "page_sections": (page_sections, PAGE_SECTIONS),

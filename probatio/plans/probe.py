@@ -32,10 +32,11 @@ PROFILE = Profile(
     market_terms=("was", "der"),
     claim_categories={
         "SUBSIDY": ["thanedble", "theaeati ingre"],
-        "TAX": ["onbleea"],
+        "TAX": ["onbleea", "inin"],
+        "REGULATION": ["therble"],
         "GRID_RULE": ["onanshat", "esndha reedes"],
         "ELIGIBILITY": ["atshsh erin"],
-        "ROI": ["therhean"],
+        "ROI": ["therhean", "hein"],
         "MARKET_AVERAGE": ["eriner"],
         "VENDOR_PRICE": ["attion"],
         "PRODUCT_SPEC": ["thor", "thea"],

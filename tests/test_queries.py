@@ -38,7 +38,7 @@ def test_entry_runs(spark):
 
 def test_nearly_all_queries_have_a_twin():
     without = [n for n, (_run, sql) in catalog.all_queries().items() if not sql]
-    assert sorted(without) == ["ledger_findings", "package_sections"]
+    assert sorted(without) == ["package_sections"]
 
 
 def test_scans_read_only_what_they_need(spark):
