@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probatio.llm import chat, exact, mixing, sharding
+from probatio.llm import bagminhash, chat, exact, mixing, sharding
 from probatio.llm.common import table
 
 WEIGHT_CYCLE = (5, 2, 1)
@@ -73,6 +73,42 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of documents: weighted Jaccard of word shingles of 0.8 or more."""
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+    lambda x: x <> '') AS w
+  FROM documents),
+bags AS (
+  SELECT doc_id, s, count(*) AS c FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5
+      THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+    FROM words)
+  GROUP BY doc_id, s),
+totals AS (SELECT doc_id, sum(c) AS t FROM bags GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.c, b.c)) AS i
+  FROM bags a JOIN bags b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+near AS (
+  SELECT x, y FROM common JOIN totals p ON p.doc_id = x JOIN totals q ON q.doc_id = y
+  WHERE i >= 0.8 * (p.t + q.t - i)),
+linked AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION SELECT r.x, l.y FROM reach r JOIN linked l ON l.x = r.y),
+named AS (SELECT x AS doc_id, max(y) AS class_id FROM reach GROUP BY x)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size,
+  doc_id = class_id AS kept
+FROM named
+"""
+
+
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -131,5 +167,6 @@ def registry() -> dict:
         "op1_source_mix": (op1_source_mix, OP1_SQL),
         "op6_block_naming": (op6_block_naming, OP6_SQL),
         "op7_shards": (op7_shards, None),
+        "op9_bagminhash": (op9_bagminhash, OP9_SQL),
         "op10_chat_format": (op10_chat_format, OP10_SQL),
     }
