@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probatio.llm import bagminhash, chat, exact, mixing, sharding
+from probatio.llm import bagminhash, cascade, chat, exact, langid, mixing, sharding
 from probatio.llm.common import table
 
 WEIGHT_CYCLE = (5, 2, 1)
@@ -50,6 +50,65 @@ FROM placed
 """
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labelled = docs.where(~langid.held_out() & F.col("lang").isNotNull())
+    return langid.identify(docs, labelled).select(
+        "doc_id", langid.held_out().alias("held_out"), "found.lang_pred", "found.score",
+        "found.coverage")
+
+
+def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every document."""
+    base = (F.col("n_words") < 50) | (
+        100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    judged = cascade.judge(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                           first=cascade.Rule("base", base))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", base.alias("base_failed"), "kept")
+
+
+OP4_SQL = """
+WITH words AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+      lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)),
+      lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l
+  FROM documents),
+windows AS (
+  SELECT doc_id, i, w[i:i + 2] AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS n FROM windows),
+covered AS (
+  SELECT doc_id, count(*) AS c FROM (
+    SELECT DISTINCT doc_id, i + k AS p
+    FROM twice, (VALUES (0), (1), (2)) AS k(k) WHERE n > 1)
+  GROUP BY doc_id),
+counted AS (
+  SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    coalesce(c, 0) AS n_repeat_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\\pL'))) AS lettered,
+    len(list_filter(string_split(text, chr(10)),
+      lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]'))) AS bullets,
+    len(list_filter(string_split(text, chr(10)),
+      lambda x: regexp_matches(x, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$'))) AS ellipses
+  FROM words LEFT JOIN covered USING (doc_id)),
+judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * bullets > 9 * n_lines OR 10 * ellipses > 3 * n_lines
+    OR 10 * lettered < 8 * n_words OR 2 * n_dup_lines > n_lines
+    OR 10 * n_symbols > n_words
+    OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS kept
+FROM judged
+"""
+
+
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of documents, without regard to the case of A-Z."""
     return exact.deduplicate(table(spark, sf_dir, "documents"))
@@ -165,6 +224,8 @@ def registry() -> dict:
     """name -> (query, SQL twin or None)"""
     return {
         "op1_source_mix": (op1_source_mix, OP1_SQL),
+        "op2_language_filters": (op2_language_filters, None),
+        "op4_quality_cascade": (op4_quality_cascade, OP4_SQL),
         "op6_block_naming": (op6_block_naming, OP6_SQL),
         "op7_shards": (op7_shards, None),
         "op9_bagminhash": (op9_bagminhash, OP9_SQL),
