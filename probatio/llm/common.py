@@ -45,6 +45,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a small file into the shared folder and have Spark hand it to every executor,
+    also to those that join later; tasks find it by ``SparkFiles.get(name)``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/probatio-llm/{name}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(bytearray(data))
+    out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probatio.llm import bagminhash, cascade, chat, exact, langid, mixing, sharding
+from probatio.llm import bagminhash, bpe, cascade, chat, exact, langid, mixing, sharding
 from probatio.llm.common import table
 
 WEIGHT_CYCLE = (5, 2, 1)
@@ -109,6 +109,19 @@ FROM judged
 """
 
 
+def byte_bpe_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 byte_bpe_path())
+    return coded.select("doc_id", *bpe.token_digests())
+
+
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of documents, without regard to the case of A-Z."""
     return exact.deduplicate(table(spark, sf_dir, "documents"))
@@ -226,6 +239,7 @@ def registry() -> dict:
         "op1_source_mix": (op1_source_mix, OP1_SQL),
         "op2_language_filters": (op2_language_filters, None),
         "op4_quality_cascade": (op4_quality_cascade, OP4_SQL),
+        "op5_bpe_lexicon": (op5_bpe_lexicon, None),
         "op6_block_naming": (op6_block_naming, OP6_SQL),
         "op7_shards": (op7_shards, None),
         "op9_bagminhash": (op9_bagminhash, OP9_SQL),
