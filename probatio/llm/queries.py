@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probatio.llm import bagminhash, bpe, cascade, chat, exact, langid, mixing, sharding
+from probatio.llm import bagminhash, bpe, cascade, chat, exact, langid, mixing, sharding, templates, viterbi
 from probatio.llm.common import table
 
 WEIGHT_CYCLE = (5, 2, 1)
@@ -59,6 +59,54 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "found.coverage")
 
 
+def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines of templates that recur across documents."""
+    kept = templates.drop_recurring_lines(
+        table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP3_SQL = f"""
+WITH docs AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS place, unnest(lines) AS line FROM docs),
+masked AS (
+  SELECT doc_id, place, list_filter(string_split_regex(
+    regexp_replace(line, '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w
+  FROM lines),
+leafed AS (
+  SELECT doc_id, place, w, [CAST(len(w) AS VARCHAR)] || w[1:{templates.DEPTH}] AS leaf
+  FROM masked WHERE len(w) >= {templates.MIN_WORDS}),
+found AS (
+  SELECT * FROM leafed WHERE leaf IN (
+    SELECT leaf FROM leafed GROUP BY leaf
+    HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCUMENTS})),
+tokens AS (
+  SELECT doc_id, place, leaf, unnest(range(1, len(w) + 1)) AS spot, unnest(w) AS word FROM found),
+shaped AS (
+  SELECT doc_id, place, leaf, list(CASE WHEN n >= {templates.MIN_DOCUMENTS} AND word <> '<*>'
+      THEN word ELSE '<*>' END ORDER BY spot) AS template,
+    count(*) FILTER (n >= {templates.MIN_DOCUMENTS} AND word <> '<*>') / count(*) AS solid
+  FROM (SELECT *, count(*) OVER (PARTITION BY leaf, spot, word) AS n FROM tokens)
+  GROUP BY doc_id, place, leaf),
+recurring AS (
+  SELECT leaf, template, min(doc_id) AS first_id FROM shaped
+  WHERE solid >= {templates.CONSTANT} GROUP BY leaf, template
+  HAVING count(DISTINCT doc_id) >= {templates.MIN_DOCUMENTS}),
+dropped AS (
+  SELECT doc_id, list(place) AS places
+  FROM shaped JOIN recurring USING (leaf, template)
+  WHERE doc_id <> first_id GROUP BY doc_id)
+SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(len(places), 0) AS n_dropped,
+  sha256(coalesce(array_to_string(CASE WHEN places IS NULL THEN lines ELSE list_filter(lines,
+    lambda x, i: NOT list_contains(places, i)) END, chr(10)), '')) AS kept_sha256
+FROM docs LEFT JOIN dropped USING (doc_id)
+"""
+
+
 def op4_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every document."""
     base = (F.col("n_words") < 50) | (
@@ -145,6 +193,16 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under the pieces and scores of a vocabulary file."""
+    import public_tokenizers
+
+    counted = viterbi.count_tokens(
+        table(spark, sf_dir, "documents").select("doc_id", "text"),
+        public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.select("doc_id", "counted.n_tokens", "counted.score")
+
+
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: weighted Jaccard of word shingles of 0.8 or more."""
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -238,10 +296,12 @@ def registry() -> dict:
     return {
         "op1_source_mix": (op1_source_mix, OP1_SQL),
         "op2_language_filters": (op2_language_filters, None),
+        "op3_line_templates": (op3_line_templates, OP3_SQL),
         "op4_quality_cascade": (op4_quality_cascade, OP4_SQL),
         "op5_bpe_lexicon": (op5_bpe_lexicon, None),
         "op6_block_naming": (op6_block_naming, OP6_SQL),
         "op7_shards": (op7_shards, None),
+        "op8_token_counts": (op8_token_counts, None),
         "op9_bagminhash": (op9_bagminhash, OP9_SQL),
         "op10_chat_format": (op10_chat_format, OP10_SQL),
     }
