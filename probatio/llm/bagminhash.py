@@ -118,6 +118,7 @@ def _sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             digests = _digests(words, counts)
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].iloc[begin:begin + len(run)].array,
+                "text_key": batch["text_key"].iloc[begin:begin + len(run)].array,
                 "digest": digests,
                 "bands": [b.view(np.int64) if d else None
                           for b, d in zip(band, digests, strict=True)]})
@@ -217,12 +218,13 @@ def _residual_links(members: DataFrame, texts: DataFrame, linked: DataFrame) ->
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id, class_size, kept.
+    """One row per row of ``docs``: doc_id, text_key, class_id, class_size, kept.
 
     ``class_id`` is the largest doc_id of the class; that document is kept.
     """
-    signed = stage(docs.select("doc_id", "text").mapInPandas(
-        _sign, "doc_id long, digest binary, bands array<long>"), "signatures")
+    key = F.xxhash64("text").alias("text_key")
+    signed = stage(docs.select("doc_id", key, "text").mapInPandas(
+        _sign, "doc_id long, text_key long, digest binary, bands array<long>"), "signatures")
     classes = stage(signed.where("digest is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")).select(
         F.monotonically_increasing_id().alias("class"), "digest", "doc_id", "bands"),
@@ -254,11 +256,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         linked.withColumnRenamed("node", "class"), "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component")), "named")
     placed = stage(signed.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", "digest").join(
+        F.monotonically_increasing_id().alias("row"), "doc_id", "text_key", "digest").join(
         named, "digest", "left"), "placed")
     groups = stage(placed.where("component is not null").groupBy("component").agg(
         F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("n")), "groups")
     return placed.join(groups, "component", "left").select(
-        "doc_id", F.coalesce("keep.doc_id", "doc_id").alias("class_id"),
+        "doc_id", "text_key", F.coalesce("keep.doc_id", "doc_id").alias("class_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("class_size"),
         F.coalesce(F.col("keep.row") == F.col("row"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class."""
+    kept = near_duplicates(docs).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))
+                     & (F.xxhash64("text") == F.col("_key")), "left_semi")

@@ -117,3 +117,13 @@ def deduplicate(docs: DataFrame, normalise=lower_ascii,
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("keep.row") == F.col("row"), F.lit(True)).alias("kept"),
         "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts."""
+    kept = deduplicate(docs).where("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    once = docs.withColumn("_text_sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+                           ).dropDuplicates(["doc_id", "_text_sha"])
+    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))
+                     & (F.col("_text_sha") == F.col("_sha")), "left_semi").drop("_text_sha")

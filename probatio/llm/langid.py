@@ -37,6 +37,7 @@ PROBES = 3
 LANGUAGES = 64  # bits of a slot
 CHUNK = 1_000_000  # characters looked at together
 UNKNOWN = "und"
+COVERAGE = 0.5  # share of n-grams that a text's language must hold to be taken as that language
 
 _letters: np.ndarray | None = None
 
@@ -225,5 +226,12 @@ def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     return docs.withColumn("found", predict(F.col("text")))
 
 
+def understood(docs: DataFrame, labelled: DataFrame, least: float = COVERAGE) -> DataFrame:
+    """``docs`` without texts that have no letter or fit no learnt language."""
+    found = identify(docs, labelled)
+    return found.where((F.col("found.lang_pred") != UNKNOWN)
+                       & (F.col("found.coverage") >= least)).drop("found")
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % 4 == 2

@@ -205,7 +205,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of documents: weighted Jaccard of word shingles of 0.8 or more."""
-    return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 OP9_SQL = """
