@@ -3,10 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from probatio.llm import bagminhash, bpe, exact, langid, mixing
 from probatio.llm.common import stage, table
+from probatio.llm.queries import WEIGHT_CYCLE, byte_bpe_path
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in a learnt language; learnt from the labelled ones of them."""
+    labelled = docs.where(~langid.held_out() & F.col("lang").isNotNull())
+    return langid.understood(docs, labelled)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal but for the case of A-Z, the one with the largest doc_id."""
+    return exact.without_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the one with the largest doc_id."""
+    return bagminhash.without_near_duplicates(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """150% of all words by the sources' weights; every document once at least, no more than
+    twice, so the mix repeats documents and loses none."""
+    return mixing.mixed_documents(docs, WEIGHT_CYCLE, share=1.5, least=1, most=2)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids (binary, little-endian unsigned 32-bit integers) and digests; ``lossless``
+    says whether the ids decode to the text."""
+    coded = bpe.encode_documents(docs, byte_bpe_path())
+    return coded.select(
+        "doc_id", "source", "coded.ids", *bpe.token_digests(),
+        (F.col("coded.decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+
+
+STAGES = [
+    ("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup),
+    ("source_mix", source_mix), ("bpe_tokens", bpe_tokens),
+]
+#: Language models, signatures and tokens are no SQL; tests/llm/test_pipeline.py has a
+#: brute-force version of every stage.
 ORACLE_SQL = None
 
 
