@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probatio.llm import shingles as sh
-from probatio.llm.common import stage
+from probatio.llm.common import fresh, stage
 from probatio.llm.graph import components
 
 SLOTS, ROWS = 128, 4
@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each class."""
+    kept_id, kept_key = fresh(docs, "kept_id", "kept_key")
     kept = near_duplicates(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (F.xxhash64("text") == F.col("_key")), "left_semi")
+        F.col("doc_id").alias(kept_id), F.col("text_key").alias(kept_key))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id))
+                     & (F.xxhash64("text") == F.col(kept_key)), "left_semi")

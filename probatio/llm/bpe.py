@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import put_file, stage
+from probatio.llm.common import fresh, put_file, stage
 from probatio.llm.lexicon import Lexicon, compile_words
 
 LEXICON = 131072
@@ -263,13 +263,12 @@ def round_trip(name: str, path: str):
 
 
 def encode_documents(docs: DataFrame, path: str, size: int = LEXICON) -> DataFrame:
-    """``docs`` with ``coded``: ids and the text decoded from them."""
+    """``docs`` with a last column ``coded``: ids and the text decoded from them."""
     name = distribute_lexicon(docs, path, size)
-    return docs.withColumn("coded", round_trip(name, path)(F.col("text")))
+    return docs.withColumn(fresh(docs, "coded")[0], round_trip(name, path)(F.col("text")))
 
 
-def token_digests() -> list[Column]:
-    """Of the column ``coded``."""
-    return [F.floor(F.octet_length("coded.ids") / 4).alias("n_tokens"),
-            F.sha2("coded.ids", 256).alias("ids_sha256"),
-            F.sha2("coded.decoded", 256).alias("decoded_sha256")]
+def token_digests(coded: Column) -> list[Column]:
+    return [F.floor(F.octet_length(coded["ids"]) / 4).alias("n_tokens"),
+            F.sha2(coded["ids"], 256).alias("ids_sha256"),
+            F.sha2(coded["decoded"], 256).alias("decoded_sha256")]

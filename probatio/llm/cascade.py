@@ -19,8 +19,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import WORD, let, order_key, stage
+from probatio.llm.common import WORD, fresh, let, order_key, stage
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 SAMPLE = 1000  # documents whose rules are timed
 SYMBOLS = r"[#*$%&|<>]"
 LETTER_WORD = r"[^\x20\x09-\x0D]*\p{L}[^\x20\x09-\x0D]*"
@@ -65,7 +66,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def with_counts(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+    """``docs`` with the columns ``COUNTS``, which replace columns of the same name.
 
     The counts leave a generator, so that later expressions read them and do not repeat
     them.
@@ -81,11 +82,13 @@ def with_counts(docs: DataFrame) -> DataFrame:
         repeated_words(w).alias("repeated")))
     counts = F.struct(per_word.alias("w"), per_line.alias("l"),
                       F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("symbols"))
-    return docs.withColumn("_c", F.explode(F.array(counts))).select(
-        *docs.columns, F.col("_c.w.words").alias("n_words"),
-        F.col("_c.w.chars").alias("word_chars"), F.col("_c.symbols").alias("n_symbols"),
-        F.col("_c.l.lines").alias("n_lines"), F.col("_c.l.twice").alias("n_dup_lines"),
-        F.col("_c.w.repeated").alias("n_repeat_words"))
+    name, = fresh(docs, "counts")
+    each = F.col(name)
+    found = (each["w"]["words"], each["w"]["chars"], each["symbols"], each["l"]["lines"],
+             each["l"]["twice"], each["w"]["repeated"])
+    return docs.withColumn(name, F.explode(F.array(counts))).select(
+        *(c for c in docs.columns if c not in COUNTS),
+        *(c.alias(n) for c, n in zip(found, COUNTS, strict=True)))
 
 
 def prose_rules() -> list[Rule]:

@@ -66,6 +66,18 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, changed where ``df`` has columns called so."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def order_key(doc_id: str = "doc_id") -> Column:
     """A fixed pseudo-random order of documents."""
     return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))

@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import stage
+from probatio.llm.common import fresh, stage
 
 BLOCK_BYTES = 8192
 
@@ -121,9 +121,10 @@ def deduplicate(docs: DataFrame, normalise=lower_ascii,
 
 def without_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts."""
+    own, kept_id, kept_sha = fresh(docs, "own_sha", "kept_id", "kept_sha")
     kept = deduplicate(docs).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    once = docs.withColumn("_text_sha", F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
-                           ).dropDuplicates(["doc_id", "_text_sha"])
-    return once.join(kept, F.col("doc_id").eqNullSafe(F.col("_id"))
-                     & (F.col("_text_sha") == F.col("_sha")), "left_semi").drop("_text_sha")
+        F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    once = docs.withColumn(own, F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256)
+                           ).dropDuplicates(["doc_id", own])
+    return once.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id))
+                     & (F.col(own) == F.col(kept_sha)), "left_semi").drop(own)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probatio.llm.common import order_key, stage
+from probatio.llm.common import fresh, order_key, stage
 from probatio.llm.shingles import GOLDEN, U64, mix
 
 SAMPLE = 2000  # labelled documents per language, in a fixed pseudo-random order
@@ -56,14 +56,13 @@ def ngrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """
     letters = _letter_table()
     for begin, run in _runs(texts):
-        codes = np.frombuffer("\n".join(run).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(begin, begin + len(run)),
-                          [len(t) + 1 for t in run])[:len(codes)]
+        codes = np.frombuffer("".join(f"{t}\n" for t in run).encode(
+            "utf-32-le", "surrogatepass"), np.uint32)
+        owner = np.repeat(np.arange(begin, begin + len(run)), [len(t) + 1 for t in run])
         inside = letters[codes]
         # a boundary stays where a run of other characters follows a letter
         keep = inside | np.append(True, inside[:-1])
-        if len(owner):
-            keep |= np.append(True, owner[1:] != owner[:-1])
+        keep |= np.append(True, owner[1:] != owner[:-1])
         codes = np.where(inside, codes, 0)[keep].astype(U64)
         owner = owner[keep]
         for cut in range(0, len(codes), CHUNK):
@@ -220,17 +219,18 @@ def predictor(spark: SparkSession, model: Model):
 
 
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """``docs`` with a column ``found``: lang_pred, score (share of the winner in all
+    """``docs`` with a last column ``found``: lang_pred, score (share of the winner in all
     corrected counts) and coverage (share of n-grams that the winner's filter holds)."""
     predict = predictor(docs.sparkSession, fit(labelled))
-    return docs.withColumn("found", predict(F.col("text")))
+    return docs.withColumn(fresh(docs, "found")[0], predict(F.col("text")))
 
 
 def understood(docs: DataFrame, labelled: DataFrame, least: float = COVERAGE) -> DataFrame:
     """``docs`` without texts that have no letter or fit no learnt language."""
     found = identify(docs, labelled)
-    return found.where((F.col("found.lang_pred") != UNKNOWN)
-                       & (F.col("found.coverage") >= least)).drop("found")
+    name = found.columns[-1]
+    return found.where((F.col(name)["lang_pred"] != UNKNOWN)
+                       & (F.col(name)["coverage"] >= least)).drop(name)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probatio.llm.common import order_key, stage, with_start, word_count
+from probatio.llm.common import fresh, order_key, stage, with_start, word_count
 
 BLOCK_TOKENS = 2048
 PERIOD_SHARES = 4096  # resolution of the shares within one period of the schedule
@@ -157,9 +157,10 @@ def mixed_documents(docs: DataFrame, cycle: Sequence[float], share: float = 1.5,
     doc_id names a document here.  With ``least`` = 1 every document with words is read
     once at least; documents without words are never read.
     """
-    copies = taken(mix(docs, cycle, share, least, most)).groupBy("doc_id").agg(
-        F.max("copies").alias("_copies")).where("_copies > 0")
-    renamed = copies.withColumnRenamed("doc_id", "_doc_id")
-    return docs.join(renamed, docs["doc_id"].eqNullSafe(renamed["_doc_id"])).select(
-        *(docs[c] for c in docs.columns),
-        F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_copy")).drop("_copy")
+    mixed_id, copies, copy = fresh(docs, "mixed_id", "copies", "copy")
+    counted = taken(mix(docs, cycle, share, least, most)).groupBy(
+        F.col("doc_id").alias(mixed_id)).agg(F.max("copies").alias(copies)).where(
+        F.col(copies) > 0)
+    return docs.join(counted, F.col("doc_id").eqNullSafe(F.col(mixed_id))).select(
+        *docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy)
+    ).drop(copy)

@@ -167,7 +167,7 @@ def op5_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text decoded from them, as digests."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
                                  byte_bpe_path())
-    return coded.select("doc_id", *bpe.token_digests())
+    return coded.select("doc_id", *bpe.token_digests(F.col("coded")))
 
 
 def op6_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:

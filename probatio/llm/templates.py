@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import WORD, stage
+from probatio.llm.common import WORD, fresh, stage
 
 DEPTH = 4
 MIN_WORDS = 3
@@ -83,17 +83,20 @@ def _recurring(docs: DataFrame) -> DataFrame:
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without recurring lines, and n_lines and n_dropped."""
+    """``docs`` with ``text`` without recurring lines, then n_lines and n_dropped (these two
+    replace columns of the same name)."""
+    own_id, own_key, places = fresh(docs, "own_id", "own_key", "places")
     dropped = _recurring(docs.select("doc_id", "text")).select(
-        F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"),
-        F.col("dropped").alias("_dropped"))
-    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_id"))
-                       & (F.xxhash64("text") == F.col("_key")), "left")
+        F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key),
+        F.col("dropped").alias(places))
+    joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(own_id))
+                       & (F.xxhash64("text") == F.col(own_key)), "left")
     lines = F.split("text", "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
+    text = F.when(F.col(places).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
-        *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns),
+        *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns
+          if c not in ("n_lines", "n_dropped")),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"))

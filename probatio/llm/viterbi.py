@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from probatio.llm.common import fresh
+
 MARK = "▁"
 PENALTY = 10.0
 REMEMBERED = 300_000
@@ -120,10 +122,10 @@ def unigram(path: str) -> Unigram:
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ``counted``: n_tokens and score."""
+    """``docs`` with a last column ``counted``: n_tokens and score."""
     @F.pandas_udf("n_tokens long, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
         model = unigram(path)
         return pd.DataFrame([model.count(t) for t in texts], columns=["n_tokens", "score"])
 
-    return docs.withColumn("counted", run(F.col("text")))
+    return docs.withColumn(fresh(docs, "counted")[0], run(F.col("text")))
