@@ -35,10 +35,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (binary, little-endian unsigned 32-bit integers) and digests; ``lossless``
     says whether the ids decode to the text."""
-    coded = bpe.encode_documents(docs, byte_bpe_path())
-    return coded.select(
-        "doc_id", "source", "coded.ids", *bpe.token_digests(),
-        (F.col("coded.decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    rows = docs.select("doc_id", "source", "text")
+    coded = F.col("coded")
+    return bpe.encode_documents(rows, byte_bpe_path()).select(
+        "doc_id", "source", coded["ids"].alias("ids"), *bpe.token_digests(coded),
+        (coded["decoded"] == F.coalesce("text", F.lit(""))).alias("lossless"))
 
 
 STAGES = [
