@@ -226,41 +226,56 @@ def outcome_class(status: Column) -> Column:
 
 def fold_exports(leads: DataFrame, attempts: DataFrame, consent_required: bool = True,
                  limit: int = fv.MAX_EXPORT_ATTEMPTS) -> DataFrame:
-    """Next state of each lead after its recorded attempts.
-
-    ``attempts``: lead_id, attempt_ts, http_status, prospect_id.  The first outcome
-    that is not retryable decides; attempts after a terminal state and beyond the
-    retry cap never happened for the queue and are ignored.
+    """Next state of each lead after a batch of recorded attempts.
+
+    ``leads``: lead_id, state, and where stored export_attempts, export_error and
+    remote_prospect_id.  ``attempts``: lead_id, attempt_ts, attempt_id, http_status,
+    prospect_id.  Only leads that wait for export move; attempts add to the stored
+    count.  The first outcome that is not retryable decides, or the retry that reaches
+    the limit.  What was recorded after that, or for a lead already exported or failed, is
+    not applied and counted in ``ignored_attempts``.
     """
+    def stored(name: str, kind: str) -> Column:
+        return F.col(name).cast(kind) if name in leads.columns else F.lit(None).cast(kind)
+
+    before = F.coalesce(stored("export_attempts", "long"), F.lit(0))
+    kept = [c for c in leads.columns if c not in (
+        "state", "export_attempts", "export_error", "remote_prospect_id")]
+    waiting = F.col("state").isin("NEW", "PENDING_EXPORT")
     if not consent_required:
-        return leads.withColumns({
-            "outcome": F.lit("REFUSED"), "export_attempts": F.lit(0),
-            "export_error": F.lit("the captured lead does not prove processing consent"),
-            "remote_prospect_id": F.lit(None).cast("string")})
+        return leads.select(
+            *kept, "state", F.lit("REFUSED").alias("outcome"), before.alias("export_attempts"),
+            stored("remote_prospect_id", "string").alias("remote_prospect_id"),
+            F.lit("the captured lead does not prove processing consent").alias("export_error"),
+            F.lit(0).cast("long").alias("ignored_attempts"))
     place = F.row_number().over(
         Window.partitionBy("lead_id").orderBy("attempt_ts", "attempt_id"))
-    tried = attempts.withColumn("_n", place).where(F.col("_n") <= limit).withColumn(
+    room = leads.select("lead_id", F.when(waiting, F.greatest(
+        F.lit(1), F.lit(limit) - before)).otherwise(0).alias("_room"))
+    tried = attempts.withColumn("_n", place).join(room, "lead_id").withColumn(
         "_class", outcome_class(F.col("http_status")))
-    final = F.col("_class") != "RETRYABLE"
+    inside = F.col("_n") <= F.col("_room")
+    final = inside & (F.col("_class") != "RETRYABLE")
     told = tried.groupBy("lead_id").agg(
         F.min_by(F.struct("_class", "_n", "http_status", "prospect_id"),
                  F.when(final, F.col("_n"))).alias("d"),
-        F.max("_n").alias("tries"),
-        F.max_by("http_status", "_n").alias("last_status"))
+        F.max(F.when(inside, F.col("_n"))).alias("tries"), F.count("*").alias("_recorded"),
+        F.max_by("http_status", F.when(inside, F.col("_n"))).alias("last_status"))
     rows = leads.join(told, "lead_id", "left")
-    decided, tries = F.col("d._class"), F.coalesce(F.col("d._n"), F.col("tries"))
-    exhausted = decided.isNull() & (F.col("tries") >= limit)
+    decided, applied = F.col("d._class"), F.coalesce("d._n", "tries", F.lit(0))
+    total = before + applied
+    exhausted = decided.isNull() & (F.col("tries") > 0) & (total >= limit)
     detail = F.coalesce(F.col("last_status").cast("string"), F.lit("no response"))
+    moved = applied > 0
     return rows.select(
-        *[c for c in leads.columns if c != "state"],
+        *kept,
         F.when(decided.isin("CREATED", "REPLAY"), "EXPORTED")
         .when(decided.isNotNull() | exhausted, "EXPORT_FAILED")
-        .when(F.col("tries").isNotNull(), "PENDING_EXPORT")
-        .otherwise(F.col("state")).alias("state"),
-        F.coalesce(decided, F.when(F.col("tries").isNotNull(), "RETRYABLE"))
-        .alias("outcome"),
-        F.coalesce(tries, F.lit(0)).alias("export_attempts"),
-        F.col("d.prospect_id").alias("remote_prospect_id"),
+        .when(moved, "PENDING_EXPORT").otherwise(F.col("state")).alias("state"),
+        F.coalesce(decided, F.when(moved, "RETRYABLE")).alias("outcome"),
+        total.alias("export_attempts"),
+        F.coalesce("d.prospect_id", stored("remote_prospect_id", "string"))
+        .alias("remote_prospect_id"),
         F.when(decided == "CONFLICT", "CONFLICT: same correlation, divergent fingerprint")
         .when(decided == "UNAUTHORIZED", F.concat(
             F.lit("UNAUTHORIZED: producer credential rejected ("),
@@ -268,10 +283,11 @@ def fold_exports(leads: DataFrame, attempts: DataFrame, consent_required: bool =
         .when(decided == "REJECTED", F.concat(
             F.lit("REJECTED: "), F.col("d.http_status").cast("string")))
         .when(exhausted, F.concat(
-            F.lit("RETRY_EXHAUSTED after "), F.col("tries").cast("string"),
+            F.lit("RETRY_EXHAUSTED after "), total.cast("string"),
             F.lit(" attempt(s): "), detail))
-        .when(decided.isNull() & F.col("tries").isNotNull(),
-              F.concat(F.lit("RETRYABLE: "), detail)).alias("export_error"))
+        .when(decided.isNull() & moved, F.concat(F.lit("RETRYABLE: "), detail))
+        .when(~moved, stored("export_error", "string")).alias("export_error"),
+        (F.coalesce("_recorded", F.lit(0)) - applied).alias("ignored_attempts"))
 
 
 # ----------------------------------------------------------------- listings --

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -28,8 +29,8 @@ def _drafts(spark, sf):
         (F.col("conv_id") * 100 + F.col("turn")).alias("draft_id"),
         F.col("conv_id").alias("package_id"), F.when(F.col("turn") > 0, title)
         .alias("title"), body.alias("body"),
-        F.left(title, F.lit(70)).alias("meta_title"),
-        F.when(F.col("turn") != 2, F.left("text", F.lit(200))).alias("meta_description"),
+        title.alias("meta_title"),
+        F.when(F.col("turn") != 2, F.col("text")).alias("meta_description"),
         F.concat(F.lit("prix "), F.split(title, " ")[0]).alias("primary_query"),
         F.when(F.col("role") == "user", "COMMERCIAL").otherwise("INFORMATIONAL")
         .alias("search_intent"),
@@ -50,7 +51,7 @@ drafts_in AS (
       || CASE WHEN role = 'user' THEN '## Suite' || chr(10) || 'Ces prix sont TVAC.'
          ELSE 'Voir [offre](https://shop.example/x) **gras** et `code`.' END || chr(10)
       || CASE WHEN turn % 4 = 3 THEN 'TODO plus tard.' || chr(10) ELSE '' END AS raw_body,
-    left(t, 70) AS mt, CASE WHEN turn <> 2 THEN left(text, 200) END AS md,
+    t AS mt, CASE WHEN turn <> 2 THEN text END AS md,
     'prix ' || string_split(t, ' ')[1] AS pq,
     CASE WHEN role = 'user' THEN 'COMMERCIAL' ELSE 'INFORMATIONAL' END AS intent,
     CASE WHEN turn = 1 THEN 'COMPARISON' ELSE 'GUIDE' END AS ctype,
@@ -67,25 +68,26 @@ normal AS (
 
 
 def _facts(spark, sf):
-    """Required facts of a package: sentences of its first turn, twelve at most."""
-    first = inputs.table(spark, sf, "conversations").where("turn = 0")
-    return first.select(
-        F.col("conv_id").alias("package_id"), F.posexplode(F.slice(text.split_sentences(
-            F.regexp_replace("text", r"\s+", " ")), 1, fv.MAX_REQUIRED_FACTS))
-        .alias("fact_ord", "fact"))
+    """Required facts of a package: the sentences of all its turns."""
+    said = inputs.table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("package_id"), "turn", F.posexplode(text.split_sentences(
+            F.regexp_replace("text", r"\s+", " "))).alias("place", "fact"))
+    order = Window.partitionBy("package_id").orderBy("turn", "place")
+    return said.select("package_id", (F.row_number().over(order) - 1).alias("fact_ord"),
+                       "fact")
 
 
 FACTS = rf"""
 facts AS (
-  SELECT conv_id AS package_id, i - 1 AS fact_ord, parts[i] AS fact
-  FROM (SELECT conv_id, list_slice({o.sentences(
-      "regexp_replace(text, '\\s+', ' ', 'g')")}, 1, {fv.MAX_REQUIRED_FACTS}) AS parts
-        FROM conversations WHERE turn = 0), unnest(generate_series(1, len(parts))) AS u(i))"""
+  SELECT conv_id AS package_id, parts[i] AS fact,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, i) - 1 AS fact_ord
+  FROM (SELECT conv_id, turn, {o.sentences("regexp_replace(text, '\\s+', ' ', 'g')")} AS parts
+        FROM conversations), unnest(generate_series(1, len(parts))) AS u(i))"""
 
 
 def _numbers(spark, sf):
-    """Figures the package's evidence states: those of its even turns."""
-    rows = _drafts(spark, sf).where("draft_id % 2 = 0")
+    """Figures the package's evidence states: those of what the user said."""
+    rows = _drafts(spark, sf).where("search_intent = 'COMMERCIAL'")
     return drafts.evidence_numbers(rows.select("package_id", F.col("body").alias("text")))
 
 
@@ -155,9 +157,9 @@ stated AS (
   SELECT draft_id, package_id, CAST(turn + 10 AS VARCHAR), (turn + 10) || ' %' FROM normal),
 known AS (
   SELECT package_id, regexp_extract(raw_body, '- (\\d+) € par an', 1) AS number
-  FROM normal WHERE draft_id % 2 = 0
+  FROM normal WHERE role = 'user'
     AND length(regexp_extract(raw_body, '- (\\d+) € par an', 1)) >= 4
-  UNION SELECT package_id, CAST(turn + 10 AS VARCHAR) FROM normal WHERE draft_id % 2 = 0)"""
+  UNION SELECT package_id, CAST(turn + 10 AS VARCHAR) FROM normal WHERE role = 'user')"""
 UNSUPPORTED_NUMBERS = o.with_(DRAFTS) + NUMBERS + """
 SELECT DISTINCT draft_id, package_id, number, raw FROM stated s
 WHERE NOT EXISTS (SELECT 1 FROM known k
@@ -243,7 +245,7 @@ FROM counts"""
 # ---------------------------------------------------------------- SEO layer --
 def seo_review(spark, sf):
     turns = inputs.table(spark, sf, "conversations")
-    questions = turns.where("turn < 6").select(
+    questions = turns.select(
         F.col("conv_id").alias("package_id"), F.col("turn").alias("question_ord"),
         inputs.first_sentence(F.col("text")).alias("question"))
     gaps = turns.where("role = 'system'").select(
@@ -259,7 +261,7 @@ def seo_review(spark, sf):
 SEO_REVIEW = o.with_(DRAFTS) + f""",
 questions AS (
   SELECT conv_id AS package_id, {_LONG.format(x='t')} AS w FROM conv
-  WHERE turn < 6 AND t <> ''),
+  WHERE t <> ''),
 cover AS (
   SELECT draft_id, count(*) AS q, count(*) FILTER ({_echo('w', 'nb')}) AS c
   FROM normal JOIN questions USING (package_id) GROUP BY 1),

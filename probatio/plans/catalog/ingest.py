@@ -199,9 +199,10 @@ def _community_raw(spark, sf):
     grouped = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("e"))
     results = F.transform("e", lambda e: F.struct(*[e[n].alias(n) for n in (
         "candidate_id", "title", "source", "url", "published_at")]))
-    verdicts = F.transform(F.filter("e", lambda e: e["ord"] < 3), lambda e: F.struct(
+    verdicts = F.transform("e", lambda e: F.struct(
         e["candidate_id"].alias("candidate_id"),
-        F.get(F.array(F.lit("stale"), F.lit("odd"), F.lit("contradicted")), e["ord"])
+        F.get(F.array(F.lit("stale"), F.lit("odd"), F.lit("contradicted")),
+              (e["ord"] % 3).cast("int"))
         .alias("verdict")))
     version = F.get(F.array(*[F.lit(v).cast("string") for v in _VERSIONS]),
                     (F.col("conv_id") % len(_VERSIONS)).cast("int"))
@@ -228,7 +229,7 @@ items AS (
     CASE WHEN turn <> 3 THEN 'https://c.example/' || ref END AS url,
     CASE role WHEN 'user' THEN 'ok' WHEN 'assistant' THEN CASE WHEN conv_id % 2 = 0
          THEN 'timeout' ELSE 'schema-drift' END ELSE 'ok' END AS state,
-    CASE turn WHEN 0 THEN 'stale' WHEN 2 THEN 'contradicted' END AS verdict,
+    CASE turn % 3 WHEN 0 THEN 'stale' WHEN 2 THEN 'contradicted' END AS verdict,
     turn % 2 = 0 AS dated, nullif(regexp_replace(t, '^ +| +$', '', 'g'), '') AS title
   FROM good)"""
 

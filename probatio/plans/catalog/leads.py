@@ -39,11 +39,11 @@ leads AS (
 
 def _attribution(spark, sf):
     orders, customers = (inputs.table(spark, sf, n) for n in ("orders", "customer"))
-    return orders.where("o_orderpriority <> '4-NOT SPECIFIED'").join(
-        customers, F.col("o_custkey") == F.col("c_custkey")).select(
-            F.col("o_orderkey").alias("lead_id"),
-            F.col("o_orderpriority").alias("utm_source"),
-            F.col("c_mktsegment").alias("channel"))
+    named = F.col("o_orderpriority") != "4-NOT SPECIFIED"
+    return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("o_orderkey").alias("lead_id"),
+        F.when(named, F.col("o_orderpriority")).alias("utm_source"),
+        F.when(named, F.col("c_mktsegment")).alias("channel"))
 
 
 def attribution_counts(spark, sf):
@@ -159,7 +159,7 @@ def _spam_rows(spark, sf):
     e = inputs.table(spark, sf, "events")
     return e.select(
         F.col("event_id").alias("submission_id"),
-        keys.client_key(F.lit("salt"), F.col("event_type")).alias("client_key"),
+        keys.client_key(F.lit("salt"), F.col("user_id").cast("string")).alias("client_key"),
         F.col("ts").cast("timestamp").alias("submitted_at"),
         F.when(F.col("event_type") == "error", "filled").alias("honeypot"),
         F.when(F.col("value") < 2, 80).otherwise(5000).alias("elapsed_ms"))
@@ -172,22 +172,22 @@ def spam_verdicts(spark, sf):
 
 SPAM_VERDICTS = f"""
 WITH RECURSIVE s AS (
-  SELECT event_id, event_type, ts, event_type = 'error' AS honey, value < 2 AS fast
+  SELECT event_id, user_id, ts, event_type = 'error' AS honey, value < 2 AS fast
   FROM events),
 q AS (
-  SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
   FROM s WHERE NOT honey AND NOT fast),
 walk AS (
-  SELECT event_type, 0::BIGINT AS n, 0::BIGINT AS event_id, []::TIMESTAMP[] AS seen,
-         true AS ok FROM (SELECT DISTINCT event_type FROM q)
+  SELECT user_id, 0::BIGINT AS n, 0::BIGINT AS event_id, []::TIMESTAMP[] AS seen,
+         true AS ok FROM (SELECT DISTINCT user_id FROM q)
   UNION ALL
-  SELECT q.event_type, q.n, q.event_id,
+  SELECT q.user_id, q.n, q.event_id,
     CASE WHEN len(list_filter(seen, lambda t: t >= q.ts - INTERVAL 3600 SECOND)) < 5
          THEN list_append(list_filter(seen, lambda t: t >= q.ts - INTERVAL 3600 SECOND),
                           q.ts)
          ELSE list_filter(seen, lambda t: t >= q.ts - INTERVAL 3600 SECOND) END,
     len(list_filter(seen, lambda t: t >= q.ts - INTERVAL 3600 SECOND)) < 5
-  FROM walk JOIN q ON q.event_type = walk.event_type AND q.n = walk.n + 1)
+  FROM walk JOIN q ON q.user_id = walk.user_id AND q.n = walk.n + 1)
 SELECT event_id AS submission_id, false AS accepted,
   CASE WHEN honey THEN 'honeypot field was filled'
        ELSE 'submitted in 80ms, under the 2500ms floor' END AS spam_reason
@@ -198,52 +198,66 @@ FROM walk WHERE n > 0"""
 
 
 def lead_export(spark, sf):
-    """Line items as export attempts of their order's lead."""
+    """Line items as export attempts of their order's lead; part of the leads are
+    exported or failed already, and some have earlier attempts."""
     statuses = F.array(*[F.lit(s).cast("int") for s in _STATUSES])
     attempts = inputs.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("lead_id"),
         F.col("l_shipdate").cast("timestamp").alias("attempt_ts"),
-        (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("attempt_id"),
+        F.struct("l_linenumber", "l_partkey").alias("attempt_id"),
         F.get(statuses, (F.col("l_partkey") % len(_STATUSES)).cast("int"))
         .alias("http_status"), F.col("l_partkey").cast("string").alias("prospect_id"))
-    return leads.fold_exports(_leads(spark, sf).select("lead_id", "state"), attempts) \
-        .select("lead_id", "state", "outcome", "export_attempts", "export_error")
+    stored = _leads(spark, sf).select(
+        "lead_id", F.when((F.col("state") == "EXPORTED") & (F.col("lead_id") % 3 == 0),
+                          "EXPORT_FAILED").otherwise(F.col("state")).alias("state"),
+        F.when(F.col("state") != "NEW", F.col("lead_id") % 6).alias("export_attempts"))
+    return leads.fold_exports(stored, attempts).select(
+        "lead_id", "state", "outcome", "export_attempts", "export_error",
+        "remote_prospect_id", "ignored_attempts")
 
 
 _STATUSES = (503, None, 429, 500, 503, 429, 201, 502, 503, 500, 200, 409, 503, 401, 422)
 _STATUS_SQL = "[" + ", ".join("NULL" if s is None else str(s) for s in _STATUSES) + "]"
 LEAD_EXPORT = o.with_(LEADS) + f""",
+stored AS (
+  SELECT lead_id, CASE WHEN state = 'EXPORTED' AND lead_id % 3 = 0 THEN 'EXPORT_FAILED'
+      ELSE state END AS state,
+    CASE WHEN state <> 'NEW' THEN lead_id % 6 ELSE 0 END AS had FROM leads),
 tries AS (
-  SELECT l_orderkey AS lead_id, row_number() OVER (PARTITION BY l_orderkey
-           ORDER BY l_shipdate, l_linenumber * 1000000 + l_partkey) AS n,
+  SELECT l_orderkey AS lead_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey
+           ORDER BY l_shipdate, l_linenumber, l_partkey) AS n,
          {_STATUS_SQL}[l_partkey % {len(_STATUSES)} + 1] AS st FROM lineitem),
 classed AS (
-  SELECT *, CASE WHEN st = 201 THEN 'CREATED' WHEN st = 200 THEN 'REPLAY'
+  SELECT tries.*, state, had, CASE WHEN st = 201 THEN 'CREATED' WHEN st = 200 THEN 'REPLAY'
       WHEN st = 409 THEN 'CONFLICT' WHEN st IN (401, 403) THEN 'UNAUTHORIZED'
       WHEN st IS NULL OR st = 429 OR st BETWEEN 500 AND 599 THEN 'RETRYABLE'
-      ELSE 'REJECTED' END AS c FROM tries WHERE n <= {fv.MAX_EXPORT_ATTEMPTS}),
+      ELSE 'REJECTED' END AS c FROM tries JOIN stored USING (lead_id)),
+stops AS (
+  SELECT lead_id, min(n) AS stop FROM classed
+  WHERE c <> 'RETRYABLE' OR had + n >= {fv.MAX_EXPORT_ATTEMPTS} GROUP BY 1),
+applied AS (
+  SELECT classed.* FROM classed LEFT JOIN stops USING (lead_id)
+  WHERE state IN ('NEW', 'PENDING_EXPORT') AND n <= coalesce(stop, n)),
 told AS (
-  SELECT lead_id, min(n) FILTER (c <> 'RETRYABLE') AS dn, max(n) AS mx,
-         last(st ORDER BY n) AS ls
-  FROM classed GROUP BY 1),
-folded AS (
-  SELECT t.*, c.c AS d, c.st AS ds FROM told t
-  LEFT JOIN classed c ON c.lead_id = t.lead_id AND c.n = t.dn)
-SELECT l.lead_id,
-  CASE WHEN d IN ('CREATED', 'REPLAY') THEN 'EXPORTED'
-       WHEN d IS NOT NULL OR mx >= {fv.MAX_EXPORT_ATTEMPTS} THEN 'EXPORT_FAILED'
-       WHEN mx IS NOT NULL THEN 'PENDING_EXPORT' ELSE state END AS state,
-  coalesce(d, CASE WHEN mx IS NOT NULL THEN 'RETRYABLE' END) AS outcome,
-  coalesce(dn, mx, 0) AS export_attempts,
-  CASE WHEN d = 'CONFLICT' THEN 'CONFLICT: same correlation, divergent fingerprint'
-       WHEN d = 'UNAUTHORIZED' THEN 'UNAUTHORIZED: producer credential rejected (' || ds || ')'
-       WHEN d = 'REJECTED' THEN 'REJECTED: ' || ds
-       WHEN d IS NOT NULL OR mx IS NULL THEN NULL
-       WHEN mx >= {fv.MAX_EXPORT_ATTEMPTS} THEN 'RETRY_EXHAUSTED after ' || mx
+  SELECT lead_id, max(n) AS k, last(st ORDER BY n) AS ls, last(c ORDER BY n) AS lc,
+    last(l_partkey ORDER BY n) AS lp FROM applied GROUP BY 1)
+SELECT s.lead_id,
+  CASE WHEN k IS NULL THEN state WHEN lc IN ('CREATED', 'REPLAY') THEN 'EXPORTED'
+       WHEN lc <> 'RETRYABLE' OR had + k >= {fv.MAX_EXPORT_ATTEMPTS} THEN 'EXPORT_FAILED'
+       ELSE 'PENDING_EXPORT' END AS state,
+  lc AS outcome, had + coalesce(k, 0) AS export_attempts,
+  CASE WHEN k IS NULL OR lc IN ('CREATED', 'REPLAY') THEN NULL
+       WHEN lc = 'CONFLICT' THEN 'CONFLICT: same correlation, divergent fingerprint'
+       WHEN lc = 'UNAUTHORIZED' THEN 'UNAUTHORIZED: producer credential rejected (' || ls || ')'
+       WHEN lc = 'REJECTED' THEN 'REJECTED: ' || ls
+       WHEN had + k >= {fv.MAX_EXPORT_ATTEMPTS} THEN 'RETRY_EXHAUSTED after ' || (had + k)
          || ' attempt(s): ' || coalesce(CAST(ls AS VARCHAR), 'no response')
        ELSE 'RETRYABLE: ' || coalesce(CAST(ls AS VARCHAR), 'no response') END
-    AS export_error
-FROM leads l LEFT JOIN folded USING (lead_id)"""
+    AS export_error,
+  CASE WHEN lc <> 'RETRYABLE' THEN CAST(lp AS VARCHAR) END AS remote_prospect_id,
+  coalesce(all_n, 0) - coalesce(k, 0) AS ignored_attempts
+FROM stored s LEFT JOIN told USING (lead_id)
+LEFT JOIN (SELECT lead_id, count(*) AS all_n FROM tries GROUP BY 1) USING (lead_id)"""
 
 
 def export_payloads(spark, sf):
@@ -495,7 +509,7 @@ def publication_gate(spark, sf):
         .when(F.col("event_type") == "view", F.array(F.lit("UNSUPPORTED_DRAFT_CLAIM")))
         .otherwise(F.array().cast("array<string>")).alias("codes"),
         F.when(F.col("value") > 60, 1).otherwise(0).alias("blocking_issues")
-    ).where("draft_id > 40 or (status = 'PASSED' and blocking_issues = 0)")
+    )
     approvals = inputs.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("draft_id"), F.when(
             F.col("o_orderstatus") == "P", "PENDING").otherwise("APPROVED").alias("state"))
@@ -511,7 +525,7 @@ WITH reviews AS (
       WHEN event_type = 'signup' THEN 'SEO' WHEN value < 30 THEN 'FACTUAL'
       ELSE 'SEO' END AS layer,
     event_type <> 'error' AND NOT value > 60 AS good
-  FROM events WHERE user_id > 40 OR (event_type <> 'error' AND NOT value > 60)),
+  FROM events),
 per AS (
   SELECT draft_id, count(*) FILTER (layer = 'FACTUAL') AS nf,
     count(*) FILTER (layer = 'SEO') AS ns,

@@ -251,14 +251,14 @@ SELECT correlation_id, provider, operation, count(*) AS requests FROM usage GROU
 
 
 def job_totals(spark, sf):
-    return usage.job_totals(_usage(spark, sf).where("provider <> 'view'"))
+    return usage.job_totals(_usage(spark, sf))
 
 
 JOB_TOTALS = o.with_(USAGE) + """
 SELECT correlation_id, round(sum(cost_usd), 6) AS total_cost_usd,
   count(*) AS total_requests, count(cost_usd) AS priced_events,
   count(*) - count(cost_usd) AS unpriced_events
-FROM usage WHERE provider <> 'view' GROUP BY 1"""
+FROM usage GROUP BY 1"""
 
 
 def usage_backstop(spark, sf):

@@ -179,6 +179,30 @@ def test_export_retry_cap_and_terminal_states(spark):
     assert {r.outcome for r in refused.collect()} == {"REFUSED"}
 
 
+def test_export_leaves_terminal_leads_and_adds_to_stored_attempts(spark):
+    stored = [(0, "EXPORTED", 1, None, "p9"), (1, "EXPORT_FAILED", 5, "old", None),
+              (2, "PENDING_EXPORT", 4, "RETRYABLE: 503", None), (3, "NEW", None, None, None),
+              (4, "PENDING_EXPORT", 7, None, None)]
+    rows = spark.createDataFrame(stored, "lead_id int, state string, export_attempts int, "
+                                         "export_error string, remote_prospect_id string")
+    schema = "lead_id int, attempt_ts timestamp, attempt_id int, http_status int, prospect_id string"
+    codes = {0: [409], 1: [201], 2: [503, 201], 3: [503] * 3, 4: [201]}
+    first = leads.fold_exports(rows, spark.createDataFrame([
+        (i, START + dt.timedelta(hours=n), n, c, f"p{n}") for i, cs in codes.items()
+        for n, c in enumerate(cs)], schema))
+    got = {r.lead_id: (r.state, r.export_attempts, r.export_error, r.remote_prospect_id,
+                       r.ignored_attempts) for r in first.collect()}
+    assert got == {
+        0: ("EXPORTED", 1, None, "p9", 1), 1: ("EXPORT_FAILED", 5, "old", None, 1),
+        2: ("EXPORT_FAILED", 5, "RETRY_EXHAUSTED after 5 attempt(s): 503", None, 1),
+        3: ("PENDING_EXPORT", 3, "RETRYABLE: 503", None, 0),
+        4: ("EXPORTED", 8, None, "p0", 0)}
+    second = leads.fold_exports(first.drop("outcome", "ignored_attempts"), spark.createDataFrame(
+        [(3, START, n, 429, None) for n in range(3)], schema)).where("lead_id = 3").first()
+    assert (second.state, second.export_attempts, second.ignored_attempts) == (
+        "EXPORT_FAILED", 5, 1)
+
+
 def test_quarter_hot_key_spreads(spark):
     """A key with most of the log is folded in many slices, not in one group."""
     rows = spark.range(5000).select(
