@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 
 
-def clean(value: Column, limit: int = fv.MAX_FIELD_CHARS) -> Column:
-    """Control characters out, trimmed, bounded; NULL when nothing is left."""
+def clean(value: Column, limit: int | None = None) -> Column:
+    """Control characters out, trimmed; NULL when nothing is left.  ``limit`` is the
+    length that a site's own field definition allows."""
     tidy = F.regexp_replace(value, r"[\x00-\x1f\x7f]", "")
     tidy = F.regexp_replace(tidy, r"(?U)^\s+|\s+$", "")
-    cut = F.left(tidy, F.lit(limit))
+    cut = tidy if limit is None else F.left(tidy, F.lit(int(limit)))
     return F.when(cut != "", cut)
 
 
 def email(value: Column) -> Column:
     """Lower-case address, NULL when the shape is not usable."""
-    tidy = F.lower(clean(value, 320))
+    tidy = F.lower(clean(value))
     return F.when(tidy.rlike(fv.EMAIL_PATTERN), tidy)
 
 
@@ -32,7 +33,7 @@ def phone(value: Column) -> Column:
 
 
 def postcode(value: Column) -> Column:
-    tidy = F.left(F.upper(F.regexp_replace(value, r"(?U)[^\w]", "")), F.lit(16))
+    tidy = F.upper(F.regexp_replace(value, r"(?U)[^\w]", ""))
     return F.when(tidy != "", tidy)
 
 

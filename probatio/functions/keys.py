@@ -24,7 +24,7 @@ def run_key(query: Column, market: Column, language: Column, day: Column) -> Col
 
 def client_key(salt: Column, address: Column) -> Column:
     """Coarse, salted client identifier; the address itself is never stored."""
-    return F.left(F.sha2(F.concat(salt, F.lit(":"), address), 256), F.lit(32))
+    return F.sha2(F.concat(salt, F.lit(":"), address), 256)
 
 
 def timestamp_or_null(value: Column) -> Column:

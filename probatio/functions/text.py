@@ -244,25 +244,18 @@ def bare_host(url: Column) -> Column:
 
 
 # ------------------------------------------------------------------- slugs --
-def slug(text: Column, limit: int = 80) -> Column:
-    """Readable slug, cut on a word boundary."""
+def slug(text: Column) -> Column:
+    """Readable slug of the whole text, so different titles keep different slugs."""
     full = F.regexp_replace(
         F.regexp_replace(normalise(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    cut = F.left(full, F.lit(limit))
-    at_word = F.regexp_replace(cut, "-[^-]*$", "")
-    return (
-        F.when(full == "", F.lit("untitled"))
-        .when(F.length(full) <= limit, full)
-        .otherwise(F.when(at_word == "", cut).otherwise(at_word))
-    )
+    return F.when(full == "", F.lit("untitled")).otherwise(full)
 
 
 def page_slug(text: Column) -> Column:
-    """Slug of a published address: hard cut, ``page`` when nothing is left."""
+    """Slug of a published address, ``page`` when nothing is left."""
     plain = F.regexp_replace(fold(F.coalesce(text, F.lit(""))), r"[^\x00-\x7f]", "")
     full = F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    cut = F.left(full, F.lit(255))
-    return F.when(cut == "", F.lit("page")).otherwise(cut)
+    return F.when(full == "", F.lit("page")).otherwise(full)
 
 
 # --------------------------------------------------------------- sentences --

@@ -10,30 +10,24 @@ from probatio.functions import text
 from probatio.operators import classify
 from probatio.profiles import Profile
 
-LEADING_ANSWERS = 3
-OBSERVED_THEMES = 3
-
 
 def required_facts(evaluated: DataFrame, core: DataFrame) -> DataFrame:
-    """At most twelve facts per package; answers to the core question lead."""
+    """Facts of each package in order; answers to the core question lead."""
     order = Window.partitionBy("package_id").orderBy("claim_ord")
     facts = evaluated.where("evidence_status = 'SUPPORTED'").withColumn(
-        "_n", F.row_number().over(order)).where(F.col("_n") <= fv.MAX_REQUIRED_FACTS)
+        "_n", F.row_number().over(order))
     stated = facts.select(
         "package_id", F.lit(1).alias("_group"), F.col("_n").alias("_ord"),
         F.col("claim").alias("fact"), "source_ref", "category")
     leading = core.where("must_answer_directly").select(
-        "package_id", F.posexplode(F.slice("answers", 1, LEADING_ANSWERS))
-        .alias("_ord", "a")
+        "package_id", F.posexplode("answers").alias("_ord", "a")
     ).select("package_id", F.lit(0).alias("_group"), "_ord", F.col("a.claim").alias("fact"),
              F.lit(None).cast("string").alias("source_ref"),
              F.col("a.category").alias("category"))
     both = leading.unionByName(stated)
     place = F.row_number().over(
         Window.partitionBy("package_id").orderBy("_group", "_ord"))
-    return both.withColumn("fact_ord", place).where(
-        F.col("fact_ord") <= fv.MAX_REQUIRED_FACTS
-    ).select("package_id", "fact_ord", "fact", "source_ref", "category")
+    return both.withColumn("fact_ord", place).select("package_id", "fact_ord", "fact", "source_ref", "category")
 
 
 def required_sources(facts: DataFrame, sources: DataFrame) -> DataFrame:
@@ -64,10 +58,9 @@ def outline(content_type: Column, questions: Column) -> Column:
     plans = F.create_map(*[x for kind, headings in fv.OUTLINES.items()
                            for x in (F.lit(kind), text.string_array(headings))])
     own = F.coalesce(plans[content_type], text.string_array(fv.OUTLINES["ARTICLE"]))
-    themes = F.slice(F.coalesce(questions, text.string_array([])), 1, OBSERVED_THEMES)
+    themes = F.coalesce(questions, text.string_array([]))
     body = F.slice(own, F.lit(1), F.size(own) - 1)
-    return F.slice(F.concat(body, themes, F.array(F.element_at(own, -1))), 1,
-                   fv.MAX_OUTLINE_SECTIONS)
+    return F.concat(body, themes, F.array(F.element_at(own, -1)))
 
 
 def briefs(packages: DataFrame, core: DataFrame, questions: DataFrame,
@@ -100,12 +93,11 @@ def briefs(packages: DataFrame, core: DataFrame, questions: DataFrame,
         F.col("intent").alias("search_intent"), "content_type", "core_question",
         "core_answer_status", "must_answer_directly", "answers", "observed_range",
         F.when(query == "", "Untitled").otherwise(F.concat(
-            F.upper(F.left(query, F.lit(1))), F.substring(query, 2, 100000)))
+            F.upper(F.left(query, F.lit(1))), F.substring(query, F.lit(2), F.length(query))))
         .alias("recommended_title"),
         text.slug(F.col("query")).alias("recommended_slug"),
         outline(F.col("content_type"), F.col("questions")).alias("outline"),
-        F.slice(F.coalesce("questions", text.string_array([])), 1,
-                fv.MAX_KEY_QUESTIONS).alias("key_questions"),
+        F.coalesce("questions", text.string_array([])).alias("key_questions"),
         classify.call_to_action(F.col("intent"), profile).alias("cta_strategy"),
         F.lit(profile.target_audience).alias("target_audience"),
         F.lit(profile.business_objective).alias("objective"),

@@ -11,8 +11,6 @@ from probatio import fixed_values as fv
 from probatio.functions import text
 from probatio.profiles import Profile
 
-DETAIL_CHARS = 300
-MAX_SHOWN_NUMBERS = 10
 RESTRICTED_WINDOW = 120
 
 
@@ -37,8 +35,7 @@ def _finding(test: Column, code: str, message, blocking, detail=None) -> Column:
     return F.when(test, F.struct(
         F.lit(code).alias("code"), column(message, "string").alias("message"),
         column(blocking, "boolean").alias("blocking"),
-        F.left(F.coalesce(column(detail, "string"), F.lit("")), F.lit(DETAIL_CHARS))
-        .alias("detail")))
+        F.coalesce(column(detail, "string"), F.lit("")).alias("detail")))
 
 
 def _rows(prepared: DataFrame, findings: list[Column]) -> DataFrame:
@@ -145,12 +142,8 @@ def unsupported_numbers(prepared: DataFrame, numbers: DataFrame) -> DataFrame:
 def number_findings(prepared: DataFrame, numbers: DataFrame) -> DataFrame:
     """One blocking finding per draft with unsupported figures."""
     missing = unsupported_numbers(prepared, numbers).select("draft_id", "raw").distinct()
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("draft_id").orderBy("raw"))
-    shown = missing.withColumn("_n", place).where(F.col("_n") <= MAX_SHOWN_NUMBERS) \
-        .groupBy("draft_id").agg(F.concat_ws(", ", F.array_sort(F.collect_list("raw")))
-                                 .alias("_shown"))
+    shown = missing.groupBy("draft_id").agg(
+        F.concat_ws(", ", F.array_sort(F.collect_list("raw"))).alias("_shown"))
     counts = missing.groupBy("draft_id").agg(F.count("*").alias("n"))
     return _rows(counts.join(shown, "draft_id"), [_finding(
         F.col("n") > 0, "UNSUPPORTED_NUMERIC_CLAIM", F.format_string(
@@ -241,13 +234,11 @@ def deterministic_findings(drafts: DataFrame, facts: DataFrame, cautions: DataFr
 
 # ---------------------------------------------------------------- SEO layer --
 def question_coverage(prepared: DataFrame, questions: DataFrame) -> DataFrame:
-    """How many of the first twelve surfaced questions each draft addresses.
+    """How many of the surfaced questions each draft addresses.
 
     ``questions``: package_id, question_ord (from 0), question.
     """
-    asked = questions.where(
-        (F.col("question_ord") < fv.MAX_PAA_QUESTIONS) & (F.col("question") != "")
-    ).withColumn("_words", _distinctive(F.col("question")))
+    asked = questions.where(F.col("question") != "").withColumn("_words", _distinctive(F.col("question")))
     return prepared.where("body != ''").select("draft_id", "package_id", "norm_body").join(
         asked, "package_id").groupBy("draft_id").agg(
             F.count("*").alias("questions"),
@@ -259,7 +250,7 @@ def repeated_openings(prepared: DataFrame) -> DataFrame:
     parts = F.filter(F.split("body", rf"(?<=[.!?]){text.SPACES}"),
                      lambda s: F.length(s) > 40)
     keyed = prepared.select("draft_id", F.explode(parts).alias("_s")).select(
-        "draft_id", F.left(text.normalise(F.col("_s")), F.lit(80)).alias("opening"))
+        "draft_id", text.normalise(F.col("_s")).alias("opening"))
     return keyed.groupBy("draft_id", "opening").agg(F.count("*").alias("n")).where(
         "n > 1").groupBy("draft_id").agg(F.count("*").alias("repeats"))
 
@@ -318,7 +309,7 @@ def seo_findings(drafts: DataFrame, questions: DataFrame, gaps: DataFrame,
         _finding(F.size("_links") > 0, "EXTERNAL_LINK_IN_BODY", F.format_string(
             "The draft emits %d outbound link(s). Sources belong in the evidence "
             "ledger, not in the copy.", F.size("_links")), True,
-            F.concat_ws(", ", F.slice("_links", 1, 3))),
+            F.concat_ws(", ", "_links")),
         _finding(buying & ~body.rlike(fv.QUANTIFIED_ANSWER_PATTERN),
                  "NO_QUANTIFIED_ANSWER", F.when(must, F.format_string(
                      "The brief supplied %d evidence-backed figure(s) and required a "
@@ -336,7 +327,7 @@ def seo_findings(drafts: DataFrame, questions: DataFrame, gaps: DataFrame,
                      F.col("unknown_vat"), F.col("answers")), True),
     ]
     opportunities = prepared.join(
-        gaps.where(F.col("gap_ord") < fv.MAX_SERP_GAPS), "package_id")
+        gaps, "package_id")
     return _rows(rows, findings).unionByName(_rows(opportunities, [_finding(
         F.lit(True), "SERP_CONTENT_GAP",
         F.concat(F.lit("Opportunity: "), "gap"), False)]))

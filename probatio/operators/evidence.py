@@ -6,6 +6,8 @@ collected into a list to be decided on.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,6 +200,10 @@ def unresolved_high_risk(evaluated: DataFrame) -> DataFrame:
         (F.col("risk") == "HIGH") & (F.col("evidence_status") != "SUPPORTED"))
 
 
+def _unknown_placeholders(template: str) -> set[str]:
+    return set(re.findall(r"{(\w+)}", template)) - {"topic", "market", "category"}
+
+
 def research_plan(unresolved: DataFrame, packages: DataFrame, profile: Profile) -> DataFrame:
     """Targeted searches per package: one per unresolved category, most blocked first.
 
@@ -207,14 +213,13 @@ def research_plan(unresolved: DataFrame, packages: DataFrame, profile: Profile)
     policy = profile.official_source_policy
     templates = policy.get("query_templates") or {}
     spark = unresolved.sparkSession
-    limit = min(int(policy.get("max_queries") or fv.DEFAULT_PLANNED_QUERIES),
-                fv.MAX_PLANNED_QUERIES)
+    limit = policy.get("max_queries")  # of the profile; without it all are planned
     rows = []
     if policy.get("enabled") and profile.official_domains:
         for category in fv.CLAIM_CATEGORIES:
             for position, suffix in enumerate((*fv.REGIONAL_VARIANTS, "")):
                 template = templates.get(category + suffix)
-                if template:
+                if template and not _unknown_placeholders(template):
                     rows.append((category, position, suffix.lstrip("_") or None, template))
     shapes = dimension(spark, rows,
                        "category string, position int, variant string, template string")
@@ -237,10 +242,11 @@ def research_plan(unresolved: DataFrame, packages: DataFrame, profile: Profile)
     ranked = once.withColumn("plan_ord", F.row_number().over(
         Window.partitionBy("package_id").orderBy(order)))
     # A national query still goes out when its own regional variants use up the limit.
-    opened = F.min("plan_ord").over(Window.partitionBy("package_id", "category"))
-    ranked = ranked.withColumn("_opened", opened).where(
-        F.when(F.col("variant").isNull(), F.col("_opened")).otherwise(F.col("plan_ord"))
-        <= limit)
+    if limit:
+        opened = F.min("plan_ord").over(Window.partitionBy("package_id", "category"))
+        ranked = ranked.withColumn("_opened", opened).where(
+            F.when(F.col("variant").isNull(), F.col("_opened")).otherwise(F.col("plan_ord"))
+            <= int(limit))
     return ranked.select(
         "package_id", "plan_ord", "query", "category",
         F.when(F.col("variant").isNotNull(), F.concat(

@@ -10,23 +10,20 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import text
 from probatio.operators import classify
-from probatio.operators.drafts import DETAIL_CHARS
 from probatio.profiles import Profile
 
 SENTENCE = ["draft_id", "package_id", "sentence_ord"]
-SHOWN_SENTENCES = 3
 
 
 def draft_sentences(drafts: DataFrame) -> DataFrame:
-    """First sixty sentences of each draft that state a figure with a unit."""
+    """Sentences of each draft that state a figure with a unit."""
     body = F.regexp_replace(F.col("body"), r"(?m)^\s{0,3}#{1,6}\s+", "")
     body = F.regexp_replace(body, r"(?m)^\s*[-*+]\s+", "")
     parts = F.transform(F.split(body, rf"(?<=[.!?]){text.SPACES}|\n+"), text.strip)
     factual = F.filter(parts, lambda s: s.rlike(fv.FACTUAL_SENTENCE_PATTERN))
     return drafts.where(F.col("body").rlike("[0-9]")).select(
         "draft_id", "package_id",
-        F.posexplode(F.slice(factual, 1, fv.MAX_DRAFT_SENTENCES))
-        .alias("sentence_ord", "sentence"))
+        F.posexplode(factual).alias("sentence_ord", "sentence"))
 
 
 def _with_words(rows: DataFrame, column: str) -> DataFrame:
@@ -91,7 +88,7 @@ def _findings(rows: DataFrame, code: str, message: Column, detail: Column) -> Da
     return rows.select(
         "draft_id", F.lit(code).alias("code"), message.alias("message"),
         F.lit(True).alias("blocking"),
-        F.left(detail, F.lit(DETAIL_CHARS)).alias("detail"))
+        detail.alias("detail"))
 
 
 def ledger_review(drafts: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +101,7 @@ def ledger_review(drafts: DataFrame, claims: DataFrame) -> tuple[DataFrame, Data
     supported = claims.where("evidence_status = 'SUPPORTED'")
     asserted = pairs.select("draft_id", "package_id", "claim_id").distinct().join(
         claims, ["package_id", "claim_id"])
-    why = F.left("reason", F.lit(160))
+    why = F.col("reason")
     high = _findings(
         asserted.where((F.col("risk") == "HIGH")
                        & (F.col("evidence_status") != "SUPPORTED")),
@@ -123,9 +120,8 @@ def ledger_review(drafts: DataFrame, claims: DataFrame) -> tuple[DataFrame, Data
     unmatched = sentences.join(backed, SENTENCE, "left_anti")
     n_lost = unmatched.groupBy("draft_id").agg(
         F.count("*").alias("unmatched"),
-        F.concat_ws(" | ", F.transform(F.slice(F.array_sort(F.collect_list(F.struct(
-            "sentence_ord", F.left("sentence", F.lit(90)).alias("s")))), 1,
-            SHOWN_SENTENCES), lambda x: x["s"])).alias("_shown"))  # ≤ 60 per draft
+        F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct(
+            "sentence_ord", "sentence"))), lambda x: x["sentence"])).alias("_shown"))
     lost = _findings(n_lost, "UNSUPPORTED_DRAFT_CLAIM", F.concat(
         F.col("unmatched").cast("string"), F.lit(
             " factual sentence(s) in the draft do not correspond to any SUPPORTED "

@@ -293,7 +293,7 @@ def review_ambiguous(decisions: DataFrame,
                         batch.loc[rows, "relevance_status"] = status
                         batch.loc[rows, "relevance_stage"] = "semantic"
                         batch.loc[rows, "relevance_reason"] = (
-                            "Semantic review: " + why[rows].astype(str).str[:200])
+                            "Semantic review: " + why[rows].astype(str))
             yield batch[[f.name for f in schema]]
 
     return decisions.mapInPandas(apply, schema)

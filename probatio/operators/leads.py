@@ -22,14 +22,12 @@ def qualification(raw: Column, site: Site) -> Column:
     Field definitions are configuration, so each becomes one expression and no row
     is exploded or regrouped.
     """
-    bounded = F.map_from_entries(F.slice(F.map_entries(raw), 1,
-                                         fv.MAX_QUALIFICATION_KEYS))
     entries = []
     for field in site.fields:
         key, kind = field.get("key"), field.get("type", "text")
         if not key or kind == "consent":
             continue
-        answer = F.try_element_at(bounded, F.lit(key))
+        answer = F.try_element_at(raw, F.lit(key))
         entries.append(F.when(_answer(answer, kind, field).isNotNull(), F.struct(
             F.lit(key).alias("key"), _answer(answer, kind, field).alias("value"))))
     if not entries:
@@ -56,7 +54,7 @@ def _answer(answer: Column, kind: str, field: dict) -> Column:
         pattern = field.get("pattern")
         fits = F.trim(answer).rlike(pattern) if pattern else F.lit(True)
         return F.when(fits, code)
-    return contacts.clean(answer, int(field.get("max_length", fv.MAX_FIELD_CHARS)))
+    return contacts.clean(answer, field.get("max_length"))
 
 
 # --------------------------------------------------------------- validation --
@@ -72,8 +70,8 @@ def validate(submissions: DataFrame, site: Site) -> DataFrame:
         "email": contacts.email(F.col("email")),
         "phone": contacts.phone(F.col("phone")),
         "qualification": qualification(F.col("qualification"), site),
-        "first_name": contacts.clean(F.col("first_name"), 120),
-        "last_name": contacts.clean(F.col("last_name"), 120),
+        "first_name": contacts.clean(F.col("first_name")),
+        "last_name": contacts.clean(F.col("last_name")),
     })
     missing = []
     for field in site.fields:
@@ -86,7 +84,7 @@ def validate(submissions: DataFrame, site: Site) -> DataFrame:
             absent = absent & (F.coalesce(F.col(key), F.lit("")) == "")
         missing.append(F.when(absent, F.lit(key)))
     lacking = F.array_compact(F.array(*missing)) if missing else text.string_array([])
-    language = contacts.clean(F.col("language"), 8)
+    language = contacts.clean(F.col("language"))
     reason = (
         F.when(F.col("spam_reason").isNotNull(),
                F.concat(F.lit("submission rejected: "), "spam_reason"))
@@ -97,7 +95,7 @@ def validate(submissions: DataFrame, site: Site) -> DataFrame:
               "consent to process the request is required")
         .when(F.col("email").isNull(), F.concat(
             F.lit("not a usable email address: '"),
-            F.left(F.coalesce("raw_email", F.lit("")), F.lit(64)), F.lit("'")))
+            F.coalesce("raw_email", F.lit("")), F.lit("'")))
         .when(F.size("_lacking") > 0, F.concat(
             F.lit("missing required answer(s): "), F.concat_ws(", ", "_lacking")))
     )
@@ -178,10 +176,11 @@ def spam_verdicts(submissions: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------- export --
-def export_queue(leads: DataFrame, limit: int = fv.EXPORT_QUEUE_LIMIT) -> DataFrame:
-    """Oldest leads that still wait for export."""
-    return leads.where("state in ('NEW', 'PENDING_EXPORT')").orderBy(
-        "created_at", "lead_id").limit(limit)
+def export_queue(leads: DataFrame, limit: int | None = None) -> DataFrame:
+    """Leads that still wait for export, oldest first; the caller may take some only."""
+    waiting = leads.where("state in ('NEW', 'PENDING_EXPORT')").orderBy(
+        "created_at", "lead_id")
+    return waiting if limit is None else waiting.limit(limit)
 
 
 def export_payload(leads: DataFrame, attribution: DataFrame, project: list[str],
@@ -292,9 +291,10 @@ def fold_exports(leads: DataFrame, attempts: DataFrame, consent_required: bool =
 
 # ----------------------------------------------------------------- listings --
 def listing(leads: DataFrame, attribution: DataFrame,
-            limit: int = fv.LEAD_LISTING_LIMIT) -> DataFrame:
-    """Newest leads with masked contact details; the limit is the listing's own."""
-    newest = leads.orderBy(F.desc("created_at"), "lead_id").limit(limit)
+            limit: int | None = None) -> DataFrame:
+    """Leads with masked contact details; with a limit the newest ones."""
+    newest = leads if limit is None else leads.orderBy(
+        F.desc("created_at"), "lead_id").limit(limit)
     return newest.select(
         "lead_id", "state", "created_at",
         contacts.mask_email(F.col("email")).alias("email"),

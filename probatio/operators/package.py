@@ -19,11 +19,6 @@ from probatio.operators import classify
 from probatio.profiles import Profile
 
 PACKAGE_VERSION = 4
-EXCERPT_CHARS = 300
-NOTE_CLAIM_CHARS = 120
-NOTE_REASON_CHARS = 140
-MAX_HIGH_RISK_NOTES = 10
-MAX_CONFLICT_NOTES = 5
 
 
 # ------------------------------------------------------------ older package --
@@ -109,7 +104,7 @@ def writer_claims(evaluated: DataFrame, references: DataFrame,
         F.when(F.col("evidence_status") != "SUPPORTED", F.col("reason")).alias("caveat"))
     shown = references.where("supports").select(
         "package_id", "claim_id", "source_ref", "source_quality",
-        F.left("passage", F.lit(EXCERPT_CHARS)).alias("passage"))
+        "passage")
     return usable.join(shown, ["package_id", "claim_id"])
 
 
@@ -129,12 +124,10 @@ def unresolved_notes(evaluated: DataFrame, rejected: DataFrame,
     status = F.col("evidence_status")
     order = Window.partitionBy("package_id").orderBy("claim_ord")
 
-    def first(rows: DataFrame, limit: int) -> DataFrame:
-        return rows.withColumn("ord", F.row_number().over(order)).where(
-            F.col("ord") <= limit)
+    def ordered(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("ord", F.row_number().over(order))
 
-    short = F.left("claim", F.lit(NOTE_CLAIM_CHARS))
-    why = F.left("reason", F.lit(NOTE_REASON_CHARS))
+    short, why = F.col("claim"), F.col("reason")
     nothing = evaluated.groupBy("package_id").agg(
         F.count_if(status == "SUPPORTED").alias("n")).where("n = 0").select(
             "package_id", F.lit("supported").alias("kind"), F.lit(0).alias("ord"),
@@ -145,12 +138,12 @@ def unresolved_notes(evaluated: DataFrame, rejected: DataFrame,
             F.col("n").cast("string"), F.lit(
                 " retrieved source(s) were rejected as off-topic and contributed no "
                 "passages.")))
-    high = first(evaluated.where((F.col("risk") == "HIGH") & (status != "SUPPORTED")),
-                 MAX_HIGH_RISK_NOTES).select(
+    high = ordered(evaluated.where(
+        (F.col("risk") == "HIGH") & (status != "SUPPORTED"))).select(
         "package_id", F.lit("high_risk"), "ord", F.concat(
             "category", F.lit(" claim unresolved ("), "evidence_status", F.lit("): "),
             short, F.lit(" — "), why))
-    clash = first(evaluated.where(status == "CONFLICTING"), MAX_CONFLICT_NOTES).select(
+    clash = ordered(evaluated.where(status == "CONFLICTING")).select(
         "package_id", F.lit("conflict"), "ord",
         F.concat(F.lit("CONFLICTING evidence: "), short, F.lit(" — "), why))
     searches = plan.groupBy("package_id").agg(F.count("*").alias("n")).select(

@@ -99,7 +99,7 @@ def _cut(body: Column) -> Column:
     grouped = F.transform(judged, lambda b: F.struct(
         b["reason"].alias("reason"),
         F.when(b["reason"].isNotNull(),
-               F.array(F.left(b["cleaned"], F.lit(fv.DROPPED_TEXT_CHARS))))
+               F.array(b["cleaned"]))
         .otherwise(_group(b["cleaned"])).alias("texts")))
     rows = F.transform(grouped, lambda b, i: F.transform(
         b["texts"], lambda t, j: F.struct(
@@ -196,25 +196,20 @@ def is_quantified(body: Column) -> Column:
 
 
 def claims(kept: DataFrame) -> DataFrame:
-    """Atomic claims of kept passages, at most eight per passage, in order."""
+    """Atomic claims of kept passages, in order."""
     sentences = F.filter(
         F.transform(text.split_sentences(F.col("passage")), F.trim), lambda s: s != "")
     candidates = F.transform(
         F.flatten(F.transform(sentences, _propositions)),
         lambda p: F.trim(F.regexp_replace(p, r"^[ ,;:]+|[ ,;:]+$", "")))
-    kept_claims = F.slice(F.filter(candidates, is_assertion), 1,
-                          fv.MAX_CLAIMS_PER_PASSAGE)
-    return (
-        kept.select("*", F.posexplode(kept_claims).alias("claim_ord", "_full"))
-        .withColumn("claim", F.left("_full", F.lit(fv.MAX_CLAIM_CHARS)))
-        .withColumn("quantified", is_quantified(F.col("_full")))
-        .drop("_full")
-    )
+    kept_claims = F.filter(candidates, is_assertion)
+    return kept.select("*", F.posexplode(kept_claims).alias("claim_ord", "claim")).withColumn(
+        "quantified", is_quantified(F.col("claim")))
 
 
 def claim_key(claim: Column) -> Column:
-    """The first characters of a claim, whitespace and case ignored."""
-    return F.left(text.squeeze(F.lower(claim)), F.lit(fv.CLAIM_KEY_CHARS))
+    """The whole claim, whitespace and case ignored."""
+    return text.squeeze(F.lower(claim))
 
 
 def dedupe_claims(all_claims: DataFrame, order: list[str]) -> DataFrame:

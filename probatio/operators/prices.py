@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -36,9 +36,9 @@ def observed_range(contexts: DataFrame, minimum: int = 2) -> DataFrame:
     groups = rows.groupBy("package_id", *COMPARABLE).agg(
         F.count("*").alias("observation_count"), F.min("obs_ord").alias("_first"),
         F.min("lowest").alias("low"), F.max("highest").alias("high"))
-    best = groups.groupBy("package_id").agg(F.max_by(
+    best = groups.groupBy("package_id").agg(F.min_by(
         F.struct("low", "high", *COMPARABLE, "observation_count"),
-        F.struct(F.col("observation_count"), -F.col("_first"))).alias("r"))
+        F.struct(-F.col("observation_count"), F.col("_first"))).alias("r"))
     return best.select("package_id", "r.*").where(
         F.col("observation_count") >= minimum
     ).withColumn("wording", F.lit(fv.OBSERVED_RANGE_WORDING))
@@ -87,10 +87,8 @@ def core_question(packages: DataFrame, evaluated: DataFrame, profile: Profile) -
         answers.withColumnRenamed("claim_ord", "obs_ord"), minimum
     ).select("package_id", F.struct(
         "low", "high", *COMPARABLE, "observation_count", "wording").alias("price_range"))
-    position = F.row_number().over(Window.partitionBy("package_id").orderBy("claim_ord"))
     top = (
-        answers.withColumn("_n", position).where(F.col("_n") <= fv.MAX_PRICE_ANSWERS)
-        .groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct(
+        answers.groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct(
             "claim_ord", "claim", "category", "price",
             prices.qualification_label(F.col("category")).alias("qualification"),
             urls.alias("source_urls")))).alias("answers"))

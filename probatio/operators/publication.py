@@ -194,7 +194,7 @@ def sitemap(published: DataFrame, site: Site) -> DataFrame:
 
 
 def pending_approvals(drafts: DataFrame, approvals: DataFrame) -> DataFrame:
-    """Newest open approvals first; the limit is the listing's own."""
+    """All open approvals, newest first."""
     return approvals.where("state in ('PENDING', 'NEEDS_REVISION')").join(
         drafts.select("draft_id", "title"), "draft_id"
-    ).orderBy(F.desc("created_at"), "draft_id").limit(fv.APPROVAL_LISTING_LIMIT)
+    ).orderBy(F.desc("created_at"), "draft_id")

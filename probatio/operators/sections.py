@@ -30,7 +30,7 @@ def plain(value: Column) -> Column:
     bare = F.regexp_replace(_without_links(value), r"\*\*(.+?)\*\*", "$1")
     bare = F.regexp_replace(bare, r"(?<!\*)\*(?!\*)(.+?)(?<!\*)\*(?!\*)", "$1")
     bare = F.regexp_replace(bare, r"`([^`]+)`", "$1")
-    return F.left(text.squeeze(bare), F.lit(fv.MAX_RUN_CHARS))
+    return text.squeeze(bare)
 
 
 def runs(value: Column) -> Column:
@@ -46,8 +46,7 @@ def runs(value: Column) -> Column:
         mark = (F.when(piece.startswith("**"), "strong")
                 .when(piece.startswith("`"), "code").otherwise("em"))
         return F.struct(
-            F.left(F.when(marked, inner).otherwise(piece), F.lit(fv.MAX_RUN_CHARS))
-            .alias("text"),
+            F.when(marked, inner).otherwise(piece).alias("text"),
             F.when(marked, mark).alias("mark"))
 
     return F.filter(F.transform(cut, run),
@@ -102,10 +101,8 @@ def sections(drafts: DataFrame) -> DataFrame:
         F.when(~is_list, plain(joined)).alias("text"),
         F.when(F.col("kind") == "paragraph", runs(joined)).alias("runs"),
         F.when(is_list, F.transform(
-            F.slice("_lines", 1, fv.MAX_LIST_ITEMS),
-            lambda x: F.struct(plain(x).alias("text"), runs(x).alias("runs"))))
+            "_lines", lambda x: F.struct(plain(x).alias("text"), runs(x).alias("runs"))))
         .alias("items"),
     ).where("kind != 'heading' or text != ''")
     place = F.row_number().over(Window.partitionBy("draft_id").orderBy("_run"))
-    return built.withColumn("section_ord", place).where(
-        F.col("section_ord") <= fv.MAX_SECTIONS).drop("_run")
+    return built.withColumn("section_ord", place).drop("_run")

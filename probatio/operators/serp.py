@@ -10,9 +10,6 @@ from probatio.functions import text
 from probatio.functions.rounding import round_tenth
 from probatio.profiles import Profile
 
-TOP_DOMAINS = 5
-REPEATED_DOMAINS = 3
-
 
 def page_shapes(results: DataFrame) -> DataFrame:
     """One boolean per page shape, read from the title; plus bare host and local TLD."""
@@ -46,8 +43,7 @@ def analyse(snapshots: DataFrame, results: DataFrame, questions: DataFrame,
     distinct = hosts.groupBy("snapshot_id").agg(F.count("*").alias("distinct_domains"))
     place = F.row_number().over(
         Window.partitionBy("snapshot_id").orderBy(F.desc("n"), "_first"))
-    leading = hosts.withColumn("place", place).where(F.col("place") <= TOP_DOMAINS) \
-        .groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct(
+    leading = hosts.withColumn("place", place).groupBy("snapshot_id").agg(F.array_sort(F.collect_list(F.struct(
             "place", F.col("host").alias("domain"), F.col("n").alias("count")))
         ).alias("_top"))
     asked = questions.groupBy("snapshot_id").agg(
@@ -78,8 +74,7 @@ def _observe(rows: DataFrame) -> DataFrame:
     top = F.coalesce("_top", F.array().cast(
         "array<struct<place:int,domain:string,count:bigint>>"))
     repeated = F.transform(
-        F.filter(F.slice(top, 1, REPEATED_DOMAINS), lambda d: d["count"] > 1),
-        lambda d: d["domain"])
+        F.filter(top, lambda d: d["count"] > 1), lambda d: d["domain"])
 
     def line(pattern: str, *columns: Column) -> Column:
         return F.format_string(pattern, *columns)

@@ -69,7 +69,7 @@ dropped AS (
   FROM reasoned),
 grouped AS (
   SELECT package_id, doc_id, source_ref, block_ord, drop_reason,
-    CASE WHEN drop_reason IS NOT NULL THEN [left(cleaned, {fv.DROPPED_TEXT_CHARS})]
+    CASE WHEN drop_reason IS NOT NULL THEN [cleaned]
          WHEN length(cleaned) <= {fv.MAX_PASSAGE_CHARS} THEN [cleaned]
          ELSE string_split(list_reduce({o.sentences('cleaned', '.!?;:')},
            lambda acc, x: CASE
@@ -167,11 +167,10 @@ asserted AS (
       OR NOT regexp_matches(rtrim(c), '[.!]$')))),
 all_claims AS (
   SELECT package_id, doc_id, source_ref, passage_ord, passage,
-    row_number() OVER w - 1 AS claim_ord, left(c, {fv.MAX_CLAIM_CHARS}) AS claim,
+    row_number() OVER w - 1 AS claim_ord, c AS claim,
     regexp_matches(c, '{_QUANTITY}') OR regexp_matches(c, '{_BARE}') AS quantified
   FROM asserted
-  WINDOW w AS (PARTITION BY doc_id, passage_ord ORDER BY s_ord, p_ord)
-  QUALIFY row_number() OVER w <= {fv.MAX_CLAIMS_PER_PASSAGE})"""
+  WINDOW w AS (PARTITION BY doc_id, passage_ord ORDER BY s_ord, p_ord))"""
 ATOMIC_CLAIMS = o.with_(PASSAGES, CLAIMS) + """
 SELECT package_id, source_ref, passage_ord, claim_ord, claim, quantified FROM all_claims"""
 
@@ -190,8 +189,7 @@ def deduplicated_claims(spark, sf):
 DEDUPED = f"""
 deduped AS (
   SELECT *, count(*) OVER (PARTITION BY package_id, k) AS occurrences FROM (
-    SELECT *, left(trim(regexp_replace(lower(claim), '\\s+', ' ', 'g')),
-                   {fv.CLAIM_KEY_CHARS}) AS k FROM all_claims)
+    SELECT *, trim(regexp_replace(lower(claim), '\\s+', ' ', 'g')) AS k FROM all_claims)
   QUALIFY row_number() OVER (PARTITION BY package_id, k
                              ORDER BY doc_id, passage_ord, claim_ord) = 1)"""
 DEDUPLICATED_CLAIMS = o.with_(PASSAGES, CLAIMS, DEDUPED) + """

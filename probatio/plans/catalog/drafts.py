@@ -267,7 +267,7 @@ cover AS (
   FROM normal JOIN questions USING (package_id) GROUP BY 1),
 openings AS (
   SELECT draft_id, k, count(*) AS n FROM (
-    SELECT draft_id, left({o.norm('p')}, 80) AS k FROM (
+    SELECT draft_id, {o.norm('p')} AS k FROM (
       SELECT draft_id, unnest(string_split(regexp_replace(body, '([.!?])\\s+',
              '\\1' || chr(31), 'g'), chr(31))) AS p FROM normal) WHERE length(p) > 40)
   GROUP BY 1, 2),
@@ -290,7 +290,7 @@ UNION ALL SELECT draft_id, 'VAT_STATUS_GENERALISED', true FROM normal
   WHERE role = 'user' AND package_id % 3 > 0
 UNION ALL SELECT draft_id, 'SERP_CONTENT_GAP', false
   FROM normal n JOIN conversations c ON c.conv_id = n.package_id
-  WHERE c.role = 'system' AND c.turn < {fv.MAX_SERP_GAPS}"""
+  WHERE c.role = 'system'"""
 
 
 # ------------------------------------------------------------------ factual --
@@ -330,7 +330,7 @@ said_w AS (
               lambda w: length(w) > 4)) AS sw,
     list_filter(list_distinct(regexp_extract_all(sentence, '\d\d+')), lambda n:
       NOT (length(n) = 4 AND n BETWEEN '1900' AND '2100')) AS sn
-  FROM said WHERE sentence_ord < {fv.MAX_DRAFT_SENTENCES}),
+  FROM said),
 ledger AS (
   SELECT package_id, package_id || '-' || fact_ord AS claim_id, fact_ord,
     fact || ' Une installation coûte ' || CASE WHEN fact_ord % 2 = 0 THEN '1180' ELSE '12' END

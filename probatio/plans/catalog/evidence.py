@@ -335,9 +335,7 @@ SELECT package_id, plan_ord, query, category,
          || ': a national query does not reach this region''s authorities'
        ELSE n || ' unresolved ' || category
          || ' claim(s) need a source meeting the {PROFILE.code} authority bar' END AS reason
-FROM (SELECT *, min(plan_ord) OVER (PARTITION BY package_id, category) AS opened
-      FROM ranked)
-WHERE CASE WHEN variant = '' THEN opened ELSE plan_ord END <= 5"""
+FROM ranked"""
 
 
 # ------------------------------------------------------------------ package --
@@ -593,7 +591,7 @@ def _priced_packages(spark, sf):
     claims = price_texts(spark, sf)
     rows = classify.with_category(claims, "text", PROFILE).select(
         F.col("l_suppkey").alias("package_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_ord"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "text").alias("claim_ord"),
         F.col("text").alias("claim"), "category",
         F.when(F.col("l_partkey") % 3 == 0, "SUPPORTED").otherwise("UNSUPPORTED")
         .alias("evidence_status"))
@@ -610,7 +608,7 @@ def observed_ranges(spark, sf):
     """Observed price range of each part over all its line items."""
     rows = prices.price_contexts(price_texts(spark, sf), "text").select(
         F.col("l_partkey").alias("package_id"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("obs_ord"), "price")
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "text").alias("obs_ord"), "price")
     return prices.observed_range(rows)
 
 
@@ -620,13 +618,13 @@ SELECT package_id, low, high, basis, vat_status, 'EUR' AS currency, battery_incl
        '{fv.OBSERVED_RANGE_WORDING}' AS wording
 FROM (SELECT l_partkey AS package_id, basis, vat_status, battery_included,
              installation_included, count(*) AS n, min(amounts[1]) AS low,
-             max(amounts[-1]) AS high, min(l_orderkey * 10 + l_linenumber) AS f
+             max(amounts[-1]) AS high, min(struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, t := text)) AS f
       FROM priced WHERE basis <> 'UNKNOWN' GROUP BY ALL)
 QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY n DESC, f) = 1 AND n >= 2"""
 
 PRICED = o.with_(PRICE_TEXTS, PRICE_CONTEXTS) + f""",
 answers AS (
-  SELECT *, l_suppkey AS package_id, l_orderkey * 10 + l_linenumber AS claim_ord
+  SELECT *, l_suppkey AS package_id, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, t := text) AS claim_ord
   FROM (SELECT *, {_sql_category('text', 'n')} AS category
         FROM (SELECT *, {o.norm('text')} AS n FROM priced))
   WHERE category IN ({o.listed(fv.PRICE_ANSWER_CATEGORIES)}) AND l_partkey % 3 = 0
@@ -671,8 +669,7 @@ def core_question(spark, sf):
 CORE_QUESTION = PRICED + """,
 top AS (
   SELECT package_id, count(*) AS n, string_agg(text, '|' ORDER BY claim_ord) AS a FROM (
-    SELECT * FROM answers
-    QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY claim_ord) <= 6) GROUP BY 1),
+    SELECT * FROM answers) GROUP BY 1),
 ranges AS (
   SELECT * FROM (
     SELECT package_id, count(*) AS n, min(amounts[1]) AS low, max(amounts[-1]) AS high,
@@ -780,10 +777,10 @@ SELECT p.package_id, CASE WHEN intent = 'COMMERCIAL' THEN 'LANDING_PAGE' ELSE 'G
          AS content_type, core_answer_status,
   upper(left(query, 1)) || substr(query, 2) AS recommended_title,
   replace(query, ' ', '-') AS recommended_slug,
-  least(9, len(own) + least(3, coalesce(len(q), 0))) AS sections,
-  array_to_string(list_slice(list_concat(list_slice(own, 1, len(own) - 1),
-    list_slice(coalesce(q, []), 1, 3), [own[-1]]), 1, 9), '|') AS outline,
-  least(10, coalesce(len(q), 0)) AS key_questions,
+  len(own) + coalesce(len(q), 0) AS sections,
+  array_to_string(list_concat(list_slice(own, 1, len(own) - 1), coalesce(q, []),
+    [own[-1]]), '|') AS outline,
+  coalesce(len(q), 0) AS key_questions,
   CASE WHEN intent = 'COMMERCIAL' THEN 'quote' ELSE 'guide' END AS cta_code,
   1 + CASE WHEN partial THEN 1 ELSE 0 END
     + CASE WHEN core_answer_status = 'CORE_QUESTION_UNRESOLVED' THEN 1 ELSE 0 END AS missing
@@ -791,22 +788,22 @@ FROM plan p JOIN core USING (package_id) LEFT JOIN asked USING (package_id)"""
 
 BRIEF_FACTS = f"""
 WITH core AS ({CORE_QUESTION}),
-base AS ({PRICED} SELECT l_suppkey AS package_id, l_orderkey * 10 + l_linenumber AS ord,
+base AS ({PRICED} SELECT l_suppkey AS package_id, struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey, t := text) AS ord,
          text, category FROM (SELECT *, {_sql_category('text', 'n')} AS category
          FROM (SELECT *, {o.norm('text')} AS n FROM priced)) WHERE l_partkey % 3 = 0),
 lead AS (
   SELECT package_id, 0 AS g, i AS ord, parts[i] AS fact
   FROM (SELECT package_id, string_split(answers, '|') AS parts FROM core
-        WHERE must_answer_directly), unnest([1, 2, 3]) AS u(i) WHERE i <= len(parts)),
+        WHERE must_answer_directly), unnest(generate_series(1, len(parts))) AS u(i)),
 both_ AS (
   SELECT package_id, g, ord, fact FROM lead
-  UNION ALL SELECT package_id, 1, ord, text FROM base
-  QUALIFY row_number() OVER (PARTITION BY package_id ORDER BY ord) <= 12)
+  UNION ALL SELECT package_id, 1, row_number() OVER (PARTITION BY package_id ORDER BY ord),
+    text FROM base)
 SELECT * FROM (
   SELECT package_id, row_number() OVER (PARTITION BY package_id ORDER BY g, ord)
            AS fact_ord, fact,
          (SELECT any_value(category) FROM base b WHERE b.text = fact) AS category
-  FROM both_) WHERE fact_ord <= 12"""
+  FROM both_)"""
 
 
 def cautionary_topics(spark, sf):

@@ -67,8 +67,7 @@ LEAD_LISTING = o.with_(LEADS) + f"""
 SELECT l.lead_id, l.state, left(email, 2) || '***@example.com' AS email,
   phone IS NOT NULL AS has_phone,
   CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN c_mktsegment END AS channel
-FROM (SELECT * FROM leads ORDER BY created_at DESC, lead_id
-      LIMIT {fv.LEAD_LISTING_LIMIT}) l
+FROM leads l
 JOIN orders ON o_orderkey = lead_id JOIN customer ON o_custkey = c_custkey"""
 
 
@@ -78,7 +77,7 @@ def export_queue(spark, sf):
 
 EXPORT_QUEUE = o.with_(LEADS) + f"""
 SELECT lead_id, state FROM leads WHERE state IN ('NEW', 'PENDING_EXPORT')
-ORDER BY created_at, lead_id LIMIT {fv.EXPORT_QUEUE_LIMIT}"""
+ORDER BY created_at, lead_id"""
 
 
 def _submissions(spark, sf):
@@ -374,7 +373,7 @@ PENDING_APPROVALS = o.with_(o.DOCUMENTS) + f"""
 SELECT o_orderkey AS draft_id, CASE o_orderstatus WHEN 'O' THEN 'PENDING'
          ELSE 'NEEDS_REVISION' END AS state, title
 FROM orders JOIN documents_in ON doc_id = o_orderkey WHERE o_orderstatus IN ('O', 'P')
-ORDER BY o_orderdate DESC, o_orderkey LIMIT {fv.APPROVAL_LISTING_LIMIT}"""
+ORDER BY o_orderdate DESC, o_orderkey"""
 
 
 # -------------------------------------------------------------- publication --

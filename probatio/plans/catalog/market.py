@@ -79,8 +79,8 @@ hosts AS (
         FROM shaped WHERE host IS NOT NULL GROUP BY 1, 2)),
 tops AS (
   SELECT snapshot_id, string_agg(host || ':' || n, ' ' ORDER BY place)
-           FILTER (place <= 5) AS top_domains,
-         coalesce(string_agg(host, ' ' ORDER BY place) FILTER (place <= 3 AND n > 1), '')
+           AS top_domains,
+         coalesce(string_agg(host, ' ' ORDER BY place) FILTER (n > 1), '')
            AS repeated_domains
   FROM hosts GROUP BY 1),
 asked AS (
@@ -390,9 +390,9 @@ def event_validation(spark, sf):
 EVENT_VALIDATION = o.with_(SITE_EVENTS) + """
 SELECT event_id, event_type, step > 0 AS accepted,
   CASE WHEN step > 0 THEN NULL ELSE 'UNKNOWN_EVENT_TYPE' END AS rejection_reason,
-  CASE WHEN step > 0 THEN 8 END AS keys,
-  CASE WHEN step > 0 THEN least(120, 20 * length(props)) END AS value_chars,
-  CASE WHEN step > 0 THEN 40 END AS key_chars
+  CASE WHEN step > 0 THEN 10 END AS keys,
+  CASE WHEN step > 0 THEN 20 * length(props) END AS value_chars,
+  CASE WHEN step > 0 THEN 43 END AS key_chars
 FROM (SELECT * REPLACE (coalesce(step, 0) AS step) FROM stepped)"""
 
 

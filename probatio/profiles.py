@@ -255,7 +255,7 @@ class Site:
             (f["key"], f.get("type", "text"), bool(f.get("required")),
              [str(o.get("value")) for o in f.get("options") or []],
              _number(f.get("min")), _number(f.get("max")), f.get("pattern"),
-             int(f.get("max_length", fv.MAX_FIELD_CHARS)))
+             f.get("max_length"))
             for f in self.fields if f.get("key")
         ]
         return dimension(

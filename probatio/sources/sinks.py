@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
 
-STORED_PASSAGE_CHARS = 4000
-
 
 def source_rows(sources: DataFrame, outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Sources with their gate decision, plus a row per outcome without an item.
@@ -42,7 +40,7 @@ def passage_rows(references: DataFrame, sources: DataFrame) -> DataFrame:
     known = sources.select("package_id", "source_ref").distinct()
     return references.join(known, ["package_id", "source_ref"], "left_semi").select(
         "package_id", "claim_id", "source_ref",
-        F.left("passage", F.lit(STORED_PASSAGE_CHARS)).alias("passage"), "supports",
+        "passage", "supports",
         "agrees", "observation_status", "source_quality",
         F.concat_ws("; ", "reasons").alias("note"))
 

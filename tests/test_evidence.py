@@ -295,3 +295,31 @@ def test_unpriced_job_has_unknown_cost(spark):
     got = {r.correlation_id: (r.total_cost_usd, r.priced_events, r.unpriced_events)
            for r in usage.job_totals(rows).collect()}
     assert got == {"a": (None, 0, 1), "b": (0.002, 1, 1)}
+
+
+def test_nothing_is_cut_beyond_the_old_limits(spark):
+    """More claims, longer claims, more qualification keys and more list items than once fitted."""
+    from probatio.functions import contacts
+    from probatio.operators import funnel, passages, sections
+
+    sentence = "Le prix moyen constaté est de {} € pour une installation de panneaux solaires"
+    body = ". ".join(sentence.format(1000 + n) for n in range(12)) + "."
+    kept = spark.createDataFrame([("p", body)], "package_id string, passage string")
+    assert passages.claims(kept).count() == 12
+    tail = " et " + "bien " * 80
+    claims = spark.createDataFrame(
+        [("p", n, "Même début " + "long " * 60 + tail + str(n)) for n in range(3)],
+        "package_id string, claim_ord int, claim string")
+    assert passages.dedupe_claims(claims, ["claim_ord"]).count() == 3
+    events = spark.createDataFrame(
+        [("FORM_STARTED", {f"{'k' * 50}{n}": "v" * 500 for n in range(20)})],
+        "event_type string, detail map<string,string>")
+    detail = funnel.validate_events(events).first().detail
+    assert len(detail) == 20 and {len(v) for v in detail.values()} == {500}
+    assert spark.createDataFrame([("x" * 999,)], "v string").select(
+        contacts.clean(F.col("v")).alias("v")).first().v == "x" * 999
+    draft = spark.createDataFrame(
+        [(1, "# T\n\n" + "\n".join(f"- item {n}" for n in range(70)) + "".join(
+            f"\n\nParagraphe {n}." for n in range(80)))], "draft_id int, body string")
+    found = sections.sections(draft).collect()
+    assert max(len(r["items"] or []) for r in found) == 70 and len(found) >= 81

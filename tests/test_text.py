@@ -31,12 +31,12 @@ def test_stem_order(spark, word, stemmed):
     assert column(spark, [word], text.stem) == [stemmed] == [text.local_stem(word)]
 
 
-def test_slug_cuts_on_a_word(spark):
-    long = "mot " * 40
-    slug = column(spark, [long, "", "É à ç!"], text.slug)
-    assert slug[0] == "-".join(["mot"] * 20) and len(slug[0]) <= 80
-    assert slug[1:] == ["untitled", "e-a-c"]
+def test_slugs_keep_the_whole_title(spark):
+    long = "mot " * 100
+    slug = column(spark, [long, long + "x", "", "É à ç!"], text.slug)
+    assert slug == ["-".join(["mot"] * 100), "-".join(["mot"] * 100) + "-x", "untitled", "e-a-c"]
     assert column(spark, ["", "Prix 2026"], text.page_slug) == ["page", "prix-2026"]
+    assert len(column(spark, [long], text.page_slug)[0]) == 399
 
 
 def test_quantities_are_typed_once(spark):
