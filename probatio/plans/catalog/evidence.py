@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -20,9 +18,8 @@ from probatio.sources import sinks
 AS_OF_YEAR = 2024
 
 
-@lru_cache(maxsize=4)
 def _run(spark, sf):
-    """Several queries read the same run; its intermediates are checkpointed."""
+    """A run of its own for each query; only the parts that the query reads are made."""
     return evidence_run.driver_tables(spark, sf, PROFILE, AS_OF_YEAR)
 
 
@@ -58,7 +55,7 @@ def _concepts(rows: str, key: str, column: str) -> str:
 
 CLAIMS_IN = rf"""
 claims_in AS (
-  SELECT item_id || '-' || (i - 1) AS claim_id, item_id * 1000 + i - 1 AS claim_ord,
+  SELECT item_id || '-' || (i - 1) AS claim_id, struct_pack(a := item_id, b := i - 1) AS claim_ord,
          trim(parts[i]) AS claim
   FROM (SELECT item_id, {o.sentences("regexp_replace(text, '\\s+', ' ', 'g')")} AS parts
         FROM benchmark), unnest(generate_series(1, len(parts))) AS u(i)
@@ -394,8 +391,8 @@ FROM best b JOIN dims USING (source_ref) JOIN matched m
  AND m.passage_ord = b.passage_ord"""
 
 
-def _gated_sources(spark, sf):
-    run = _run(spark, sf)
+def _gated_sources(spark, sf, run=None):
+    run = run or _run(spark, sf)
     sizes = inputs.documents(spark, sf).select(
         F.col("doc_id").cast("string").alias("source_ref"), "title",
         F.when(F.length("body") > 1500, "RELEVANT").otherwise("LOW_RELEVANCE")
@@ -418,9 +415,10 @@ def _states(spark, sf):
 
 def _confidence(spark, sf):
     snapshots = inputs.table(spark, sf, "pages").select(F.lit(0).alias("package_id"))
+    run = _run(spark, sf)
     return package.confidence_summary(
-        _gated_sources(spark, sf), _passage_counts(spark, sf),
-        evidence.summary(_run(spark, sf).evaluated), _states(spark, sf), snapshots)
+        _gated_sources(spark, sf, run), _passage_counts(spark, sf),
+        evidence.summary(run.evaluated), _states(spark, sf), snapshots)
 
 
 def confidence_summary(spark, sf):
@@ -470,7 +468,7 @@ def package_sections(spark, sf):
     packages = run.evaluated.select("package_id").distinct().withColumns({
         "topic": F.lit("probe"), "market": F.lit("BE")})
     plan = evidence.research_plan(unresolved, packages, PROFILE)
-    gated = _gated_sources(spark, sf)
+    gated = _gated_sources(spark, sf, run)
     notes = package.unresolved_notes(
         run.evaluated, gated.where("relevance_status <> 'RELEVANT'"), plan,
         run.evaluated.select("package_id").distinct().select(

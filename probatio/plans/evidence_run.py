@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,48 +13,59 @@ from probatio.profiles import Profile
 from probatio.session import cut_lineage
 
 
-@dataclass(frozen=True)
 class EvidenceRun:
-    sources: DataFrame
-    claims: DataFrame
-    passages: DataFrame
-    matches: DataFrame
-    references: DataFrame
-    evaluated: DataFrame
-
-
-def run_evidence(sources: DataFrame, claims: DataFrame, market: str, profile: Profile,
-                 as_of_year: int) -> EvidenceRun:
-    """Evaluate claims against the passages of eligible sources.
+    """Claims evaluated against the passages of eligible sources, part by part.
 
     ``sources``: package_id, source_ref, source_ord, title, body, url, source_type,
     published_at, already filtered to RELEVANT.  ``claims``: package_id, claim_id,
     claim_ord, claim, source_ref.
 
-    Concepts are read once per passage and once per claim and materialised, because
-    the index, the matcher and the references all use them.
+    A part is made when it is first asked for.  Concepts are read once per passage and
+    once per claim and materialised, because the index, the matcher and the references
+    all use them.
     """
-    described = authority.describe_sources(sources, profile, as_of_year)
-    dimensions = cut_lineage(described.select(
-        "package_id", "source_ref", "source_ord", "url", "source_quality", "region",
-        "freshness_status", "observation_status"))
-    kept = passages.kept_passages(sources.select("package_id", "source_ref", "body"))
-    regions = dimensions.select("package_id", "source_ref", "region")
-    passage_concepts = cut_lineage(matching.concepts(
-        kept.join(regions, ["package_id", "source_ref"]), "passage", profile))
-    claim_concepts = cut_lineage(classify.claim_requirements(
-        evidence.with_claim_region(
-            matching.concepts(claims, "claim", profile), market, profile), profile))
-    matches = cut_lineage(matching.match(claim_concepts, passage_concepts, profile))
-    best = evidence.best_passages(matches)
-    references = evidence.evidence_references(
-        best, claim_concepts, passage_concepts, dimensions, profile)
-    stated = claim_concepts.select(
-        *claims.columns, "category", "claim_region", "risk", "authority_requirement",
-        "freshness_requirement", "min_sources", "rationale")
-    evaluated = evidence.verdicts(stated, references, profile)
-    return EvidenceRun(dimensions, claim_concepts, passage_concepts, matches, references,
-                       evaluated)
+
+    def __init__(self, sources: DataFrame, claims: DataFrame, market: str, profile: Profile,
+                 as_of_year: int):
+        self._sources, self._claims = sources, claims
+        self._market, self._profile, self._year = market, profile, as_of_year
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        described = authority.describe_sources(self._sources, self._profile, self._year)
+        return cut_lineage(described.select(
+            "package_id", "source_ref", "source_ord", "url", "source_quality", "region",
+            "freshness_status", "observation_status"))
+
+    @cached_property
+    def passages(self) -> DataFrame:
+        kept = passages.kept_passages(self._sources.select("package_id", "source_ref", "body"))
+        regions = self.sources.select("package_id", "source_ref", "region")
+        return cut_lineage(matching.concepts(
+            kept.join(regions, ["package_id", "source_ref"]), "passage", self._profile))
+
+    @cached_property
+    def claims(self) -> DataFrame:
+        return cut_lineage(classify.claim_requirements(evidence.with_claim_region(
+            matching.concepts(self._claims, "claim", self._profile), self._market,
+            self._profile), self._profile))
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return cut_lineage(matching.match(self.claims, self.passages, self._profile))
+
+    @cached_property
+    def references(self) -> DataFrame:
+        return evidence.evidence_references(
+            evidence.best_passages(self.matches), self.claims, self.passages, self.sources,
+            self._profile)
+
+    @cached_property
+    def evaluated(self) -> DataFrame:
+        stated = self.claims.select(
+            *self._claims.columns, "category", "claim_region", "risk",
+            "authority_requirement", "freshness_requirement", "min_sources", "rationale")
+        return evidence.verdicts(stated, self.references, self._profile)
 
 
 def driver_tables(spark: SparkSession, sf_dir: str, profile: Profile,
@@ -70,7 +81,7 @@ def driver_tables(spark: SparkSession, sf_dir: str, profile: Profile,
     claims = inputs.claims(spark, sf_dir).select(
         package, F.concat_ws("-", F.col("item_id").cast("string"),
                              F.col("claim_ord").cast("string")).alias("claim_id"),
-        (F.col("item_id") * 1000 + F.col("claim_ord")).alias("claim_ord"),
+        F.struct("item_id", "claim_ord").alias("claim_ord"),
         F.trim("claim").alias("claim"),
         F.col("item_id").cast("string").alias("source_ref"))
-    return run_evidence(sources, claims, profile.market, profile, as_of_year)
+    return EvidenceRun(sources, claims, profile.market, profile, as_of_year)

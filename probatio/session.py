@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,20 +34,24 @@ def build_session(master: str | None = None, app: str = "probatio",
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise an intermediate that several branches read.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which all executors share.
 
-    Uses a reliable checkpoint in the shared folder named by
-    ``spark.checkpoint.dir``.  Only a local session without that setting falls
-    back to a temporary folder; a cluster without it just recomputes.
+    Without the setting a purely local session gets a temporary folder; any other session
+    is refused, since its executors would not see each other's files.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir", None)
-    if shared is None and context.master.startswith("local"):
-        shared = context.getCheckpointDir() or tempfile.mkdtemp(prefix="probatio-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        return df
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared)
-    return df.checkpoint()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="probatio-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate that several branches read, as a table in the shared
+    folder, so a lost executor costs tasks and not the whole chain."""
+    path = f"{shared_folder(df.sparkSession)}/probatio/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
