@@ -462,7 +462,7 @@ def _core(spark, sf):
 
 
 def package_sections(spark, sf):
-    """All items of a package as section rows; checked by counts per section."""
+    """All items of a package as section rows, each with the field it is known by."""
     run = _run(spark, sf)
     unresolved = evidence.unresolved_high_risk(run.evaluated)
     packages = run.evaluated.select("package_id").distinct().withColumns({
@@ -473,8 +473,58 @@ def package_sections(spark, sf):
         run.evaluated, gated.where("relevance_status <> 'RELEVANT'"), plan,
         run.evaluated.select("package_id").distinct().select(
             "package_id", F.lit(1).alias("ord"), F.lit("given").alias("note")))
-    return package.package_sections(gated, run.evaluated, run.references, notes, plan) \
-        .groupBy("section").agg(F.count("*").alias("items"))
+    rows = package.package_sections(gated, run.evaluated, run.references, notes, plan)
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    label = (F.when(F.col("section").isin(
+                 "rejected_evidence", "official_evidence", "commercial_evidence"), field("title"))
+             .when(F.col("section") == "evidence", field("source_quality"))
+             .when(F.col("section") == "unresolved_questions", field("note"))
+             .when(F.col("section") == "authoritative_research_plan", field("query"))
+             .otherwise(field("claim")))
+    return rows.select("package_id", "section", "ord", label.alias("label"))
+
+
+PACKAGE_SECTIONS = o.with_(*VERDICT_CTES) + f""",
+open_claims AS (
+  SELECT *, row_number() OVER (ORDER BY claim_ord) AS k FROM verdicts
+  WHERE risk = 'HIGH' AND evidence_status <> 'SUPPORTED'),
+blocked AS (
+  SELECT category, count(*) AS n, min(claim_ord) AS f FROM open_claims GROUP BY 1),
+templates(category, position, variant, template) AS (VALUES {_templates()}),
+filled AS (
+  SELECT category, n, f, position, CASE WHEN variant <> '' THEN template
+    ELSE replace(replace(replace(template, '{{topic}}', 'probe'), '{{market}}', 'BE'),
+                 '{{category}}', category) END AS query
+  FROM blocked JOIN templates USING (category)),
+plan AS (
+  SELECT query, row_number() OVER (ORDER BY -n, f, category, position) AS plan_ord FROM (
+    SELECT * FROM filled QUALIFY row_number() OVER (
+      PARTITION BY {o.norm('query')} ORDER BY -n, f, category, position) = 1))
+SELECT 0 AS package_id, CASE WHEN length(body) <= 1500 THEN 'rejected_evidence'
+    WHEN quality = 'OFFICIAL' THEN 'official_evidence' ELSE 'commercial_evidence' END AS section,
+  source_ref AS ord, title AS label
+FROM dims JOIN documents_in ON CAST(doc_id AS VARCHAR) = source_ref
+UNION ALL SELECT 0, lower(evidence_status) || '_claims', claim_id, claim FROM verdicts
+UNION ALL SELECT 0, 'evidence', claim_id || '/' || source_ref, quality
+FROM best JOIN dims USING (source_ref)
+UNION ALL SELECT 0, 'unresolved_questions', 'supported/0',
+  'No atomic claim reached SUPPORTED. Content must not be generated from model knowledge alone.'
+FROM verdicts HAVING count(*) FILTER (evidence_status = 'SUPPORTED') = 0
+UNION ALL SELECT 0, 'unresolved_questions', 'rejected/0', count(*)
+  || ' retrieved source(s) were rejected as off-topic and contributed no passages.'
+FROM documents_in WHERE length(body) <= 1500 HAVING count(*) > 0
+UNION ALL SELECT 0, 'unresolved_questions', 'high_risk/' || k, category
+  || ' claim unresolved (' || evidence_status || '): ' || claim || ' — ' || reason
+FROM open_claims
+UNION ALL SELECT 0, 'unresolved_questions', 'conflict/'
+  || row_number() OVER (ORDER BY claim_ord),
+  'CONFLICTING evidence: ' || claim || ' — ' || reason
+FROM verdicts WHERE evidence_status = 'CONFLICTING'
+UNION ALL SELECT 0, 'unresolved_questions', 'plan/0', count(*)
+  || ' targeted authoritative search(es) proposed to resolve HIGH-risk gaps.'
+FROM plan HAVING count(*) > 0
+UNION ALL SELECT 0, 'unresolved_questions', 'provider/1', 'given'
+UNION ALL SELECT 0, 'authoritative_research_plan', CAST(plan_ord AS VARCHAR), query FROM plan"""
 
 
 def package_header(spark, sf):
@@ -838,7 +888,7 @@ QUERIES = {
     "passage_sink": (passage_sink, PASSAGE_SINK),
     "confidence_summary": (confidence_summary, CONFIDENCE_SUMMARY),
     "rejected_report": (rejected_report, REJECTED_REPORT),
-    "package_sections": (package_sections, None),
+    "package_sections": (package_sections, PACKAGE_SECTIONS),
     "package_header": (package_header, PACKAGE_HEADER),
     "facts_first_version": (facts_first_version, FACTS_FIRST_VERSION),
     "facts_second_version": (facts_second_version, FACTS_SECOND_VERSION),
