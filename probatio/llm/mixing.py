@@ -47,28 +47,29 @@ def solve_targets(sources: DataFrame, share: float, least: int, most: int) -> Da
     zero = F.lit(0).cast("long")
     events = sources.select(F.explode(F.array(
         F.struct((low / F.col("weight")).alias("at"), F.lit(0).alias("ends"),
-                 F.col("weight").alias("slope"), low.alias("low"), zero.alias("high")),
+                 F.col("weight").alias("slope"), low.alias("low"), zero.alias("high"),
+                 F.col("source_size").alias("size")),
         F.struct((high / F.col("weight")).alias("at"), F.lit(1).alias("ends"),
-                 (-F.col("weight")).alias("slope"), zero.alias("low"), high.alias("high"))
+                 (-F.col("weight")).alias("slope"), zero.alias("low"), high.alias("high"),
+                 zero.alias("size"))
     )).alias("e")).select("e.*")
     so_far = Window.orderBy("at", "ends").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.orderBy("at", "ends").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing)
-    wanted = sources.agg((F.sum("source_size") * share).alias("wanted"))
     flat = (F.sum("low").over(everything) - F.sum("low").over(so_far)
             + F.sum("high").over(so_far))
-    steps = events.select("at", flat.alias("flat"), F.sum("slope").over(so_far).alias("slope"))
-    level = (steps.join(F.broadcast(wanted))  # one row
-             .where(F.col("flat") + F.col("slope") * F.col("at") <= F.col("wanted"))
+    steps = events.select("at", flat.alias("flat"), F.sum("slope").over(so_far).alias("slope"),
+                          (F.sum("size").over(everything) * share).alias("wanted"))
+    found = (steps.where(F.col("flat") + F.col("slope") * F.col("at") <= F.col("wanted"))
              .agg(F.max_by(F.struct("at", "flat", "slope", "wanted"),
                            F.struct("at", "flat")).alias("s"))
              .select(F.when(F.col("s").isNull(), F.lit(0.0))
                      .when(F.col("s.slope") > 0,
                            (F.col("s.wanted") - F.col("s.flat")) / F.col("s.slope"))
                      .otherwise(F.col("s.at")).alias("level")))
-    return sources.join(F.broadcast(level)).select(  # one row
-        *sources.columns, F.least(high.cast("double"), F.greatest(
-            low.cast("double"), F.col("level") * F.col("weight"))).alias("target"))
+    level = F.lit(float(found.first()["level"]))  # a single number
+    return sources.select(*sources.columns, F.least(high.cast("double"), F.greatest(
+        low.cast("double"), level * F.col("weight"))).alias("target"))
 
 
 def _period(sources: DataFrame) -> tuple[DataFrame, int]:
