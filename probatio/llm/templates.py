@@ -20,18 +20,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import WORD, fresh, stage
+from probatio.llm.common import WORD, fresh, let, stage
 
 DEPTH = 4
 MIN_WORDS = 3
 MIN_DOCUMENTS = 10
 CONSTANT = 0.7  # share of constant words in a template that may recur
 FIELD = "<*>"
-VARIABLE = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+VARIABLE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"  # not just single spaces between words
 
 
 def masked_words(line: Column) -> Column:
-    return F.regexp_extract_all(F.regexp_replace(line, VARIABLE, FIELD), F.lit(f"({WORD})"))
+    """Words of a line; the expensive patterns run only on lines that need them."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
+    return let(masked, lambda x: F.when(x.rlike(UNEVEN), F.regexp_extract_all(
+        x, F.lit(f"({WORD})"))).otherwise(F.split(x, " ")))
 
 
 def _leaf(words: Column) -> Column:
@@ -91,12 +95,13 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
         F.col("dropped").alias(places))
     joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(own_id))
                        & (F.xxhash64("text") == F.col(own_key)), "left")
-    lines = F.split("text", "\n")
+    original, lines = F.col("text"), F.split("text", "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(places))
     text = F.when(F.col(places).isNull(), F.col("text")).otherwise(
         F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
     return joined.select(
         *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns
           if c not in ("n_lines", "n_dropped")),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(1 + F.length(original) - F.length(F.replace(original, F.lit("\n"), F.lit(""))),
+                   F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"))
