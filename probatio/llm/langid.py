@@ -8,8 +8,7 @@ largest corrected count wins.
 
 The filter is learnt from a bounded sample of labelled documents (``SAMPLE`` per
 language, whole texts): an n-gram enters the slice of a language if its frequency there
-is at least a third of its largest frequency in any language and at least ``LEAST``
-documents of the sample contain it.  The filter has a fixed size, whatever the corpus.
+is at least a third of its largest frequency in any language.  The filter has a fixed size, whatever the corpus.
 
 Rows: a text that is NULL or has no letter is ``und`` with score 0.  Upper and lower case
 are the same, runs of other characters than letters are one boundary.  Nothing but the
@@ -29,7 +28,6 @@ from probatio.llm.common import fresh, order_key, stage
 from probatio.llm.shingles import GOLDEN, U64, mix
 
 SAMPLE = 2000  # labelled documents per language, in a fixed pseudo-random order
-LEAST = 3  # documents of the sample that an n-gram must be in
 SHARE = 1 / 3
 SIZES = (1, 2, 3, 4)
 SLOT_BITS = 22
@@ -187,11 +185,10 @@ def fit(labelled: DataFrame) -> Model:
     if not names:
         return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64))
     rated = counts.join(F.broadcast(documents), "lang").select(  # one row per language
-        "gram", "n", F.element_at(bit, F.col("lang")).alias("bit"),
+        "gram", F.element_at(bit, F.col("lang")).alias("bit"),
         (F.col("n") / F.col("documents")).alias("rate"))
     kept = rated.groupBy("gram").agg(
-        F.max("rate").alias("top"), F.sum("n").alias("n"),
-        F.collect_list(F.struct("bit", "rate")).alias("each")).where(F.col("n") >= LEAST)
+        F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("each"))
     mask = F.aggregate("each", F.lit(0).cast("long"), lambda m, e: F.when(
         e["rate"] >= F.col("top") * SHARE,
         m.bitwiseOR(_shift(e["bit"]))).otherwise(m))
