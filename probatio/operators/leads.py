@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,9 +130,10 @@ RATE_REASON = (f"more than {fv.RATE_MAX_SUBMISSIONS} submissions in "
                f"{fv.RATE_WINDOW_SECONDS // 60} minutes")
 
 
-def accept_in_window(accepted: deque, now: float) -> bool:
+def accept_in_window(accepted: deque, now: float,
+                     window: float = fv.RATE_WINDOW_SECONDS) -> bool:
     """One step of the rate rule: refused submissions leave no trace."""
-    while accepted and now - accepted[0] > fv.RATE_WINDOW_SECONDS:
+    while accepted and now - accepted[0] > window:
         accepted.popleft()
     if len(accepted) >= fv.RATE_MAX_SUBMISSIONS:
         return False
@@ -140,39 +141,60 @@ def accept_in_window(accepted: deque, now: float) -> bool:
     return True
 
 
+def _traffic_runs(counted: DataFrame) -> DataFrame:
+    """``_run`` of each (client, window-long slice of time): slices that follow each other.
+
+    Between two runs lies a whole empty slice, so nothing accepted before it still counts.
+    One row per client and slice is ranked, not one per submission.
+    """
+    slices = counted.select("client_key", "_slice").distinct()
+    rank = F.row_number().over(Window.partitionBy("client_key").orderBy("_slice"))
+    return slices.withColumn("_run", F.col("_slice") - rank)
+
+
 def spam_verdicts(submissions: DataFrame) -> DataFrame:
     """All three spam checks over a stored batch.
 
     ``submissions``: submission_id, client_key, submitted_at, honeypot, elapsed_ms.
-    Rows are sorted per client and streamed through the rule with at most five
-    timestamps of state, so a client with most of the rows is never held in memory.
-    Traffic gaps longer than the window reset the rule; clients are split there.
+    The rate rule forgets everything over a gap longer than its window, so each client's
+    runs of traffic are apart from each other and spread over the tasks.  A run is
+    streamed in order with at most five timestamps of state; what is refused until the
+    oldest of them expires is found by one search per batch.
     """
     checked = spam_rules(submissions)
-    counted = F.col("spam_reason").isNull() & F.col("client_key").isNotNull()
+    limited_rows = F.col("spam_reason").isNull() & F.col("client_key").isNotNull()
+    micros = F.unix_micros(F.col("submitted_at").cast("timestamp"))
+    window = fv.RATE_WINDOW_SECONDS * 1_000_000
+    counted = checked.where(limited_rows).withColumns({
+        "_micros": micros, "_slice": F.floor(micros / window)})
     schema = checked.schema
 
     def limit(batches):
-        client, accepted = None, deque()
+        last, accepted = None, deque()
         for batch in batches:
-            seconds = batch["submitted_at"].astype("int64") / 1e9 if str(
-                batch["submitted_at"].dtype).endswith("[ns]") else pd.to_datetime(
-                    batch["submitted_at"]).astype("int64") / 1e9
-            reasons = []
-            for key, now in zip(batch["client_key"], seconds):
-                if key != client:
-                    client, accepted = key, deque()
-                reasons.append(None if accept_in_window(accepted, now) else RATE_REASON)
-            yield batch.assign(spam_reason=reasons)
+            place, runs = 0, batch.groupby(["client_key", "_run"], sort=False, dropna=False)
+            reasons = np.full(len(batch), RATE_REASON, dtype=object)
+            for key, rows in runs:
+                if key != last:
+                    last, accepted = key, deque()
+                times = rows["_micros"].to_numpy()
+                i = 0
+                while i < len(times):
+                    if accept_in_window(accepted, times[i], window):
+                        reasons[place + i] = None
+                        i += 1
+                    else:
+                        i = int(np.searchsorted(times, accepted[0] + window, "right"))
+                place += len(rows)
+            yield batch.assign(spam_reason=reasons)[[f.name for f in schema]]
 
     limited = (
-        checked.where(counted)
-        .withColumn("submitted_at", F.col("submitted_at").cast("timestamp"))
-        .repartition("client_key")
-        .sortWithinPartitions("client_key", "submitted_at", "submission_id")
+        counted.join(_traffic_runs(counted), ["client_key", "_slice"])
+        .repartition("client_key", "_run")
+        .sortWithinPartitions("client_key", "_run", "_micros", "submission_id")
         .mapInPandas(limit, schema)
     )
-    return limited.unionByName(checked.where(~counted))
+    return limited.unionByName(checked.where(~limited_rows))
 
 
 # ------------------------------------------------------------------- export --

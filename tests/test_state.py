@@ -106,6 +106,19 @@ def test_spam_rule_counts_accepted_only(spark):
         == expected_spam(rows)
 
 
+def test_hot_client_is_split_at_gaps(spark):
+    """A client with most of the log, in bursts: many runs, the same verdicts."""
+    rows = [(n, START + dt.timedelta(
+        seconds=9000 * (n // 40) + 7 * (n % 40), microseconds=n),
+        "hot" if n % 5 else f"c{n}", None, 9000) for n in range(2000)]
+    frame = spark.createDataFrame(rows, SUBMISSION)
+    got = leads.spam_verdicts(frame)
+    assert {r.submission_id: r.spam_reason is None for r in got.collect()} == expected_spam(rows)
+    keyed = frame.withColumns({"_slice": F.floor(F.unix_micros("submitted_at") / 3600000000)})
+    runs = leads._traffic_runs(keyed).where("client_key = 'hot'").select("_run").distinct()
+    assert runs.count() >= 40
+
+
 def test_spam_window_edges():
     accepted = deque([0.0])
     assert all(leads.accept_in_window(accepted, t) for t in (1, 2, 3, 4))
