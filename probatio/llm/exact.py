@@ -21,7 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from probatio.llm.common import fresh, stage
+from probatio.llm.common import fresh, let, stage
 
 BLOCK_BYTES = 8192
 
@@ -33,10 +33,11 @@ def lower_ascii(text: Column) -> Column:
 
 
 def _blocks(normal: Column, size: int) -> Column:
-    data = normal.cast("binary")
-    last = F.floor((F.greatest(F.octet_length(normal), F.lit(1)) - 1) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(
-        data, i * size + 1, F.lit(size)))
+    """Slices of the text's bytes; the bytes are taken once, not once per block."""
+    return let(normal.cast("binary"), lambda data: F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.octet_length(data), F.lit(1)) - 1) / size)
+                   .cast("int")),
+        lambda i: F.substring(data, i * size + 1, F.lit(size))))
 
 
 def _keys(block: Column, seed: int) -> tuple[Column, Column]:
