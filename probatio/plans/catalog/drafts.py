@@ -26,7 +26,8 @@ def _drafts(spark, sf):
         .otherwise("Voir [offre](https://shop.example/x) **gras** et `code`.\n"),
         F.when(F.col("turn") % 4 == 3, "TODO plus tard.\n").otherwise(""))
     return c.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("draft_id"),
+        F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+        .alias("draft_id"),
         F.col("conv_id").alias("package_id"), F.when(F.col("turn") > 0, title)
         .alias("title"), body.alias("body"),
         title.alias("meta_title"),
@@ -43,7 +44,7 @@ DRAFTS = r"""
 conv AS (
   SELECT *, regexp_extract(text, '^[^.!?\n]*') AS t FROM conversations),
 drafts_in AS (
-  SELECT conv_id * 100 + turn AS draft_id, conv_id AS package_id, turn, role,
+  SELECT conv_id || '-' || turn AS draft_id, conv_id AS package_id, turn, role,
     CASE WHEN turn > 0 THEN t END AS title,
     '# ' || t || chr(10) || chr(10) || text || chr(10) || '## Prix' || chr(10) || '- '
       || length(text) * 10 || ' € par an pour une installation' || chr(10) || '- tarif de '
