@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import text
 from probatio.operators import classify
-from probatio.profiles import Profile
+from probatio.profiles import MAX_BROADCAST_ROWS, Profile
 
 
 def host_suffixes(host: Column) -> Column:
@@ -57,7 +57,10 @@ def candidates(wanted: DataFrame, profile: Profile) -> DataFrame:
     related = ((region == "UNKNOWN")
                | classify.covers(F.col("authority_region"), region, profile)
                | classify.covers(region, F.col("authority_region"), profile))
-    return wanted.join(F.broadcast(entries), "category").where(related)
+    # every registry row is at most one row per category
+    most = len(profile.registry_rows()) * len(fv.CLAIM_CATEGORIES)
+    small = F.broadcast(entries) if most <= MAX_BROADCAST_ROWS else entries
+    return wanted.join(small, "category").where(related)
 
 
 def accept_official(retrieved: DataFrame, profile: Profile, as_of_year: int) -> DataFrame:
