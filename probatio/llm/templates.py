@@ -28,36 +28,50 @@ MIN_DOCUMENTS = 10
 CONSTANT = 0.7  # share of constant words in a template that may recur
 FIELD = "<*>"
 VARIABLE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-UNEVEN = r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"  # not just single spaces between words
+WHITE = ("  ", "\t", "\x0b", "\x0c", "\r")  # other than single spaces between words
 
 
-def masked_words(line: Column) -> Column:
-    """Words of a line; the expensive patterns run only on lines that need them."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD)).otherwise(line)
-    return let(masked, lambda x: F.when(x.rlike(UNEVEN), F.regexp_extract_all(
-        x, F.lit(f"({WORD})"))).otherwise(F.split(x, " ")))
+def masked_line(line: Column) -> Column:
+    """The words of a line with single spaces between them, words with a digit as a field.
 
+    The expensive patterns run only on lines that need them.
+    """
+    def even(x: Column) -> Column:
+        uneven = F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
+        for white in WHITE:
+            uneven = uneven | F.contains(x, F.lit(white))
+        return F.when(uneven, F.array_join(F.regexp_extract_all(
+            x, F.lit(f"({WORD})")), " ")).otherwise(x)
 
-def _leaf(words: Column) -> Column:
-    return F.concat_ws(" ", F.size(words).cast("string"), F.slice(words, 1, DEPTH))
+    return let(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD))
+               .otherwise(line), even)
+
+
+def _words(line: Column) -> Column:
+    """Number of words of a masked line."""
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    return F.when(line == "", 0).otherwise(spaces + 1)
+
+
+def _leaf(line: Column) -> Column:
+    return F.concat_ws(" ", _words(line).cast("string"), F.substring_index(line, " ", DEPTH))
 
 
 def _recurring(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, dropped): places of the lines that go, per document."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                         F.split("text", "\n").alias("lines"))
-    parsed = F.filter(F.transform("lines", masked_words), lambda w: F.size(w) >= MIN_WORDS)
+    parsed = F.filter(F.transform("lines", masked_line), lambda x: _words(x) >= MIN_WORDS)
     leaves = stage(
         keyed.select(F.explode(F.array_distinct(F.transform(parsed, _leaf))).alias("leaf"))
         .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
         .select("leaf", F.monotonically_increasing_id().alias("leaf_id")), "leaves")
-    words = F.col("words")
-    lines = (keyed.select("doc_id", "text_key", F.posexplode("lines").alias("place", "line"))
+    line = F.col("line")
+    lines = (keyed.select("doc_id", "text_key", F.posexplode("lines").alias("place", "raw"))
              .select("doc_id", "text_key", "place",
-                     F.explode(F.array(masked_words(F.col("line")))).alias("words"))
-             .where(F.size(words) >= MIN_WORDS)
-             .select("doc_id", "text_key", "place", _leaf(words).alias("leaf"),
-                     F.array_join(words, " ").alias("line")))
+                     F.explode(F.array(masked_line(F.col("raw")))).alias("line"))
+             .where(_words(line) >= MIN_WORDS)
+             .select("doc_id", "text_key", "place", _leaf(line).alias("leaf"), "line"))
     found = stage(lines.join(leaves, "leaf").drop("leaf"), "leaf-lines")
     distinct = stage(found.groupBy("leaf_id", "line").agg(F.count("*").alias("n")).select(
         F.monotonically_increasing_id().alias("line_id"), "leaf_id", "line", "n"), "lines")
@@ -102,6 +116,6 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     return joined.select(
         *(text.alias(c) if c == "text" else F.col(c) for c in docs.columns
           if c not in ("n_lines", "n_dropped")),
-        F.coalesce(1 + F.length(original) - F.length(F.replace(original, F.lit("\n"), F.lit(""))),
-                   F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(1 + F.octet_length(original) - F.octet_length(
+            F.replace(original, F.lit("\n"), F.lit(""))), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(places), F.lit(0)).cast("long").alias("n_dropped"))
