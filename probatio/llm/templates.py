@@ -7,12 +7,16 @@ is a variable field too.  Lines with the same constants are one template.  A tem
 that at least ``MIN_DOCUMENTS`` documents contain and most of whose words are constant
 recurs: its lines stay in the document with the smallest doc_id and go from all others.
 
+``drop_repeated_lines`` also looks at lines whose words are all the same, digits included:
+of whatever length, such a line recurs from two documents on, so the support above is asked
+of lines with variable fields only.
+
 Everything is counted over all lines.  Equal lines are put together before words are
 counted, so a line in a third of all documents is one row there.
 
-Rows: a line without ``MIN_WORDS`` words always stays; a NULL text has no lines and stays
-NULL.  Repeated rows are one document.  Lines of rows without doc_id go where their
-template recurs.  An empty table gives an empty result.
+Rows: a line without ``MIN_WORDS`` words has no template, one without a word always stays; a
+NULL text has no lines and stays NULL.  Repeated rows are one document.  Lines of rows without
+doc_id go where they or their template recur.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,20 +35,22 @@ VARIABLE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 WHITE = ("  ", "\t", "\x0b", "\x0c", "\r")  # other than single spaces between words
 
 
-def masked_line(line: Column) -> Column:
-    """The words of a line with single spaces between them, words with a digit as a field.
+def even_line(line: Column) -> Column:
+    """The words of a line with single spaces between them.
 
-    The expensive patterns run only on lines that need them.
+    The expensive pattern runs only on lines that need it.
     """
-    def even(x: Column) -> Column:
-        uneven = F.startswith(x, F.lit(" ")) | F.endswith(x, F.lit(" "))
-        for white in WHITE:
-            uneven = uneven | F.contains(x, F.lit(white))
-        return F.when(uneven, F.array_join(F.regexp_extract_all(
-            x, F.lit(f"({WORD})")), " ")).otherwise(x)
+    uneven = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for white in WHITE:
+        uneven = uneven | F.contains(line, F.lit(white))
+    return F.when(uneven, F.array_join(F.regexp_extract_all(
+        line, F.lit(f"({WORD})")), " ")).otherwise(line)
+
 
+def masked_line(line: Column) -> Column:
+    """The same with words with a digit as a field."""
     return let(F.when(line.rlike("[0-9]"), F.regexp_replace(line, VARIABLE, FIELD))
-               .otherwise(line), even)
+               .otherwise(line), even_line)
 
 
 def _words(line: Column) -> Column:
@@ -57,8 +63,30 @@ def _leaf(line: Column) -> Column:
     return F.concat_ws(" ", _words(line).cast("string"), F.substring_index(line, " ", DEPTH))
 
 
+def _equal(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, place): lines whose words stand in the same order in a line of a
+    document before.
+
+    Lines are known by 128 bits of their words, so text is read once and never shuffled.
+    """
+    keys = F.transform(F.split("text", "\n"), lambda raw: let(even_line(raw), lambda x: F.when(
+        x != "", F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))))
+    lines = stage(docs.select("doc_id", F.xxhash64("text").alias("text_key"),
+                              F.posexplode(keys).alias("place", "line"))
+                  .where(F.col("line").isNotNull())
+                  .select("doc_id", "text_key", "place", "line.a", "line.b"), "equal-lines")
+    first, last = F.col("first_id"), F.col("last_id")
+    repeated = stage(lines.groupBy("a", "b").agg(
+        F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"),
+        F.bool_or(F.col("doc_id").isNull()).alias("unnamed")).where(
+        (first < last) | (first.isNotNull() & F.col("unnamed"))).select(
+        "a", "b", "first_id"), "repeated-lines")
+    return stage(lines.join(repeated, ["a", "b"]).where(
+        ~F.col("doc_id").eqNullSafe(first)).select("doc_id", "text_key", "place"), "equal-places")
+
+
 def _recurring(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, dropped): places of the lines that go, per document."""
+    """(doc_id, text_key, place): lines that go since their template recurs."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                         F.split("text", "\n").alias("lines"))
     parsed = F.filter(F.transform("lines", masked_line), lambda x: _words(x) >= MIN_WORDS)
@@ -95,16 +123,26 @@ def _recurring(docs: DataFrame) -> DataFrame:
         "leaf_id", "template").agg(F.count("*").alias("documents"),
                                    F.min("doc_id").alias("first_id")).where(
         F.col("documents") >= MIN_DOCUMENTS).drop("documents"), "recurring")
-    return stage(placed.join(recurring, ["leaf_id", "template"]).where(
-        ~F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("doc_id", "text_key").agg(
-        F.collect_set("place").alias("dropped")), "dropped")
+    return placed.join(recurring, ["leaf_id", "template"]).where(
+        ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key", "place")
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without recurring lines, then n_lines and n_dropped (these two
-    replace columns of the same name)."""
+    """``docs`` with ``text`` without lines of recurring templates, then n_lines and n_dropped
+    (these two replace columns of the same name)."""
+    return _without(docs, _recurring(docs.select("doc_id", "text")))
+
+
+def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The same, also without equal lines from the second document on."""
+    texts = docs.select("doc_id", "text")
+    return _without(docs, _equal(texts).unionByName(_recurring(texts)))
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     own_id, own_key, places = fresh(docs, "own_id", "own_key", "places")
-    dropped = _recurring(docs.select("doc_id", "text")).select(
+    dropped = stage(gone.groupBy("doc_id", "text_key").agg(
+        F.collect_set("place").alias("dropped")), "dropped").select(
         F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key),
         F.col("dropped").alias(places))
     joined = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col(own_id))

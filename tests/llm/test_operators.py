@@ -141,6 +141,28 @@ def test_templates_generalise_fields(spark, docs, none):
     assert templates.drop_recurring_lines(none).count() == 0
 
 
+def test_equal_lines_recur_from_two_documents_on(spark, docs, none):
+    long = [" ".join(f"{word}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+            for word in ("two", "three")]
+    texts = {1: f"{long[0]}\nfirst of all\nMenu", 2: f"  {long[0]}\nsecond 17", 3: long[1],
+             4: f"own words here\n{long[1]}\n\n \nsecond 18", 5: f"{long[1]} \nMenu\nmenu",
+             6: "again and again here\nagain and again here", 7: None}
+    rows = spark.createDataFrame([*texts.items(), (None, long[1])], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in templates.drop_repeated_lines(rows).collect()}
+    assert {i: r["n_dropped"] for i, r in found.items()} == {
+        1: 0, 2: 1, 3: 0, 4: 1, 5: 2, 6: 0, 7: 0, None: 1}
+    assert [found[i]["text"] for i in (2, 3, 5, None)] == ["second 17", long[1], "menu", ""]
+    assert found[4]["text"] == "own words here\n\n \nsecond 18" and found[7]["text"] is None
+    fields = spark.createDataFrame([(i, f"license number {i} of this fine place")
+                                    for i in range(12)], "doc_id long, text string")
+    assert templates.drop_repeated_lines(fields.where("doc_id < 9")).agg(
+        F.sum("n_dropped")).first()[0] == 0
+    assert templates.drop_repeated_lines(fields).agg(F.sum("n_dropped")).first()[0] == 11
+    same = templates.drop_repeated_lines(docs)
+    assert same.columns == [*docs.columns, "n_lines", "n_dropped"] and ids(same) == ids(docs)
+    assert templates.drop_repeated_lines(none).count() == 0
+
+
 # 4 cascade
 
 
