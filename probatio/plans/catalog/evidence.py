@@ -9,9 +9,9 @@ from probatio.functions import numerics
 from probatio.operators import (brief, classify, evidence, package,
                                 passages, prices, research)
 from probatio.plans import evidence_run, inputs, oracle as o
-from probatio.plans.catalog.claims import (PASSAGES, POLICY, PRICE_CONTEXTS, PRICE_TEXTS,
-                                           _sql_category, price_texts)
-from probatio.plans.catalog.relevance import LOOKED_UP, _cover, region_sql
+from probatio.plans.catalog.claims import (CLAIMS, DEDUPED, PASSAGES, POLICY, PRICE_CONTEXTS,
+                                           PRICE_TEXTS, _sql_category, price_texts)
+from probatio.plans.catalog.relevance import GATED, LOOKED_UP, PROFILES, _cover, region_sql
 from probatio.plans.probe import PROFILE
 from probatio.sources import sinks
 
@@ -456,6 +456,171 @@ SELECT CAST(doc_id AS VARCHAR) AS source_ref, url, title, 'LOW_RELEVANCE' AS sta
 FROM documents_in WHERE length(body) <= 1500"""
 
 
+# ---------------------------------------------------------------- gated run --
+def _gated_run(spark, sf):
+    """The labelled sources and the run over the relevant ones."""
+    return evidence_run.gated_tables(spark, sf, PROFILE, AS_OF_YEAR)
+
+
+def gated_verdicts(spark, sf):
+    """Claims of relevant sources against the relevant sources of their own package."""
+    _, run = _gated_run(spark, sf)
+    return run.evaluated.select("package_id", *_VERDICT_COLUMNS)
+
+
+def _swap(sql: str, old: str, new: str) -> str:
+    assert sql.count(old) == 1
+    return sql.replace(old, new)
+
+
+RELEVANT = """
+relevant AS (
+  SELECT package_id, doc_id, body AS text FROM gated WHERE relevance_status = 'RELEVANT')"""
+GATED_CTES = (
+    PROFILES, o.SOURCES, GATED, RELEVANT, DIMENSIONS.removeprefix(o.DOCUMENTS + ","),
+    _swap(_swap(PASSAGES, "source AS package_id", "package_id"), "FROM documents", "FROM relevant"),
+    CLAIMS, DEDUPED, """
+claims_in AS (
+  SELECT package_id, source_ref || '-' || passage_ord || '-' || claim_ord AS claim_id,
+         struct_pack(a := doc_id, b := passage_ord, c := claim_ord) AS claim_ord, claim
+  FROM deduped)""", CLAIM_CONCEPT_CTES.removeprefix(CLAIMS_IN + ","),
+    PASSAGE_CONCEPT_CTES.removeprefix(PASSAGES + ","),
+    _swap(MATCHED, "FROM claims_m c, passages_m p\n",
+          "FROM claims_m c JOIN passages_m p ON c.package_id = p.package_id\n"), BEST, VERDICTS)
+GATED_VERDICTS = o.with_(*GATED_CTES) + f"""
+SELECT package_id, {", ".join("v." + c for c in _VERDICT_COLUMNS)}
+FROM verdicts v JOIN claims_in USING (claim_id)"""
+
+
+def _gated_confidence(spark, sf):
+    gated, run = _gated_run(spark, sf)
+    relevant = gated.where("relevance_status = 'RELEVANT'")
+    counts = passages.drop_summary(passages.passages(relevant.select(
+        "package_id", "source_ref", "body")))
+    seen = run.sources.select("package_id", "source_ref", "observation_status")
+    states = inputs.table(spark, sf, "events").select(
+        F.col("user_id").alias("package_id"), F.when(F.col("event_type") == "error", "timeout")
+        .otherwise("ok").alias("state"))
+    snapshots = inputs.table(spark, sf, "pages").select(F.col("page_id").alias("package_id"))
+    return package.confidence_summary(
+        gated.join(seen, ["package_id", "source_ref"], "left"), counts,
+        evidence.summary(run.evaluated), states, snapshots).fillna(
+            0, ["claims_total", "supported"])
+
+
+def gated_confidence(spark, sf):
+    """What each package rests on after the gate."""
+    return _gated_confidence(spark, sf).select(
+        "package_id", "sources_retrieved", "sources_eligible", "sources_rejected",
+        "sources_dated", "sources_undated", F.round("mean_relevance", 6)
+        .alias("mean_relevance"), "passages_kept", "passages_dropped", "claims_total",
+        "supported", "partial_observation", "serp_available")
+
+
+GATED_CONFIDENCE = o.with_(*GATED_CTES) + """
+, read AS (
+  SELECT package_id, count(*) AS sources_retrieved, count(*) FILTER (e) AS sources_eligible,
+    count(*) FILTER (NOT e) AS sources_rejected,
+    count(*) FILTER (e AND lang <> 'en') AS sources_dated,
+    count(*) FILTER (e AND lang = 'en') AS sources_undated,
+    round(avg(relevance_score), 6) AS mean_relevance
+  FROM (SELECT *, relevance_status = 'RELEVANT' AS e FROM gated) GROUP BY 1),
+cut AS (SELECT package_id, count(*) FILTER (kept) AS k, count(*) FILTER (NOT kept) AS d
+        FROM all_passages GROUP BY 1),
+told AS (SELECT package_id, count(*) AS t,
+           count(*) FILTER (evidence_status = 'SUPPORTED') AS s
+         FROM verdicts JOIN claims_in USING (claim_id) GROUP BY 1)
+SELECT package_id, sources_retrieved, sources_eligible, sources_rejected, sources_dated,
+  sources_undated, mean_relevance, coalesce(k, 0) AS passages_kept,
+  coalesce(d, 0) AS passages_dropped, coalesce(t, 0) AS claims_total,
+  coalesce(s, 0) AS supported,
+  package_id IN (SELECT user_id FROM events WHERE event_type = 'error') AS partial_observation,
+  package_id IN (SELECT page_id FROM pages) AS serp_available
+FROM read LEFT JOIN cut USING (package_id) LEFT JOIN told USING (package_id)"""
+
+
+def gated_header(spark, sf):
+    packages = inputs.queries(spark, sf).withColumns({
+        "market": F.lit("BE"), "language": F.lit("en"), "intent": F.lit("INFORMATIONAL")})
+    return package.package_header(packages, _gated_confidence(spark, sf), version=1).select(
+        "package_id", "query", "intent", "summary", "package_version", "version")
+
+
+GATED_HEADER = f"""
+SELECT package_id, query, 'INFORMATIONAL' AS intent, concat_ws('; ', sources_eligible || '/'
+    || sources_retrieved || ' sources passed relevance', coalesce(supported, 0) || ' of '
+    || coalesce(claims_total, 0) || ' atomic claims supported') AS summary,
+  4 AS package_version, 1 AS version
+FROM (SELECT item_id AS package_id, {o.first_sentence('text')} AS query FROM benchmark)
+LEFT JOIN ({GATED_CONFIDENCE}) USING (package_id)"""
+
+
+def gated_sections(spark, sf):
+    """The items of every package after the gate."""
+    gated, run = _gated_run(spark, sf)
+    packages = inputs.queries(spark, sf).select(
+        "package_id", F.col("query").alias("topic"), F.lit("BE").alias("market"))
+    seen = run.sources.select("package_id", "source_ref", "source_quality")
+    return _sections(run, packages, gated.drop("body").join(
+        seen, ["package_id", "source_ref"], "left"))
+
+
+GATED_SECTIONS = o.with_(*GATED_CTES) + f""",
+told AS (SELECT v.*, c.package_id FROM verdicts v JOIN claims_in c USING (claim_id)),
+open_claims AS (
+  SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY claim_ord) AS k FROM told
+  WHERE risk = 'HIGH' AND evidence_status <> 'SUPPORTED'),
+blocked AS (SELECT package_id, category, count(*) AS n, min(claim_ord) AS f
+            FROM open_claims GROUP BY 1, 2),
+templates(category, position, variant, template) AS (VALUES {_templates()}),
+filled AS (
+  SELECT package_id, category, n, f, position, CASE WHEN variant <> '' THEN template
+    ELSE replace(replace(replace(template, '{{topic}}', q.query), '{{market}}', 'BE'),
+                 '{{category}}', category) END AS query
+  FROM blocked JOIN templates USING (category) JOIN queries_in q USING (package_id)),
+plan AS (
+  SELECT package_id, query, row_number() OVER (PARTITION BY package_id
+    ORDER BY -n, f, category, position) AS plan_ord
+  FROM (SELECT * FROM filled QUALIFY row_number() OVER (
+    PARTITION BY package_id, {o.norm('query')} ORDER BY -n, f, category, position) = 1))
+SELECT package_id, CASE WHEN relevance_status <> 'RELEVANT' THEN 'rejected_evidence'
+    WHEN quality = 'OFFICIAL' THEN 'official_evidence' ELSE 'commercial_evidence' END AS section,
+  source_ref AS ord, title AS label
+FROM gated JOIN dims USING (source_ref)
+UNION ALL SELECT package_id, lower(evidence_status) || '_claims', claim_id, claim FROM told
+UNION ALL SELECT package_id, 'evidence', claim_id || '/' || b.source_ref, quality
+FROM best b JOIN dims USING (source_ref) JOIN claims_in USING (claim_id)
+UNION ALL SELECT package_id, 'unresolved_questions', 'supported/0',
+  'No atomic claim reached SUPPORTED. Content must not be generated from model knowledge alone.'
+FROM told GROUP BY 1 HAVING count(*) FILTER (evidence_status = 'SUPPORTED') = 0
+UNION ALL SELECT package_id, 'unresolved_questions', 'rejected/0', count(*)
+  || ' retrieved source(s) were rejected as off-topic and contributed no passages.'
+FROM gated WHERE relevance_status <> 'RELEVANT' GROUP BY 1
+UNION ALL SELECT package_id, 'unresolved_questions', 'high_risk/' || k, category
+  || ' claim unresolved (' || evidence_status || '): ' || claim || ' — ' || reason
+FROM open_claims
+UNION ALL SELECT package_id, 'unresolved_questions', 'conflict/'
+  || row_number() OVER (PARTITION BY package_id ORDER BY claim_ord),
+  'CONFLICTING evidence: ' || claim || ' — ' || reason
+FROM told WHERE evidence_status = 'CONFLICTING'
+UNION ALL SELECT package_id, 'unresolved_questions', 'plan/0', count(*)
+  || ' targeted authoritative search(es) proposed to resolve HIGH-risk gaps.'
+FROM plan GROUP BY 1
+UNION ALL SELECT DISTINCT package_id, 'unresolved_questions', 'provider/1', 'given' FROM told
+UNION ALL SELECT package_id, 'authoritative_research_plan', CAST(plan_ord AS VARCHAR), query
+FROM plan"""
+
+
+def gated_rejected(spark, sf):
+    gated, _ = _gated_run(spark, sf)
+    return package.rejected_report(gated).drop("reason")
+
+
+GATED_REJECTED = o.with_(PROFILES, o.SOURCES, GATED) + """
+SELECT package_id, source_ref, url, title, relevance_status AS status, relevance_score
+FROM gated WHERE relevance_status <> 'RELEVANT'"""
+
+
 def _core(spark, sf):
     packages, evaluated = _priced_packages(spark, sf)
     return prices.core_question(packages, evaluated, PROFILE)
@@ -464,11 +629,14 @@ def _core(spark, sf):
 def package_sections(spark, sf):
     """All items of a package as section rows, each with the field it is known by."""
     run = _run(spark, sf)
-    unresolved = evidence.unresolved_high_risk(run.evaluated)
     packages = run.evaluated.select("package_id").distinct().withColumns({
         "topic": F.lit("probe"), "market": F.lit("BE")})
+    return _sections(run, packages, _gated_sources(spark, sf, run))
+
+
+def _sections(run, packages, gated):
+    unresolved = evidence.unresolved_high_risk(run.evaluated)
     plan = evidence.research_plan(unresolved, packages, PROFILE)
-    gated = _gated_sources(spark, sf, run)
     notes = package.unresolved_notes(
         run.evaluated, gated.where("relevance_status <> 'RELEVANT'"), plan,
         run.evaluated.select("package_id").distinct().select(
@@ -888,6 +1056,11 @@ QUERIES = {
     "passage_sink": (passage_sink, PASSAGE_SINK),
     "confidence_summary": (confidence_summary, CONFIDENCE_SUMMARY),
     "rejected_report": (rejected_report, REJECTED_REPORT),
+    "gated_verdicts": (gated_verdicts, GATED_VERDICTS),
+    "gated_confidence": (gated_confidence, GATED_CONFIDENCE),
+    "gated_header": (gated_header, GATED_HEADER),
+    "gated_sections": (gated_sections, GATED_SECTIONS),
+    "gated_rejected": (gated_rejected, GATED_REJECTED),
     "package_sections": (package_sections, PACKAGE_SECTIONS),
     "package_header": (package_header, PACKAGE_HEADER),
     "facts_first_version": (facts_first_version, FACTS_FIRST_VERSION),

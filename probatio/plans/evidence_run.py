@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probatio.operators import authority, classify, evidence, matching, passages
+from probatio.operators import authority, classify, evidence, gate, matching, passages
 from probatio.plans import inputs
 from probatio.profiles import Profile
 from probatio.session import cut_lineage
@@ -85,3 +85,28 @@ def driver_tables(spark: SparkSession, sf_dir: str, profile: Profile,
         F.trim("claim").alias("claim"),
         F.col("item_id").cast("string").alias("source_ref"))
     return EvidenceRun(sources, claims, profile.market, profile, as_of_year)
+
+
+def gated_tables(spark: SparkSession, sf_dir: str, profile: Profile,
+                 as_of_year: int) -> tuple[DataFrame, EvidenceRun]:
+    """The labelled sources of every package, and the run over the relevant ones.
+
+    Sources are judged against the query of their package.  Passages and claims come from
+    RELEVANT rows only; equal claims of a package are one, known by their first place.
+    """
+    profiles = gate.query_profile(inputs.queries(spark, sf_dir), profile)
+    gated = cut_lineage(gate.gate_sources(inputs.sources(spark, sf_dir), profiles).select(
+        "package_id", "source_ref", F.col("doc_id").alias("source_ord"), "title", "body", "url",
+        F.lit("web").alias("source_type"),
+        F.when(F.col("lang") != "en", F.to_timestamp(F.lit("2024-01-01")))
+        .alias("published_at"), "relevance_status", "relevance_score", "relevance_reason"))
+    relevant = gated.where("relevance_status = 'RELEVANT'")
+    said = passages.claims(passages.kept_passages(relevant.select(
+        "package_id", "source_ref", "source_ord", "body")))
+    places = ["source_ord", "passage_ord", "claim_ord"]
+    claims = passages.dedupe_claims(said.select(
+        "package_id", "source_ref", *places, "claim", "quantified"), places)
+    return gated, EvidenceRun(relevant, claims.select(
+        "package_id", F.concat_ws("-", "source_ref", "passage_ord", "claim_ord")
+        .alias("claim_id"), F.struct(*places).alias("claim_ord"), "claim", "source_ref"),
+        profile.market, profile, as_of_year)
