@@ -33,15 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate to the shared folder and read it again.
+def stage(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """Write an intermediate to the shared folder and read it again, in one folder for
+    each value of the columns ``parts``.
 
     This cuts lineage: a lost executor costs the unfinished tasks of one step, and
     values that a recomputation could change (row ids, ranks) are fixed from here on.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/probatio-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +79,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def join_entries(rows: DataFrame, entries: DataFrame, key: str, count: str) -> DataFrame:
+    """Join rows with a table that has one row per key and in ``count`` how many rows have
+    the key.
+
+    Keys of more than 1/1000 of all rows, of which there are fewer than 1000, are broadcast
+    with their entries; only rows of the other keys are shuffled.
+    """
+    total = entries.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    often = F.col(count) * 1000 > F.lit(total)
+    hot = F.broadcast(entries.where(often))
+    cold = rows.join(F.broadcast(entries.where(often).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(cold.join(entries.where(~often), key))
+
+
 def order_key(doc_id: str = "doc_id") -> Column:
     """A fixed pseudo-random order of documents."""
     return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probatio.llm import bagminhash, bpe, cascade, chat, exact, langid, mixing, sharding, templates, viterbi
+from probatio.llm import (
+    ann, bagminhash, bpe, cascade, chat, exact, langid, mixing, search, sharding, templates, trie,
+    viterbi,
+)
 from probatio.llm.common import table
 
 WEIGHT_CYCLE = (5, 2, 1)
@@ -317,6 +320,96 @@ FROM rows GROUP BY conv_id
 """
 
 
+def op11_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"),
+                       F.col("vec_id") % 100 == 0, k=10)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return trie.conversation_trie(table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text"))
+
+
+#: CRC-32 bit by bit: after each byte, eight marks (-1) for a step of the register.
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+coded AS (
+  SELECT conv_id, turn, text, sha256(length(role) || ':' || role || text) AS id FROM turns),
+own AS (
+  SELECT conv_id, list({'id': id, 'bytes': strlen(text)}
+    ORDER BY turn NULLS FIRST, id) AS path FROM coded GROUP BY conv_id),
+hashed AS (
+  SELECT conv_id, path, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c:
+      [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda a, x:
+    CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END)) % 9 AS h
+  FROM own),
+paths AS (
+  SELECT c.conv_id, list_concat(coalesce(b.path[1:c.h], []), c.path[c.h + 1:]) AS path
+  FROM hashed c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5),
+prefixes AS (
+  SELECT conv_id, d, list_transform(path[1:d], lambda t: t.id) AS p, len(path) AS n,
+    CASE WHEN d > 0 THEN path[d].bytes ELSE 0 END AS bytes
+  FROM paths, LATERAL (SELECT unnest(range(0, len(path) + 1)) AS d)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+    (count(*) - 1) * any_value(bytes) AS own_saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+      FILTER (n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p),
+kids AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY ALL),
+counted AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, p)),
+below AS (
+  SELECT up AS d, p[1:up] AS p, sum(own_saved) AS saved, count_if(n_children = 0) AS leaves
+  FROM counted, LATERAL (SELECT unnest(range(0, d + 1)) AS up) GROUP BY ALL)
+SELECT counted.conv_id, counted.d AS depth, parents.conv_id AS parent_conv_id, counted.n_convs,
+  n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  counted.ends_sha256
+FROM counted JOIN below USING (d, p)
+LEFT JOIN nodes parents ON parents.d = counted.d - 1 AND parents.p = counted.p[1:counted.d - 1]
+"""
+
+
+def op13_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark item."""
+    return search.rank_documents(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+OP13_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    '{search.UPPER}', '{search.LOWER}'), '{search.TERM}') AS w
+  FROM documents),
+sized AS (SELECT r, doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+totals AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM sized),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM docs) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals),
+wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{search.UPPER}',
+      '{search.LOWER}'), '{search.TERM}')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+scored AS (
+  SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM wanted JOIN weights USING (term) JOIN held USING (term) JOIN sized USING (r), totals
+  GROUP BY item_id, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (
+    PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST, r) AS rank
+  FROM scored JOIN sized USING (r) WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
 def registry() -> dict:
     """name -> (query, SQL twin or None)"""
     return {
@@ -331,4 +424,7 @@ def registry() -> dict:
         "op8_token_counts": (op8_token_counts, None),
         "op9_bagminhash": (op9_bagminhash, OP9_SQL),
         "op10_chat_format": (op10_chat_format, OP10_SQL),
+        "op11_collision_search": (op11_collision_search, None),
+        "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
+        "op13_term_pipeline": (op13_term_pipeline, OP13_SQL),
     }
