@@ -99,3 +99,53 @@ def describe(context: Column) -> Column:
 def qualification_label(category: Column) -> Column:
     return F.when(category == "MARKET_AVERAGE", "an average this source reports") \
         .otherwise("a figure this source reports")
+
+
+# ------------------------------------------------------------------ display --
+_THIN_SPACE = "\u202f"  # between thousands, as Belgian French writes them
+
+
+def _label(value: Column, labels: dict[str, str], other: str) -> Column:
+    table = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    return F.coalesce(table[F.coalesce(value, F.lit(other))], F.lit(labels[other]))
+
+
+def shown_basis(basis: Column) -> Column:
+    """What a price is for; what the source did not say stays unsaid."""
+    return _label(basis, fv.SHOWN_BASIS, "UNKNOWN")
+
+
+def shown_vat(status: Column) -> Column:
+    return _label(status, fv.SHOWN_VAT, "UNKNOWN")
+
+
+def shown_qualification(category: Column) -> Column:
+    """Only a reported average is called one."""
+    return _label(category, fv.SHOWN_QUALIFICATION, "OTHER")
+
+
+def shown_amount(value: Column, currency: Column) -> Column:
+    """Whole euros from ten on, cents below; halves away from zero."""
+    cents = F.round(value.cast("decimal(28, 6)"), 2)
+    whole = F.round(value.cast("decimal(28, 6)"), 0).cast("decimal(28, 0)").cast("string")
+    grouped = F.regexp_replace(whole, r"(?<=\d)(?=(\d{3})+$)", _THIN_SPACE)
+    small = F.replace(_plain_number(cents), F.lit("."), F.lit(","))
+    sign = F.when(F.coalesce(currency, F.lit("EUR")) == "EUR", "€").otherwise(currency)
+    return F.concat_ws(" ", F.when(value < 10, small).otherwise(grouped), sign)
+
+
+def shown_price(context: Column) -> Column:
+    """One amount or both ends of a range; a dash without any."""
+    amounts, currency = context["amounts"], context["currency"]
+    low, high = F.get(amounts, F.lit(0)), F.element_at(amounts, -1)
+    return (
+        F.when(F.coalesce(F.size(amounts), F.lit(0)) < 1, "—")
+        .when((F.size(amounts) == 1) | ~context["is_range"], shown_amount(low, currency))
+        .otherwise(F.concat_ws(" – ", shown_amount(low, currency), shown_amount(high, currency))))
+
+
+def shown_size(sizes: Column) -> Column:
+    """System size in kWc, NULL when none is stated."""
+    low, high = (_plain_number(c) for c in (F.get(sizes, F.lit(0)), F.element_at(sizes, -1)))
+    return (F.when(F.size(sizes) == 1, F.concat(low, F.lit(" kWc")))
+            .when(F.size(sizes) > 1, F.concat(low, F.lit("–"), high, F.lit(" kWc"))))

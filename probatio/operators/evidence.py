@@ -200,6 +200,16 @@ def unresolved_high_risk(evaluated: DataFrame) -> DataFrame:
         (F.col("risk") == "HIGH") & (F.col("evidence_status") != "SUPPORTED"))
 
 
+def blocked_claims(evaluated: DataFrame, price_gaps: DataFrame) -> DataFrame:
+    """Claims that better sources are looked for: HIGH-risk ones, and price claims of
+    packages (``price_gaps``: package_id) whose price question has no usable answer."""
+    gaps = price_gaps.select("package_id").distinct().withColumn("_gap", F.lit(True))
+    price = F.col("_gap").isNotNull() & F.col("category").isin(*fv.PRICE_ANSWER_CATEGORIES)
+    return evaluated.join(gaps, "package_id", "left").where(
+        ((F.col("risk") == "HIGH") | price) & (F.col("evidence_status") != "SUPPORTED")
+    ).drop("_gap")
+
+
 def _unknown_placeholders(template: str) -> set[str]:
     return set(re.findall(r"{(\w+)}", template)) - {"topic", "market", "category"}
 

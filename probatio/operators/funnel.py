@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -40,6 +40,35 @@ def session_funnel(events: DataFrame) -> DataFrame:
     ).withColumn("abandoned", F.col("furthest_step") < len(fv.EVENT_TYPES))
 
 
+def gap_sessions(events: DataFrame, gap_seconds: int = 1800) -> DataFrame:
+    """Sessions of each session_id: a pause longer than ``gap_seconds`` starts another, as in
+    ``session_window``.
+
+    ``events``: session_id, event_type, ts; others than funnel steps are ignored.  Events
+    are first counted per slice of time as long as the gap, within which no pause can lie.
+    What is then put in order are slices, of which a session_id has as many as its time
+    holds, however many its events are.
+    """
+    gap = gap_seconds * 1_000_000
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    slices = events.select(
+        "session_id", step(F.col("event_type")).alias("_step"), micros.alias("_at")
+    ).where("_step is not null and _at is not null").groupBy(
+        "session_id", F.floor(F.col("_at") / gap).alias("_slice")).agg(
+        F.min("_at").alias("_from"), F.max("_at").alias("_to"), F.max("_step").alias("_step"),
+        F.count("*").alias("events"))
+    order = Window.partitionBy("session_id").orderBy("_slice")
+    begins = F.coalesce(F.col("_from") - F.lag("_to").over(order) > gap, F.lit(True))
+    return (
+        slices.withColumn("_begins", begins.cast("int"))
+        .withColumn("_n", F.sum("_begins").over(order)).groupBy("session_id", "_n").agg(
+            F.timestamp_micros(F.min("_from")).alias("started_at"),
+            F.timestamp_micros(F.max("_to") + gap).alias("closed_at"),
+            F.max("_step").alias("furthest_step"), F.sum("events").alias("events"))
+        .drop("_n")
+        .withColumn("abandoned", F.col("furthest_step") < len(fv.EVENT_TYPES)))
+
+
 def funnel(events: DataFrame, by: list[str]) -> DataFrame:
     """Sessions reaching each step, by any grouping; plus the final conversion rate.
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import text
 from probatio.profiles import Profile
+from probatio.session import cut_lineage
 
 
 def query_profile(queries: DataFrame, profile: Profile) -> DataFrame:
@@ -124,18 +125,14 @@ def _reason() -> Column:
 
 
 def _tokens_of(documents: DataFrame) -> DataFrame:
-    """One row per (document, token) with flags for where the token occurs."""
-    parts = documents.select(
-        "doc_id",
-        text.gate_tokens(F.col("title")).alias("_t"),
-        text.gate_tokens(F.col("body")).alias("_b"),
-        text.gate_tokens(_host_words(F.col("url"))).alias("_d"))
-    every = F.array_distinct(F.concat("_t", "_b", "_d"))
-    return parts.select("doc_id", "_t", "_d", "_b", F.explode(every).alias("token")) \
-        .select("doc_id", "token",
-                F.array_contains("_t", F.col("token")).alias("in_title"),
-                F.array_contains("_b", F.col("token")).alias("in_body"),
-                F.array_contains("_d", F.col("token")).alias("in_domain"))
+    """One row per (document, place, token); place is t(itle), b(ody) or d(omain)."""
+    def placed(place: str, value: Column) -> Column:
+        return F.transform(text.gate_tokens(value), lambda token: F.struct(
+            F.lit(place).alias("place"), token.alias("token")))
+
+    return documents.select("doc_id", F.inline(F.concat(
+        placed("t", F.col("title")), placed("b", F.col("body")),
+        placed("d", _host_words(F.col("url"))))))
 
 
 def gate_corpus(profiles: DataFrame, documents: DataFrame) -> DataFrame:
@@ -143,36 +140,34 @@ def gate_corpus(profiles: DataFrame, documents: DataFrame) -> DataFrame:
 
     Pairs that are absent are IRRELEVANT with score 0 (or UNKNOWN when the query
     has no topic); :func:`relevance_summary` counts them without producing them.
-    The query side is small and is left to Spark to broadcast when its measured
-    size allows; otherwise the join shuffles on the token.
+    The tokens of the queries are written first, so Spark knows their size: it broadcasts
+    them when that is small, and then a token that no query has is dropped where it is read;
+    otherwise the join shuffles on the token.
     """
-    wanted = profiles.select(
+    wanted = cut_lineage(profiles.select(
         "package_id", F.explode(F.concat(
             F.transform("topic_tokens", lambda t: F.struct(
                 t.alias("token"), F.lit(True).alias("is_topic"))),
             F.transform("modifier_tokens", lambda t: F.struct(
                 t.alias("token"), F.lit(False).alias("is_topic"))))).alias("w")
-    ).select("package_id", "w.token", "w.is_topic")
+    ).select("package_id", "w.token", "w.is_topic"))
     sizes = profiles.where(F.size("topic_tokens") > 0).select(
         "package_id", F.size("topic_tokens").alias("n_topic"),
         F.size("modifier_tokens").alias("n_modifier"))
 
-    def hits(*conditions: Column) -> Column:
-        test = conditions[0]
-        for extra in conditions[1:]:
-            test = test & extra
-        return F.count_if(test)
+    topic, place = F.col("is_topic"), F.col("place")
+
+    def distinct(test: Column) -> Column:
+        return F.size(F.collect_set(F.when(test, F.col("token"))))  # of one query's tokens
 
-    topic = F.col("is_topic")
-    in_text = F.col("in_title") | F.col("in_body")
     matched = (
         _tokens_of(documents).join(wanted, "token")
         .groupBy("package_id", "doc_id")
-        .agg(hits(topic).alias("topic_hits"),
-             hits(topic, F.col("in_title")).alias("title_hits"),
-             hits(topic, F.col("in_body")).alias("body_hits"),
-             hits(topic, F.col("in_domain")).alias("domain_hits"),
-             hits(~topic, in_text).alias("modifier_hits"))
+        .agg(distinct(topic).alias("topic_hits"),
+             F.count_if(topic & (place == "t")).alias("title_hits"),
+             F.count_if(topic & (place == "b")).alias("body_hits"),
+             F.count_if(topic & (place == "d")).alias("domain_hits"),
+             distinct(~topic & (place != "d")).alias("modifier_hits"))
         .where("topic_hits > 0")
     )
     score = _score(F.col("n_topic"), F.col("n_modifier"), F.col("title_hits"),

@@ -23,6 +23,7 @@ from probatio import fixed_values as fv
 from probatio.functions import numerics, text
 from probatio.operators import classify
 from probatio.profiles import Profile
+from probatio.session import cut_lineage
 
 _EDGE = "\u0002"  # marks word boundaries, so a whole-word test is a plain contains
 
@@ -124,31 +125,55 @@ def _claim_keys(claims: DataFrame, term_counts: DataFrame) -> DataFrame:
         claims.select(*CLAIM_KEYS, F.explode(named).alias("key"))).distinct()
 
 
-def candidates(claims: DataFrame, passages: DataFrame, profile: Profile,
-               salts: int = 8) -> DataFrame:
+HOT_SHARE = 1_000
+
+
+def _postings(passages: DataFrame) -> DataFrame:
+    """One row per passage and key, with what the join tests."""
+    keys = F.concat(
+        F.transform("topic_terms", lambda t: F.concat(F.lit("t:"), t)),
+        F.transform("phrases", lambda p: F.concat(F.lit("p:"), p)))
+    return passages.select(
+        *PASSAGE_KEYS, F.col("region").alias("_p_region"),
+        F.col("category").alias("_p_category"), F.explode(keys).alias("key"))
+
+
+def hot_keys(counts: DataFrame) -> DataFrame:
+    """Keys with more than a thousandth of all postings and into how many parts they go.
+
+    ``counts``: package_id, key, passages.  There are fewer than a thousand of them, so
+    the result may be broadcast whatever the size of the corpus.
+    """
+    total = counts.agg(F.coalesce(F.sum("passages"), F.lit(0))).scalar()
+    share = F.col("passages") * HOT_SHARE / total
+    return F.broadcast(counts.select(
+        "package_id", "key", F.ceil(share).cast("int").alias("_parts")).where("_parts > 1"))
+
+
+def candidates(claims: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
     """Every (claim, passage) pair of a package that can support or disagree.
 
-    Region and category refusals are applied inside the join.  A hot key — a
-    package or a term holding a large share of all passages — is spread over
-    ``salts`` sub-keys, on top of AQE's own skew splitting.
+    Region and category refusals are applied inside the join.  The postings of every key
+    are counted first; a hot key (``hot_keys``) is spread over parts in proportion to its
+    share, and only the claims that look such a key up are repeated, once per part.
     """
-    term_counts = passages.select(F.explode(F.col("topic_terms")).alias("term")) \
-        .groupBy("term").agg(F.count("*").alias("passages"))
+    postings = _postings(passages)
+    counts = cut_lineage(postings.groupBy("package_id", "key").agg(
+        F.count("*").alias("passages")))
+    hot = hot_keys(counts)
+    term_counts = counts.where(F.col("key").startswith("t:")).groupBy(
+        F.substring("key", 3, 1_000_000_000).alias("term")).agg(
+        F.sum("passages").alias("passages"))
+    parts = F.coalesce("_parts", F.lit(1))
     left = (
         _claim_keys(claims, term_counts)
         .join(claims.select(*CLAIM_KEYS, F.col("region").alias("_c_region"),
                             F.col("category").alias("_c_category")), CLAIM_KEYS)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .join(hot, ["package_id", "key"], "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
     )
-    keys = F.concat(
-        F.transform("topic_terms", lambda t: F.concat(F.lit("t:"), t)),
-        F.transform("phrases", lambda p: F.concat(F.lit("p:"), p)))
-    right = passages.select(
-        *PASSAGE_KEYS, F.col("region").alias("_p_region"),
-        F.col("category").alias("_p_category"),
-        F.pmod(F.xxhash64("source_ref", "passage_ord"), F.lit(salts)).cast("int")
-        .alias("_salt"),
-        F.explode(keys).alias("key"))
+    right = postings.join(hot, ["package_id", "key"], "left").withColumn(
+        "_salt", F.pmod(F.xxhash64("source_ref", "passage_ord"), parts).cast("int")).drop("_parts")
     fits = (_scopes_meet(F.col("_c_region"), F.col("_p_region"), profile)
             & compatible_categories(F.col("_c_category"), F.col("_p_category")))
     return (
@@ -270,3 +295,39 @@ def _values(figures: Column) -> Column:
 def match(claims: DataFrame, passages: DataFrame, profile: Profile) -> DataFrame:
     """Pairs that support a claim or disagree with it, plus refused candidates."""
     return match_pairs(candidates(claims, passages, profile), claims, passages, profile)
+
+
+def figure_postings(texts: DataFrame, *keys: str) -> DataFrame:
+    """The typed figures of texts that ``concepts`` has read: package_id, type, digits and
+    the keys that name the text, each once."""
+    return texts.select("package_id", *keys, F.explode("numerics").alias("n")).select(
+        "package_id", *keys, "n.type", "n.digits").distinct()
+
+
+def figure_spread(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """For each figure of a claim, how many sources of the package state the same value of
+    its type, how many another one, and how many other values there are.
+
+    Works on counts per (package, type) and per (package, type, value), never on pairs of
+    claim and passage: a source states another value unless the asked one is its only one.
+    """
+    stated = figure_postings(passages, "source_ref")
+    only = stated.groupBy("package_id", "type", "source_ref").agg(
+        F.when(F.count("*") == 1, F.first("digits")).alias("only"))
+    kinds = only.groupBy("package_id", "type").agg(F.count("*").alias("sources"))
+    values = stated.groupBy("package_id", "type", "digits").agg(F.count("*").alias("same"))
+    alone = only.where("only is not null").groupBy(
+        "package_id", "type", F.col("only").alias("digits")).agg(F.count("*").alias("alone"))
+    spread = values.groupBy("package_id", "type").agg(F.count("*").alias("values"))
+    known = {name: F.coalesce(F.col(name), F.lit(0)) for name in (
+        "sources", "same", "alone", "values")}
+    kind, value = ["package_id", "type"], ["package_id", "type", "digits"]
+    return (
+        figure_postings(claims, "claim_id")
+        .join(kinds.join(spread, kind), kind, "left")
+        .join(values.join(alone, value, "left"), value, "left")
+        .select("package_id", "claim_id", "type", "digits",
+                known["same"].alias("same_sources"),
+                (known["sources"] - known["alone"]).alias("other_sources"),
+                (known["values"] - F.when(known["same"] > 0, 1).otherwise(0))
+                .alias("other_values")))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
-from probatio.functions import text
+from probatio.functions import keys, text
+from probatio.operators import gate
+from probatio.session import cut_lineage
 
 
 def _state_in(states) -> Column:
@@ -45,10 +48,54 @@ def affected_packages(packages: DataFrame, official: DataFrame) -> DataFrame:
 def fold_official(official: DataFrame) -> DataFrame:
     """Accepted official pages as ordinary sources, re-gated like any other."""
     return official.where("accepted").select(
-        "package_id", "source_ref", "title", "body", "url",
+        "package_id", "source_ref", "source_ord", "title", "body", "url",
         F.lit("official").alias("source_type"), "published_at")
 
 
+def official_pass(packages: DataFrame, stored: DataFrame, sources: DataFrame,
+                  official: DataFrame, profiles: DataFrame,
+                  evaluate: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Verdicts after official pages came in: changed packages anew, the others as stored.
+
+    ``packages``: package_id, version.  ``stored``: verdicts of the stored version.
+    ``sources``: what that version rests on.  ``official``: pages with ``accepted``.
+    ``profiles``: query profiles.  ``evaluate(sources, packages)`` gives verdicts.
+
+    A package that gained an accepted page gets a version of its own that supersedes the
+    stored one.  Its official pages pass the relevance gate first: being official does not
+    put a page on topic.  Only sources of changed packages are read again.
+    """
+    changed = cut_lineage(affected_packages(packages, official))
+    mine = changed.select("package_id")
+    folded = fold_official(official)
+    on_topic = gate.gate_sources(folded, profiles).where(
+        "relevance_status = 'RELEVANT'").select(*folded.columns)
+    merged = union_results(sources.join(mine, "package_id", "left_semi"), on_topic)
+    rebuilt = evaluate(merged, mine).join(
+        changed.select("package_id", "version", "supersedes"), "package_id")
+    kept = stored.join(mine, "package_id", "left_anti").join(
+        packages.select("package_id", "version"), "package_id").withColumn(
+            "supersedes", F.lit(None).cast("int"))
+    return rebuilt.unionByName(kept)
+
+
+def due_runs(requests: DataFrame, runs: DataFrame) -> DataFrame:
+    """Requests that no run of the same key and day has served, each once.
+
+    ``requests``: run_id, query, market, language, requested_at; ``runs``:
+    idempotency_key, status.  A failed run does not count as served.
+    """
+    day = F.date_format(F.col("requested_at").cast("timestamp"), "yyyy-MM-dd")
+    keyed = requests.withColumn("idempotency_key", keys.run_key(
+        text.normalise(F.col("query")), F.col("market"), F.col("language"), day))
+    served = runs.where(F.col("status").isin(*fv.RUN_REUSABLE)).select("idempotency_key").distinct()
+    first = keyed.groupBy("idempotency_key").agg(
+        F.min_by(F.struct(*requests.columns), F.struct("requested_at", "run_id")).alias("r"),
+        F.count("*").alias("requests"))
+    return first.join(served, "idempotency_key", "left_anti").select(
+        "idempotency_key", "r.*", "requests")
+
+
 def unseeded(keywords: DataFrame, seeded: DataFrame) -> DataFrame:
     """Keywords whose scope (normalised query, language, market) is not seeded yet."""
     scope = ["normalized_query", "language", "market"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ("relevance", "claims", "evidence", "market", "leads", "drafts", "ingest")
+_GROUPS = ("relevance", "claims", "evidence", "offers", "market", "leads", "drafts", "ingest", "streams")
 
 
 def all_queries() -> dict:

@@ -554,8 +554,9 @@ FROM rows_"""
 # ------------------------------------------------------------------- audits --
 def constraint_audit(spark, sf):
     """Driver tables seen as stored tables; several rules are broken on purpose."""
-    orders = inputs.table(spark, sf, "orders")
-    events = inputs.table(spark, sf, "events")
+    orders, events, part, line, supplier = (
+        inputs.table(spark, sf, n) for n in ("orders", "events", "part", "lineitem", "supplier"))
+    size = F.col("p_size")
     return sinks.audit({
         "captured_lead": orders.select(
             F.col("o_orderstatus").alias("state"), F.lit("CONTACT")
@@ -565,6 +566,26 @@ def constraint_audit(spark, sf):
         "approval": events.select(
             F.when(F.col("value") > 50, "APPROVED").alias("state"),
             F.col("event_id").alias("draft_id")),
+        "keyword_metric": part.select(
+            F.get(F.array(*map(F.lit, ("OBSERVED", "UNKNOWN", "MEASURED", None))),
+                  (size % 4).cast("int")).alias("observability"),
+            F.when(size % 7 > 0, F.col("p_brand")).alias("provider"),
+            F.lit("search_volume").alias("metric_type"),
+            F.when(size % 5 > 0, F.current_timestamp()).alias("retrieved_at"),
+            F.when(size % 3 > 0, F.col("p_retailprice")).alias("value"),
+            F.when(size % 2 > 0, F.col("p_type")).alias("value_text")),
+        "seo_opportunity": supplier.select(
+            F.floor(F.col("s_acctbal") / 50).alias("overall_score")),
+        "research_evidence": line.select(
+            F.lit("OBSERVED").alias("observability"),
+            F.when(F.col("l_linenumber") > 3, "OFFICIAL").when(F.col("l_linenumber") > 1, "any")
+            .alias("authority_requirement"),
+            F.when(F.col("l_tax") > 0.04, "REQUIRED").when(F.col("l_tax") > 0.02, "SOON")
+            .alias("freshness_requirement")),
+        "evidence_passage": line.select(
+            F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "N", False)
+            .alias("supports"),
+            F.when(F.col("l_discount") > 0.05, F.col("l_linestatus") == "O").alias("agrees")),
     })
 
 
@@ -576,7 +597,28 @@ UNION ALL SELECT 'captured_lead', 'UNIQUE', 'external_correlation_id',
 UNION ALL SELECT 'site_event', 'CHECK', 'event_type', upper(event_type), count(*)
   FROM events GROUP BY 4
 UNION ALL SELECT 'approval', 'CHECK', 'state', NULL, count(*)
-  FROM events WHERE NOT value > 50 HAVING count(*) > 0"""
+  FROM events WHERE NOT value > 50 HAVING count(*) > 0
+UNION ALL SELECT 'keyword_metric', 'CHECK', 'observability',
+       CASE WHEN p_size % 4 = 2 THEN 'MEASURED' END, count(*) FROM part WHERE p_size % 4 > 1
+  GROUP BY 4
+UNION ALL SELECT 'keyword_metric', 'NOT NULL', 'provider', NULL, count(*) FROM part
+  WHERE p_size % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'keyword_metric', 'NOT NULL', 'retrieved_at', NULL, count(*) FROM part
+  WHERE p_size % 5 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'keyword_metric', 'TOGETHER', 'metric_without_value', 'NULL|NULL', count(*) FROM part
+  WHERE p_size % 6 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'seo_opportunity', 'RANGE', 'overall_score',
+       CAST(floor(s_acctbal / 50)::BIGINT AS VARCHAR), count(*) FROM supplier
+  WHERE floor(s_acctbal / 50) NOT BETWEEN 0 AND 100 GROUP BY 4
+UNION ALL SELECT 'research_evidence', 'CHECK', 'authority_requirement', 'any', count(*)
+  FROM lineitem WHERE l_linenumber IN (2, 3) HAVING count(*) > 0
+UNION ALL SELECT 'research_evidence', 'CHECK', 'freshness_requirement', 'SOON', count(*)
+  FROM lineitem WHERE l_tax > 0.02 AND NOT l_tax > 0.04 HAVING count(*) > 0
+UNION ALL SELECT 'evidence_passage', 'NOT NULL', 'supports', NULL, count(*)
+  FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') HAVING count(*) > 0
+UNION ALL SELECT 'evidence_passage', 'TOGETHER', 'support_that_disagrees', 'true|false', count(*)
+  FROM lineitem WHERE l_returnflag = 'A' AND l_discount > 0.05 AND l_linestatus <> 'O'
+  HAVING count(*) > 0"""
 
 
 def site_audit(spark, sf):

@@ -67,6 +67,7 @@ PROFILE = Profile(
             "GRID_RULE": "grid rule {topic}",
             "TAX": "tax rate {topic} {category}",
             "ROI": "grid rule {topic}",
+            "MARKET_PRICE": "{topic} reference price {market}",
         },
     },
     authoritative_domains=("src4.example.com", "src1.example.com"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
@@ -58,11 +58,16 @@ def write_table(rows: DataFrame, path: str, partition_by: list[str] | None = Non
 CHECKS = {
     "research_run": [("status", fv.RUN_STATUSES, False)],
     "research_source": [("status", fv.SOURCE_STATES, False),
-                        ("relevance_status", fv.RELEVANCE_STATUSES, True)],
+                        ("relevance_status", fv.RELEVANCE_STATUSES, True),
+                        ("source_quality", tuple(fv.QUALITY_RANK), True)],
     "research_evidence": [("observability", fv.OBSERVATIONS, False),
                           ("evidence_status", fv.EVIDENCE_STATUSES, True),
-                          ("category", fv.CLAIM_CATEGORIES, True)],
+                          ("category", fv.CLAIM_CATEGORIES, True),
+                          ("risk", tuple(fv.RISK_MINIMUM_QUALITY), True),
+                          ("authority_requirement", tuple(fv.AUTHORITY_RANK), True),
+                          ("freshness_requirement", fv.FRESHNESS_REQUIREMENTS, True)],
     "serp_question": [("kind", ("PAA", "RELATED"), False)],
+    "keyword_metric": [("observability", fv.OBSERVATIONS, False)],
     "content_brief": [("content_type", fv.CONTENT_TYPES, False),
                       ("search_intent", fv.INTENTS, False)],
     "qa_review": [("status", fv.QA_STATUSES, False), ("qa_type", fv.QA_TYPES, False),
@@ -73,7 +78,23 @@ CHECKS = {
                       ("conversion_type", fv.CONVERSION_TYPES, False)],
     "site_event": [("event_type", fv.EVENT_TYPES, False)],
 }
+# table -> (column, lowest, highest); NULL is allowed
+RANGES = {"seo_opportunity": [("overall_score", 0, 100)]}
+# table -> columns that are always filled
+FILLED = {
+    "keyword_metric": ("provider", "metric_type", "retrieved_at"),
+    "evidence_passage": ("supports",),
+}
+# table -> (name, columns it reads, condition that no row may meet)
+TOGETHER = {
+    "evidence_passage": [("support_that_disagrees", ("supports", "agrees"),
+                          "supports AND NOT agrees")],
+    "keyword_metric": [("metric_without_value", ("value", "value_text"),
+                        "value IS NULL AND value_text IS NULL")],
+}
 UNIQUE = {
+    "vertical": [("code",)],
+    "site": [("domain",)],
     "seed_keyword": [("vertical", "normalized_query", "language", "market")],
     "research_run": [("idempotency_key",)],
     "approval": [("draft_id",)],
@@ -83,33 +104,47 @@ UNIQUE = {
 }
 
 
+def _rules(name: str) -> list[tuple[str, tuple[str, ...], Column, str]]:
+    """(rule, columns, test, label) of a table; a UNIQUE rule takes every filled key."""
+    found = []
+    for column, allowed, nullable in CHECKS.get(name, ()):
+        found.append(("CHECK", (column,), F.coalesce(
+            ~F.col(column).isin(*allowed), F.lit(not nullable)), column))
+    for column, low, high in RANGES.get(name, ()):
+        found.append(("RANGE", (column,), ~F.col(column).between(low, high), column))
+    for column in FILLED.get(name, ()):
+        found.append(("NOT NULL", (column,), F.col(column).isNull(), column))
+    for label, columns, condition in TOGETHER.get(name, ()):
+        found.append(("TOGETHER", columns, F.expr(condition), label))
+    for columns in UNIQUE.get(name, ()):
+        # As in SQL, NULL keys never collide.
+        filled = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+        found.append(("UNIQUE", columns, filled, ",".join(columns)))
+    return found
+
+
 def audit(tables: dict[str, DataFrame]) -> DataFrame:
     """All violations as (table, rule, key, value, rows).
 
-    Values are counted, not listed row by row, so a column that is wrong
-    everywhere still gives one violation row per distinct value.
+    A table is read once, however many rules it has: each row gives the rules it breaks and
+    its unique keys, and one count per (rule, values) covers them all.  Values are counted,
+    not listed row by row, so a column that is wrong everywhere still gives one violation
+    row per distinct value.
     """
     parts = []
     for name, rows in tables.items():
-        for column, allowed, nullable in CHECKS.get(name, []):
-            if column not in rows.columns:
-                continue
-            wrong = F.coalesce(~F.col(column).isin(*allowed), F.lit(not nullable))
-            parts.append(rows.where(wrong).groupBy(
-                F.col(column).cast("string").alias("value")).agg(
-                    F.count("*").alias("rows")).select(
-                        F.lit(name).alias("table"), F.lit("CHECK").alias("rule"),
-                        F.lit(column).alias("key"), "value", "rows"))
-        for columns in UNIQUE.get(name, []):
-            if not set(columns) <= set(rows.columns):
-                continue
-            # As in SQL, NULL keys never collide.
-            filled = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-            parts.append(rows.where(filled).groupBy(*columns).agg(
-                F.count("*").alias("rows")).where("rows > 1").select(
-                    F.lit(name).alias("table"), F.lit("UNIQUE").alias("rule"),
-                    F.lit(",".join(columns)).alias("key"),
-                    F.concat_ws("|", *columns).alias("value"), "rows"))
+        entries = [F.when(test, F.struct(
+            F.lit(rule).alias("rule"), F.lit(label).alias("key"),
+            F.array(*[F.col(c).cast("string") for c in columns]).alias("values")))
+            for rule, columns, test, label in _rules(name) if set(columns) <= set(rows.columns)]
+        if not entries:
+            continue
+        counted = rows.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).groupBy(
+            "e.rule", "e.key", "e.values").agg(F.count("*").alias("rows"))
+        shown = F.when(F.size("values") > 1, F.array_join("values", "|", "NULL")).otherwise(
+            F.get("values", F.lit(0)))
+        parts.append(counted.where("rule <> 'UNIQUE' OR rows > 1").select(
+            F.lit(name).alias("table"), "rule", "key", shown.alias("value"), "rows"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

@@ -1,21 +1,20 @@
-"""Streaming twins of the event, lead and run rules.
+"""Streaming twins of the event and run rules; ``ordered`` has those that need order.
 
 Every function takes a streaming (or batch) DataFrame and returns one; the caller
-chooses the sink.  State is bounded: five timestamps per client, one state per key,
-and keys that a watermark or a timer removes.
+chooses the sink.  State is bounded by the watermark.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from probatio import fixed_values as fv
-from probatio.operators import funnel, leads
+from probatio.operators import funnel
+from probatio.session import shared_folder
 
 
 def with_event_time(events: DataFrame, column: str = "ts",
@@ -57,85 +56,67 @@ def ingest_once(rows: DataFrame, key: str, delay: str = "1 day") -> DataFrame:
     return with_event_time(rows, delay=delay).dropDuplicatesWithinWatermark([key])
 
 
-_VERDICT = ("client_key string, submission_id bigint, submitted_at timestamp, "
-            "accepted boolean, reason string")
+def upsert_once(target: str, key: str, time: str = "ts"):
+    """A ``foreachBatch`` writer that stores each (day, key) once, whatever is replayed.
 
-
-def spam_verdicts(submissions: DataFrame) -> DataFrame:
-    """Rate rule per client over a stream of submissions that passed the other checks.
-
-    State is the list of accepted times; a processing-time timer drops clients that
-    stayed quiet for the whole window.
+    The target is laid out as day=.../batch=...: the batch id is the manifest.  A batch
+    replaces its own folders only, so a batch that failed half way, or comes twice, leaves
+    what it would have left at once; and it looks for known keys in the folders of its own
+    days only.
     """
-    checked = leads.spam_rules(submissions).where(
-        "spam_reason is null and client_key is not null")
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame],
-             state: GroupState) -> Iterator[pd.DataFrame]:
-        from collections import deque
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = deque(state.get[0] if state.exists else [])
-        rows = pd.concat(list(batches)).sort_values(["submitted_at", "submission_id"])
-        seconds = rows["submitted_at"].map(lambda t: t.timestamp())
-        verdicts = [leads.accept_in_window(accepted, now) for now in seconds]
-        state.update((list(accepted),))
-        state.setTimeoutDuration(fv.RATE_WINDOW_SECONDS * 1000)
-        yield pd.DataFrame({
-            "client_key": key[0], "submission_id": rows["submission_id"].values,
-            "submitted_at": rows["submitted_at"].values, "accepted": verdicts,
-            "reason": [None if v else leads.RATE_REASON for v in verdicts]})
-
-    return checked.withColumn("submitted_at", F.col("submitted_at").cast("timestamp")) \
-        .groupBy("client_key").applyInPandasWithState(
-            step, _VERDICT, "accepted array<double>", "append",
-            GroupStateTimeout.ProcessingTimeTimeout)
-
-
-_STEP = ("key string, step_id bigint, ts timestamp, requested string, "
-         "state_before string, state_after string, allowed boolean")
-
-
-def fold_states(log: DataFrame, table: dict[str, tuple[str, ...]],
-                initial: str) -> DataFrame:
-    """State per key as requests arrive; refused steps are emitted and change nothing.
-
-    ``log``: key, ts, step_id, requested.
-    """
-    def step(key: tuple, batches: Iterator[pd.DataFrame],
-             state: GroupState) -> Iterator[pd.DataFrame]:
-        current = state.get[0] if state.exists else initial
-        rows = pd.concat(list(batches)).sort_values(["ts", "step_id"])
-        before, after, allowed = [], [], []
-        for requested in rows["requested"]:
-            legal = requested in table.get(current, ())
-            before.append(current)
-            current = requested if legal else current
-            after.append(current)
-            allowed.append(legal)
-        state.update((current,))
-        yield pd.DataFrame({
-            "key": key[0], "step_id": rows["step_id"].values, "ts": rows["ts"].values,
-            "requested": rows["requested"].values, "state_before": before,
-            "state_after": after, "allowed": allowed})
-
-    return log.withColumn("ts", F.col("ts").cast("timestamp")).groupBy("key") \
-        .applyInPandasWithState(step, _STEP, "state string", "append",
-                                GroupStateTimeout.NoTimeout)
-
-
-def upsert_once(target: str, key: str):
-    """A ``foreachBatch`` writer that appends only keys the target does not hold."""
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(target).select(key), key, "left_anti")
-        except Exception as missing:  # noqa: BLE001 - first batch: no target yet
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-        fresh.write.mode("append").parquet(target)
+        fresh = batch.where(F.col(time).isNotNull()).withColumn(
+            "day", F.to_date(time)).groupBy("day", key).agg(F.min(time).alias(time))
+        days = [row.day for row in fresh.select("day").distinct().collect()]
+        stored = _stored(spark, target)
+        if stored is not None:
+            known = stored.where(F.col("day").isin(days) & (F.col("batch") != batch_id))
+            fresh = fresh.join(known.select("day", key), ["day", key], "left_anti")
+        fresh.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(target)
 
     return write
+
+
+def _stored(spark: SparkSession, target: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(target)
+    except AnalysisException as problem:  # the first batch finds no target, or an empty one
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table, a file or a folder of files, as a stream that reads every row once.
+
+    A plain path must be a folder for Spark; as a pattern that matches it alone it may be
+    either.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    only = f"{folder}/[{name[0]}]{name[1:]}"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(only)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/probatio/stream-{uuid.uuid4().hex}"
+
+
+def run_once(stream: DataFrame) -> DataFrame:
+    """Run a stream over all that is there and return its output as a table."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    query = (stream.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def store_once(stream: DataFrame, key: str, time: str = "ts") -> DataFrame:
+    """Run a stream into ``upsert_once`` and return what the target holds."""
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    query = (stream.writeStream.foreachBatch(upsert_once(f"{folder}/rows", key, time))
+             .option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start())
+    query.awaitTermination()
+    return spark.read.parquet(f"{folder}/rows")

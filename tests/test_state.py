@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
 from probatio.operators import leads, transitions, usage
-from probatio.streaming import events as streams
+from probatio.streaming import events as streams, ordered
 
 START = dt.datetime(2024, 1, 1)
 
@@ -38,7 +38,7 @@ LOG = "key string, ts timestamp, step_id bigint, requested string"
 def test_replay_equals_one_pass(spark):
     rows = log_rows()
     got = transitions.replay(spark.createDataFrame(rows, LOG),
-                             fv.PUBLICATION_TRANSITIONS, "DRAFT", slice_seconds=1800)
+                             fv.PUBLICATION_TRANSITIONS, "DRAFT")
     assert {r.step_id: (r.state_before, r.state_after, r.allowed)
             for r in got.collect()} == replayed(rows, fv.PUBLICATION_TRANSITIONS, "DRAFT")
 
@@ -66,14 +66,39 @@ def run(query_df, name, tmp_path, mode="append"):
     return query_df.sparkSession.table(name)
 
 
+def passed(rows, place, minutes=10):
+    """Rows that a watermark of so many minutes behind the last row has passed."""
+    last = max(r[place] for r in rows) - dt.timedelta(minutes=minutes)
+    return [r for r in rows if r[place] < last]
+
+
 def test_streamed_fold_equals_one_pass(spark, tmp_path):
     rows = log_rows(120, fv.APPROVAL_STATES)
     frame = spark.createDataFrame(rows, LOG)
-    out = run(streams.fold_states(stream(spark, frame, tmp_path), fv.APPROVAL_TRANSITIONS,
+    out = run(ordered.fold_states(stream(spark, frame, tmp_path), fv.APPROVAL_TRANSITIONS,
                                   "PENDING"), "folded", tmp_path)
-    expected = replayed(rows, fv.APPROVAL_TRANSITIONS, "PENDING")
     assert {r.step_id: (r.state_before, r.state_after, r.allowed)
-            for r in out.collect()} == expected
+            for r in out.collect()} == replayed(passed(rows, 1), fv.APPROVAL_TRANSITIONS, "PENDING")
+
+
+def test_streamed_fold_waits_for_late_steps_and_survives_a_restart(spark, tmp_path):
+    """Steps arrive out of order within the delay; the query stops after each file."""
+    rows = [("k", START + dt.timedelta(minutes=m), i, s) for i, (m, s) in enumerate(
+        [(4, "APPROVED"), (1, "NEEDS_REVISION"), (2, "PENDING"), (9, "REJECTED"),
+         (50, "APPROVED"), (49, "PENDING"), (120, "APPROVED")])]
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in (rows[:2], rows[2:4], rows[4:6], rows[6:]):
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(folder)
+        source = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+        query = (ordered.fold_states(source, fv.APPROVAL_TRANSITIONS, "PENDING").writeStream
+                 .format("parquet").option("path", out).option(
+                     "checkpointLocation", str(tmp_path / "state"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination(240)
+        assert query.exception() is None
+    got = {r.step_id: (r.state_before, r.state_after, r.allowed)
+           for r in spark.read.parquet(out).collect()}
+    assert got == replayed(rows[:6], fv.APPROVAL_TRANSITIONS, "PENDING")
 
 
 SUBMISSION = ("submission_id bigint, submitted_at timestamp, client_key string, "
@@ -128,10 +153,10 @@ def test_spam_window_edges():
 
 def test_streamed_spam_equals_batch(spark, tmp_path):
     rows = submissions(80)
-    out = run(streams.spam_verdicts(stream(spark, spark.createDataFrame(rows, SUBMISSION),
+    out = run(ordered.spam_verdicts(stream(spark, spark.createDataFrame(rows, SUBMISSION),
                                            tmp_path)), "spam", tmp_path)
     expected = expected_spam(rows)
-    counted = {i: expected[i] for i, _, client, honeypot, elapsed in rows
+    counted = {i: expected[i] for i, _, client, honeypot, elapsed in passed(rows, 1)
                if client and not honeypot and not (elapsed and elapsed < 2500)}
     assert {r.submission_id: r.accepted for r in out.collect()} == counted
 
@@ -160,10 +185,47 @@ def test_ingest_once_and_upsert(spark, tmp_path):
     once = run(streams.ingest_once(stream(spark, frame, tmp_path), "run_key"), "once",
                tmp_path)
     assert sorted(r.run_key for r in once.collect()) == [0, 1, 2, 3, 4]
-    write = streams.upsert_once(str(tmp_path / "target"), "run_key")
-    for epoch in range(2):
-        write(frame, epoch)
-    assert spark.read.parquet(str(tmp_path / "target")).count() == 5
+
+
+def test_replayed_batches_add_nothing(spark, tmp_path):
+    """Eight days of rows; batches come again, also after part of one was written."""
+    rows = [(i % 5, START + dt.timedelta(hours=7 * i)) for i in range(28)]
+    target = str(tmp_path / "target")
+    write = streams.upsert_once(target, "run_key")
+    wanted = {(t.date(), k) for k, t in rows}
+    batches = [spark.createDataFrame(part, "run_key int, ts timestamp")
+               for part in (rows[:10], rows[8:20], rows[15:])]
+    for number in (0, 1, 1, 0, 2, 2):
+        write(batches[number], number)
+        found = [(r.day, r.run_key) for r in spark.read.parquet(target).collect()]
+        assert len(found) == len(set(found)) and set(found) <= wanted
+    assert set(found) == wanted
+    write(batches[0].limit(0), 3)
+    assert spark.read.parquet(target).count() == len(wanted)
+
+
+def test_sessions_split_at_gaps_like_session_windows(spark):
+    rng = random.Random(2)
+    rows = [("hot" if i % 3 else f"s{i % 7}", START + dt.timedelta(
+        seconds=rng.choice([0, 1799, 1800, 1801, 5, 7200]) + 2400 * (i // 4)), rng.choice(
+            ["PAGE_VIEW", "CTA_CLICK", "LEAD_CREATED", "error"])) for i in range(400)]
+    frame = spark.createDataFrame(rows, "session_id string, ts timestamp, event_type string")
+    names = ["session_id", "started_at", "closed_at", "furthest_step", "events", "abandoned"]
+    found = {tuple(r) for r in streams.funnel.gap_sessions(frame).select(names).collect()}
+    wanted = set()
+    for key in {r[0] for r in rows}:
+        steps = sorted((t, fv.EVENT_TYPES.index(e) + 1) for k, t, e in rows
+                       if k == key and e != "error")
+        session = []
+        for at, step in [*steps, (dt.datetime.max, 0)]:
+            if session and (at - session[-1][0]).total_seconds() > 1800:
+                top = max(n for _, n in session)
+                wanted.add((key, session[0][0], session[-1][0] + dt.timedelta(minutes=30), top,
+                            len(session), top < len(fv.EVENT_TYPES)))
+                session = []
+            session.append((at, step))
+    assert found == wanted and len([w for w in wanted if w[0] == "hot"]) > 5
+    assert found == {tuple(r) for r in streams.funnel_sessions(frame).select(names).collect()}
 
 
 def test_budget_refuses_after_the_limit(spark):
@@ -216,13 +278,31 @@ def test_export_leaves_terminal_leads_and_adds_to_stored_attempts(spark):
         "EXPORT_FAILED", 5, 1)
 
 
-def test_quarter_hot_key_spreads(spark):
-    """A key with most of the log is folded in many slices, not in one group."""
-    rows = spark.range(5000).select(
-        F.when(F.col("id") % 3 > 0, "hot").otherwise(F.col("id").cast("string"))
-        .alias("key"), (F.to_timestamp(F.lit("2024-01-01")) + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0), F.col("id") * 60)).alias("ts"),
-        F.col("id").alias("step_id"), F.lit("ARCHIVED").alias("requested"))
-    audit = transitions.publication_audit(rows)
-    hot = audit.where("key = 'hot'").first()
-    assert (hot.final_state, hot.refused) == ("ARCHIVED", hot.attempts - 1)
+def test_hot_key_within_one_second_spreads(spark):
+    """A key with most of the log, all in one second, is read in many ranges of like size,
+    and the ranges agree with one pass over the log."""
+    rng = random.Random(3)
+    names = [*fv.PUBLICATION_STATES, "NONSENSE", None]
+    rows = [("hot" if i % 10 else f"k{i % 70}", START, i, rng.choice(names))
+            for i in range(6000)]
+    log = spark.createDataFrame(rows, LOG).repartition(8)
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        sizes = sorted(r["count"] for r in transitions.walked_ranges(
+            log, fv.PUBLICATION_TRANSITIONS, "DRAFT").groupBy("part").count().collect())
+        got = transitions.replay(log, fv.PUBLICATION_TRANSITIONS, "DRAFT").collect()
+    finally:
+        spark.conf.unset(coalesce)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(sizes) > 15 and sizes[-1] <= 3 * sizes[len(sizes) // 2]
+    assert {r.step_id: (r.state_before, r.state_after, r.allowed)
+            for r in got} == replayed(rows, fv.PUBLICATION_TRANSITIONS, "DRAFT")
+    audit = transitions.audit(spark.createDataFrame(got)).where("key = 'hot'").first()
+    assert audit.attempts == 5400
+
+
+def test_replay_of_an_empty_log(spark):
+    empty = spark.createDataFrame([], LOG)
+    assert transitions.publication_audit(empty).count() == 0
