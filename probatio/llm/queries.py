@@ -63,14 +63,14 @@ def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the lines of templates that recur across documents."""
+    """Documents without lines that are equal in two documents or whose template recurs."""
     kept = templates.drop_recurring_lines(
         table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped",
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP3_SQL = f"""
+_TEMPLATE_SQL = f"""
 WITH docs AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (
@@ -110,16 +110,8 @@ FROM docs LEFT JOIN dropped USING (doc_id)
 """
 
 
-def op3_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without lines that are equal in two documents or whose template recurs."""
-    kept = templates.drop_repeated_lines(
-        table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select("doc_id", "n_lines", "n_dropped",
-                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
-
-
-#: OP3_SQL with the equal lines beside those of templates.
-OP3_REPEATED_SQL = OP3_SQL.replace("""dropped AS (
+#: Equal lines beside those of templates.
+OP3_SQL = _TEMPLATE_SQL.replace("""dropped AS (
   SELECT doc_id, list(place) AS places
   FROM shaped JOIN recurring USING (leaf, template)
   WHERE doc_id <> first_id GROUP BY doc_id)""", """worded AS (
@@ -416,7 +408,6 @@ def registry() -> dict:
         "op1_source_mix": (op1_source_mix, OP1_SQL),
         "op2_language_filters": (op2_language_filters, None),
         "op3_line_templates": (op3_line_templates, OP3_SQL),
-        "op3_repeated_lines": (op3_repeated_lines, OP3_REPEATED_SQL),
         "op4_quality_cascade": (op4_quality_cascade, OP4_SQL),
         "op5_bpe_lexicon": (op5_bpe_lexicon, None),
         "op6_block_naming": (op6_block_naming, OP6_SQL),

@@ -2,19 +2,18 @@
 
 The tree has a fixed depth: a line goes by its number of words and its first ``DEPTH``
 words to a leaf; words with a digit are variable fields from the start.  Within a leaf
-a word is constant at its place if at least ``MIN_DOCUMENTS`` lines have it there, else it
+a word is constant at its place if at least ``min_documents`` lines have it there, else it
 is a variable field too.  Lines with the same constants are one template.  A template
-that at least ``MIN_DOCUMENTS`` documents contain and most of whose words are constant
+that at least ``min_documents`` documents contain and most of whose words are constant
 recurs: its lines stay in the document with the smallest doc_id and go from all others.
 
-``drop_repeated_lines`` also looks at lines whose words are all the same, digits included:
-of whatever length, such a line recurs from two documents on, so the support above is asked
-of lines with variable fields only.
+Lines whose words are all the same, digits included, need no such support: of whatever
+length, such a line recurs from two documents on.
 
 Everything is counted over all lines.  Equal lines are put together before words are
 counted, so a line in a third of all documents is one row there.
 
-Rows: a line without ``MIN_WORDS`` words has no template, one without a word always stays; a
+Rows: a line without ``min_words`` words has no template, one without a word always stays; a
 NULL text has no lines and stays NULL.  Repeated rows are one document.  Lines of rows without
 doc_id go where they or their template recur.  An empty table gives an empty result.
 """
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from probatio.llm.common import WORD, fresh, let, stage
 
 DEPTH = 4
-MIN_WORDS = 3
-MIN_DOCUMENTS = 10
+MIN_WORDS = 3  # of a line with variable fields
+MIN_DOCUMENTS = 10  # of a template with variable fields
 CONSTANT = 0.7  # share of constant words in a template that may recur
 FIELD = "<*>"
 VARIABLE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -85,20 +84,21 @@ def _equal(docs: DataFrame) -> DataFrame:
         ~F.col("doc_id").eqNullSafe(first)).select("doc_id", "text_key", "place"), "equal-places")
 
 
-def _recurring(docs: DataFrame) -> DataFrame:
+def _recurring(docs: DataFrame, min_documents: int, min_words: int,
+               constant: float) -> DataFrame:
     """(doc_id, text_key, place): lines that go since their template recurs."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"),
                         F.split("text", "\n").alias("lines"))
-    parsed = F.filter(F.transform("lines", masked_line), lambda x: _words(x) >= MIN_WORDS)
+    parsed = F.filter(F.transform("lines", masked_line), lambda x: _words(x) >= min_words)
     leaves = stage(
         keyed.select(F.explode(F.array_distinct(F.transform(parsed, _leaf))).alias("leaf"))
-        .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_DOCUMENTS)
+        .groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
         .select("leaf", F.monotonically_increasing_id().alias("leaf_id")), "leaves")
     line = F.col("line")
     lines = (keyed.select("doc_id", "text_key", F.posexplode("lines").alias("place", "raw"))
              .select("doc_id", "text_key", "place",
                      F.explode(F.array(masked_line(F.col("raw")))).alias("line"))
-             .where(_words(line) >= MIN_WORDS)
+             .where(_words(line) >= min_words)
              .select("doc_id", "text_key", "place", _leaf(line).alias("leaf"), "line"))
     found = stage(lines.join(leaves, "leaf").drop("leaf"), "leaf-lines")
     distinct = stage(found.groupBy("leaf_id", "line").agg(F.count("*").alias("n")).select(
@@ -107,13 +107,13 @@ def _recurring(docs: DataFrame) -> DataFrame:
                              F.posexplode(F.split("line", " ")).alias("at", "word"))
     constants = stage(tokens.where(F.col("word") != FIELD).groupBy(
         "leaf_id", "at", "word").agg(F.sum("n").alias("n")).where(
-        F.col("n") >= MIN_DOCUMENTS).select("leaf_id", "at", "word",
+        F.col("n") >= min_documents).select("leaf_id", "at", "word",
                                             F.lit(True).alias("fixed")), "constants")
     word = F.when(F.col("fixed"), F.col("word")).otherwise(FIELD)
     shaped = tokens.join(constants, ["leaf_id", "at", "word"], "left").groupBy(
         "line_id").agg(
         F.sort_array(F.collect_list(F.struct("at", word.alias("word")))).alias("words"),
-        (F.count("fixed") / F.count("*") >= CONSTANT).alias("solid")).where("solid").select(
+        (F.count("fixed") / F.count("*") >= constant).alias("solid")).where("solid").select(
         "line_id", F.array_join(F.transform("words", lambda w: w["word"]), " ")
         .alias("template"))
     shaped = stage(distinct.select("line_id", "leaf_id", "line").join(shaped, "line_id").select(
@@ -122,21 +122,23 @@ def _recurring(docs: DataFrame) -> DataFrame:
     recurring = stage(placed.select("leaf_id", "template", "doc_id").distinct().groupBy(
         "leaf_id", "template").agg(F.count("*").alias("documents"),
                                    F.min("doc_id").alias("first_id")).where(
-        F.col("documents") >= MIN_DOCUMENTS).drop("documents"), "recurring")
+        F.col("documents") >= min_documents).drop("documents"), "recurring")
     return placed.join(recurring, ["leaf_id", "template"]).where(
         ~F.col("doc_id").eqNullSafe(F.col("first_id"))).select("doc_id", "text_key", "place")
 
 
-def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` without lines of recurring templates, then n_lines and n_dropped
-    (these two replace columns of the same name)."""
-    return _without(docs, _recurring(docs.select("doc_id", "text")))
+def drop_recurring_lines(docs: DataFrame, equal_lines: bool = True,
+                         min_documents: int = MIN_DOCUMENTS, min_words: int = MIN_WORDS,
+                         constant: float = CONSTANT) -> DataFrame:
+    """``docs`` with ``text`` without the lines that recur, then n_lines and n_dropped
+    (these two replace columns of the same name).
 
-
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The same, also without equal lines from the second document on."""
+    ``equal_lines`` False leaves lines in place that are equal in fewer than
+    ``min_documents`` documents.
+    """
     texts = docs.select("doc_id", "text")
-    return _without(docs, _equal(texts).unionByName(_recurring(texts)))
+    gone = _recurring(texts, min_documents, min_words, constant)
+    return _without(docs, _equal(texts).unionByName(gone) if equal_lines else gone)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -130,12 +130,12 @@ def test_templates_generalise_fields(spark, docs, none):
     name = [(100 + i, f"please write to mister {chr(97 + i) * 4} at the front desk here")
             for i in range(12)]
     rows = spark.createDataFrame(shared + name, "doc_id long, text string")
-    found = {r["doc_id"]: r for r in templates.drop_recurring_lines(rows).collect()}
+    found = {r["doc_id"]: r for r in templates.drop_recurring_lines(rows, equal_lines=False).collect()}
     assert [found[i]["n_dropped"] for i in range(12)] == [0] + [1] * 11
     assert found[3]["text"] == "ddddd stands in document ddd only"
     # a field that holds another word in each line is variable as well
     assert [found[100 + i]["n_dropped"] for i in range(12)] == [0] + [1] * 11
-    same = templates.drop_recurring_lines(docs)
+    same = templates.drop_recurring_lines(docs, equal_lines=False)
     assert same.columns == [*docs.columns, "n_lines", "n_dropped"]
     assert ids(same) == ids(docs) and not same.where("n_dropped > 0").count()
     assert templates.drop_recurring_lines(none).count() == 0
@@ -148,19 +148,19 @@ def test_equal_lines_recur_from_two_documents_on(spark, docs, none):
              4: f"own words here\n{long[1]}\n\n \nsecond 18", 5: f"{long[1]} \nMenu\nmenu",
              6: "again and again here\nagain and again here", 7: None}
     rows = spark.createDataFrame([*texts.items(), (None, long[1])], "doc_id long, text string")
-    found = {r["doc_id"]: r for r in templates.drop_repeated_lines(rows).collect()}
+    found = {r["doc_id"]: r for r in templates.drop_recurring_lines(rows).collect()}
     assert {i: r["n_dropped"] for i, r in found.items()} == {
         1: 0, 2: 1, 3: 0, 4: 1, 5: 2, 6: 0, 7: 0, None: 1}
     assert [found[i]["text"] for i in (2, 3, 5, None)] == ["second 17", long[1], "menu", ""]
     assert found[4]["text"] == "own words here\n\n \nsecond 18" and found[7]["text"] is None
     fields = spark.createDataFrame([(i, f"license number {i} of this fine place")
                                     for i in range(12)], "doc_id long, text string")
-    assert templates.drop_repeated_lines(fields.where("doc_id < 9")).agg(
+    assert templates.drop_recurring_lines(fields.where("doc_id < 9")).agg(
         F.sum("n_dropped")).first()[0] == 0
-    assert templates.drop_repeated_lines(fields).agg(F.sum("n_dropped")).first()[0] == 11
-    same = templates.drop_repeated_lines(docs)
+    assert templates.drop_recurring_lines(fields).agg(F.sum("n_dropped")).first()[0] == 11
+    same = templates.drop_recurring_lines(docs)
     assert same.columns == [*docs.columns, "n_lines", "n_dropped"] and ids(same) == ids(docs)
-    assert templates.drop_repeated_lines(none).count() == 0
+    assert templates.drop_recurring_lines(none).count() == 0
 
 
 # 4 cascade
