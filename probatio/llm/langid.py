@@ -1,6 +1,6 @@
 """Language identification with a bit-sliced Bloom filter of character n-grams.
 
-Each slot of the filter holds one bit per language.  An n-gram is hashed to three slots,
+Each slot of the filter holds one bit per language, in words of 64.  An n-gram is hashed to three slots,
 and the AND of the three masks gives all languages whose filter contains it.  A text's
 n-grams are counted per language by these masks; the share a language would reach by false
 positives alone, known from how full its slice is, is taken out; the language with the
@@ -32,7 +32,7 @@ SHARE = 1 / 3
 SIZES = (1, 2, 3, 4)
 SLOT_BITS = 22
 PROBES = 3
-LANGUAGES = 64  # bits of a slot
+WORD_BITS = 64  # languages of one mask word of a slot
 CHUNK = 1_000_000  # characters looked at together
 UNKNOWN = "und"
 COVERAGE = 0.5  # share of n-grams that a text's language must hold to be taken as that language
@@ -111,28 +111,39 @@ def _count_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Languages, the mask of each slot, and each language's rate of false positives."""
+    """Languages, the masks of each slot, and each language's rate of false positives.
 
-    def __init__(self, languages: list[str], slots: np.ndarray, masks: np.ndarray):
+    A slot has one mask word for every ``WORD_BITS`` languages.
+    """
+
+    def __init__(self, languages: list[str], slots: np.ndarray, words: np.ndarray,
+                 masks: np.ndarray):
         self.languages = languages
-        self.width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64)
-                          if len(languages) <= np.dtype(t).itemsize * 8)
-        self.filter = np.zeros(1 << SLOT_BITS, self.width)
-        self.filter[slots] = masks.astype(np.uint64).astype(self.width)
-        bits = [(self.filter >> self.width(k)) & self.width(1) for k in range(len(languages))]
-        self.chance = np.array([b.mean() for b in bits]) ** PROBES
+        self.filters, chances = [], []
+        for first in range(0, len(languages), WORD_BITS):
+            count = min(WORD_BITS, len(languages) - first)
+            width = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64)
+                         if count <= np.dtype(t).itemsize * 8)
+            mine = words == first // WORD_BITS
+            filled = np.zeros(1 << SLOT_BITS, width)
+            filled[slots[mine]] = masks[mine].astype(np.uint64).astype(width)
+            self.filters.append((filled, width, first, count))
+            chances += [((filled >> width(k)) & width(1)).mean() for k in range(count)]
+        self.chance = np.array(chances) ** PROBES
 
     def rates(self, texts: list[str | None]) -> np.ndarray:
         """[texts, languages] corrected shares of n-grams found."""
         hits = np.zeros((len(texts), len(self.languages)))
         total = np.zeros(len(texts))
         for grams, owner in ngrams(texts):
-            one, two, three = (self.filter[s] for s in _slots(grams))
-            mask = one & two & three
+            places = _slots(grams)
             total += np.bincount(owner, minlength=len(texts))
-            for k in range(len(self.languages)):
-                has = ((mask >> self.width(k)) & self.width(1)).astype(bool)
-                hits[:, k] += np.bincount(owner[has], minlength=len(texts))
+            for filled, width, first, count in self.filters:
+                one, two, three = (filled[s] for s in places)
+                mask = one & two & three
+                for k in range(count):
+                    has = ((mask >> width(k)) & width(1)).astype(bool)
+                    hits[:, first + k] += np.bincount(owner[has], minlength=len(texts))
         found = hits / np.maximum(total, 1)[:, None]
         return np.clip((found - self.chance) / (1 - self.chance), 0, 1)
 
@@ -157,6 +168,7 @@ def training_sample(labelled: DataFrame, per_language: int = SAMPLE) -> DataFram
     Only documents in the first part of the pseudo-random order, twice the sample on
     average, are ranked, so a language with a third of all rows is no large window.
     """
+    labelled = labelled.select("doc_id", "text", "lang")
     ids = labelled.where("lang is not null").select("doc_id", "lang", order_key().alias("k"))
     sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
     part = F.conv(F.substring("k", 1, 8), 16, 10).cast("double") / 2**32
@@ -165,7 +177,7 @@ def training_sample(labelled: DataFrame, per_language: int = SAMPLE) -> DataFram
     place = F.row_number().over(Window.partitionBy("lang").orderBy("k", "doc_id"))
     chosen = early.withColumn("place", place).where(F.col("place") <= per_language).select(
         F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
-    # at most per_language x LANGUAGES ids; more languages are refused by fit()
+    # at most per_language ids for each language
     return labelled.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id"))
                          & (F.col("lang") == F.col("chosen_lang"))).select("text", "lang")
 
@@ -173,9 +185,7 @@ def training_sample(labelled: DataFrame, per_language: int = SAMPLE) -> DataFram
 def fit(labelled: DataFrame) -> Model:
     """Learn from ``labelled`` (doc_id, text, lang)."""
     names = [r["lang"] for r in labelled.where("lang is not null").select("lang").distinct()
-             .orderBy("lang").limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+             .orderBy("lang").collect()]  # one row per language
     sample = stage(training_sample(labelled), "language-sample")
     documents = sample.groupBy("lang").agg(F.count("*").alias("documents"))
     counts = sample.mapInPandas(_count_documents, "gram long, lang string, n long").groupBy(
@@ -183,33 +193,41 @@ def fit(labelled: DataFrame) -> Model:
     bit = F.create_map(*(x for k, name in enumerate(names)
                          for x in (F.lit(name), F.lit(k)))) if names else None
     if not names:
-        return Model([], np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return Model([], *(np.zeros(0, np.int64),) * 3)
     rated = counts.join(F.broadcast(documents), "lang").select(  # one row per language
         "gram", F.element_at(bit, F.col("lang")).alias("bit"),
         (F.col("n") / F.col("documents")).alias("rate"))
     kept = rated.groupBy("gram").agg(
         F.max("rate").alias("top"), F.collect_list(F.struct("bit", "rate")).alias("each"))
-    mask = F.aggregate("each", F.lit(0).cast("long"), lambda m, e: F.when(
-        e["rate"] >= F.col("top") * SHARE,
-        m.bitwiseOR(_shift(e["bit"]))).otherwise(m))
-    masks = kept.select("gram", mask.alias("mask"))
-    slots = masks.mapInPandas(_to_slots, "slot long, mask long").groupBy("slot").agg(
-        F.bit_or("mask").alias("mask"))
-    found = slots.toPandas()  # at most one row per slot of the filter
-    return Model(names, found["slot"].to_numpy(np.int64), found["mask"].to_numpy(np.int64))
+    words = -(-len(names) // WORD_BITS)
+
+    def mask(word: int) -> Column:
+        mine = F.filter("each", lambda e: (F.floor(e["bit"] / WORD_BITS) == word)
+                        & (e["rate"] >= F.col("top") * SHARE))
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda m, e: m.bitwiseOR(
+            _shift((e["bit"] % WORD_BITS).cast("int"))))
+
+    masks = kept.select("gram", F.array(*map(mask, range(words))).alias("masks"))
+    slots = masks.mapInPandas(_to_slots, "slot long, word int, mask long").groupBy(
+        "slot", "word").agg(F.bit_or("mask").alias("mask"))
+    found = slots.toPandas()  # at most one row per slot and mask word of the filter
+    return Model(names, *(found[c].to_numpy(np.int64) for c in ("slot", "word", "mask")))
 
 
 def _shift(bit: Column) -> Column:
     """2 to the power of ``bit``, from a table since the shift built-in takes a literal."""
     return F.element_at(F.array(*(F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long")
-                                  for k in range(LANGUAGES))), bit + 1)
+                                  for k in range(WORD_BITS))), bit + 1)
 
 
 def _to_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         grams = batch["gram"].to_numpy(np.int64).view(U64)
         slots = np.concatenate(_slots(grams)) if len(grams) else np.zeros(0, np.int64)
-        yield pd.DataFrame({"slot": slots, "mask": np.tile(batch["mask"].to_numpy(), PROBES)})
+        masks = np.stack(batch["masks"]) if len(grams) else np.zeros((0, 0), np.int64)
+        for word in range(masks.shape[1]):
+            mine = np.tile(masks[:, word], PROBES)
+            yield pd.DataFrame({"slot": slots, "word": word, "mask": mine})[mine != 0]
 
 
 def predictor(spark: SparkSession, model: Model):
@@ -223,17 +241,31 @@ def predictor(spark: SparkSession, model: Model):
     return predict
 
 
+def _identified(docs: DataFrame, model: Model) -> DataFrame:
+    return docs.withColumn(fresh(docs, "found")[0], predictor(docs.sparkSession, model)(
+        F.col("text")))
+
+
 def identify(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """``docs`` with a last column ``found``: lang_pred, score (share of the winner in all
-    corrected counts) and coverage (share of n-grams that the winner's filter holds)."""
-    predict = predictor(docs.sparkSession, fit(labelled))
-    return docs.withColumn(fresh(docs, "found")[0], predict(F.col("text")))
+    corrected counts) and coverage (share of n-grams that the winner's filter holds).
+
+    Repeated rows get the same answer.  Without a labelled row every text is ``und``.
+    """
+    return _identified(docs, fit(labelled))
 
 
 def understood(docs: DataFrame, labelled: DataFrame, least: float = COVERAGE) -> DataFrame:
-    """``docs`` without texts that have no letter or fit no learnt language."""
-    found = identify(docs, labelled)
+    """``docs`` without texts that have no letter or fit no learnt language.
+
+    Without a labelled row no language is known that a text could fail to fit: every text
+    with a letter stays.
+    """
+    model = fit(labelled)
+    found = _identified(docs, model)
     name = found.columns[-1]
+    if not model.languages:
+        return found.where(F.col("text").rlike(r"\p{L}")).drop(name)
     return found.where((F.col(name)["lang_pred"] != UNKNOWN)
                        & (F.col(name)["coverage"] >= least)).drop(name)
 

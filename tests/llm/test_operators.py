@@ -120,6 +120,49 @@ def test_ngrams_do_not_depend_on_chunks(monkeypatch):
     assert whole == Counter((g, o) for gs, os in langid.ngrams(texts) for g, o in zip(gs, os))
 
 
+def test_masks_counts_and_correction_against_plain_sets(spark, docs):
+    """All three steps again with Python sets, over 70 languages and clashing columns."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(n * 100 + i, " ".join(
+        letters[(n + i * k) % 26] + letters[n % 26] + letters[n // 26] + letters[k]
+        for k in range(1, 12)), f"l{n:02}") for n in range(70) for i in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").select(
+        "*", *(F.lit("x").alias(c) for c in ("chosen_id", "chosen_lang", "found", "bit", "k")))
+    grams = {}
+    for doc_id, text, _ in rows:
+        grams[doc_id] = [int(g) for found, _ in langid.ngrams([text]) for g in found]
+    documents = Counter(lang for *_, lang in rows)
+    rate = defaultdict(lambda: defaultdict(float))
+    for doc_id, _, lang in rows:
+        for g in set(grams[doc_id]):
+            rate[g][lang] += 1 / documents[lang]
+    names = sorted(documents)
+    filters = {n: np.zeros(1 << langid.SLOT_BITS, bool) for n in names}
+    for g, each in rate.items():
+        places = [int(s[0]) for s in langid._slots(np.array([g], np.uint64))]
+        for lang, r in each.items():
+            if r >= max(each.values()) * langid.SHARE:
+                filters[lang][places] = True
+    found = {r["doc_id"]: r["found2"] for r in langid.identify(frame.withColumnRenamed(
+        "found", "found_"), frame).withColumnRenamed("found", "found2").collect()}
+    for doc_id, _, _ in rows:
+        places = np.stack(langid._slots(np.array(grams[doc_id], np.uint64)))
+        rates = []
+        for n in names:
+            chance = filters[n].mean() ** langid.PROBES
+            share = filters[n][places].all(axis=0).mean()
+            rates.append(min(1, max(0, (share - chance) / (1 - chance))))
+        assert found[doc_id]["lang_pred"] == names[int(np.argmax(rates))]
+        assert found[doc_id]["coverage"] == pytest.approx(max(rates))
+        assert found[doc_id]["score"] == pytest.approx(max(rates) / sum(rates))
+    kept = langid.understood(frame, frame)
+    assert kept.columns == frame.columns and kept.count() == len(rows)
+    # without a label there is no language to fail
+    named = langid.understood(docs, docs.limit(0))
+    assert {r["doc_id"] for r in named.collect()} == {
+        i for i, t, *_ in h.AWKWARD if any(c.isalpha() for c in t or "")}
+
+
 # 3 templates
 
 
