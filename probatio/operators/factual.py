@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from probatio import fixed_values as fv
 from probatio.functions import text
 from probatio.operators import classify
 from probatio.profiles import Profile
+from probatio.session import cut_lineage
 
 SENTENCE = ["draft_id", "package_id", "sentence_ord"]
 
@@ -84,73 +83,80 @@ def match_ledger(sentences: DataFrame, claims: DataFrame) -> DataFrame:
     )
 
 
-def _findings(rows: DataFrame, code: str, message: Column, detail: Column) -> DataFrame:
-    return rows.select(
-        "draft_id", F.lit(code).alias("code"), message.alias("message"),
-        F.lit(True).alias("blocking"),
-        detail.alias("detail"))
+def _finding(test: Column, code: str, message: Column, detail: Column) -> Column:
+    return F.when(test, F.struct(
+        F.lit(code).alias("code"), message.alias("message"), F.lit(True).alias("blocking"),
+        detail.alias("detail")))
+
+
+def _listed(rows: DataFrame, *findings: Column) -> DataFrame:
+    return rows.select("draft_id", F.inline(F.array_compact(F.array(*findings))))
 
 
 def ledger_review(drafts: DataFrame, claims: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings and verdict of each draft against its package's evaluated claims.
 
     ``claims``: package_id, claim_id, claim, category, risk, evidence_status, reason.
+
+    Sentences, claims and their pairs are written once.  One aggregate per draft over its
+    sentences and one over the claims it asserts hold all that findings and verdict need.
     """
-    sentences = draft_sentences(drafts)
-    pairs = match_ledger(sentences, claims.select("package_id", "claim_id", "claim"))
-    supported = claims.where("evidence_status = 'SUPPORTED'")
+    sentences = cut_lineage(draft_sentences(drafts))
+    ledger = cut_lineage(claims.select("package_id", "claim_id", "claim", "category", "risk",
+                                       "evidence_status", "reason"))
+    pairs = cut_lineage(match_ledger(
+        sentences, ledger.select("package_id", "claim_id", "claim")).join(
+        ledger.select("package_id", "claim_id", "evidence_status"), ["package_id", "claim_id"]))
+    backed = pairs.where("evidence_status = 'SUPPORTED'").select(*SENTENCE).distinct()
+    lone = F.when(F.col("_backed").isNull(), F.struct("sentence_ord", "sentence"))
+    said = sentences.join(backed.withColumn("_backed", F.lit(True)), SENTENCE, "left").groupBy(
+        "draft_id", "package_id").agg(
+        F.count("*").alias("sentences"), F.count(lone).alias("unmatched"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(lone)), lambda x: x["sentence"]),
+                     " | ").alias("shown"))
+    carried = ledger.where("evidence_status = 'SUPPORTED'").select("package_id").distinct()
+    per_draft = said.join(carried.withColumn("_carried", F.lit(True)), "package_id", "left")
     asserted = pairs.select("draft_id", "package_id", "claim_id").distinct().join(
-        claims, ["package_id", "claim_id"])
-    why = F.col("reason")
-    high = _findings(
-        asserted.where((F.col("risk") == "HIGH")
-                       & (F.col("evidence_status") != "SUPPORTED")),
-        "HIGH_RISK_CLAIM_ASSERTED", F.concat(
+        ledger, ["package_id", "claim_id"])
+
+    unproven = (F.col("risk") == "HIGH") & (F.col("evidence_status") != "SUPPORTED")
+    clashing = F.col("evidence_status") == "CONFLICTING"
+    lost, bare = F.col("unmatched") > 0, F.col("_carried").isNull()
+    findings = _listed(
+        asserted,
+        _finding(unproven, "HIGH_RISK_CLAIM_ASSERTED", F.concat(
             F.lit("The draft asserts a HIGH-risk "), "category",
             F.lit(" claim that the evidence set could not establish ("),
-            "evidence_status", F.lit("): "), why), F.col("claim"))
-    clash = _findings(
-        asserted.where("evidence_status = 'CONFLICTING'"),
-        "CONFLICTING_EVIDENCE_ASSERTED", F.concat(
-            F.lit("The draft asserts a claim whose evidence conflicts: "), why),
-        F.col("claim"))
-    backed = pairs.join(supported.select("package_id", "claim_id"),
-                        ["package_id", "claim_id"], "left_semi").select(
-                            *SENTENCE).distinct()
-    unmatched = sentences.join(backed, SENTENCE, "left_anti")
-    n_lost = unmatched.groupBy("draft_id").agg(
-        F.count("*").alias("unmatched"),
-        F.concat_ws(" | ", F.transform(F.array_sort(F.collect_list(F.struct(
-            "sentence_ord", "sentence"))), lambda x: x["sentence"])).alias("_shown"))
-    lost = _findings(n_lost, "UNSUPPORTED_DRAFT_CLAIM", F.concat(
-        F.col("unmatched").cast("string"), F.lit(
-            " factual sentence(s) in the draft do not correspond to any SUPPORTED "
-            "claim in the evidence ledger.")), F.col("_shown"))
-    totals = sentences.groupBy("draft_id", "package_id").agg(
-        F.count("*").alias("sentences"))
-    bare = _findings(
-        totals.join(supported.select("package_id").distinct(), "package_id", "left_anti"),
-        "NO_SUPPORTED_CLAIMS", F.concat(
+            "evidence_status", F.lit("): "), "reason"), F.col("claim")),
+        _finding(clashing, "CONFLICTING_EVIDENCE_ASSERTED", F.concat(
+            F.lit("The draft asserts a claim whose evidence conflicts: "), "reason"),
+            F.col("claim")),
+    ).unionByName(_listed(
+        per_draft,
+        _finding(lost, "UNSUPPORTED_DRAFT_CLAIM", F.concat(
+            F.col("unmatched").cast("string"), F.lit(
+                " factual sentence(s) in the draft do not correspond to any SUPPORTED "
+                "claim in the evidence ledger.")), F.col("shown")),
+        _finding(bare, "NO_SUPPORTED_CLAIMS", F.concat(
             F.lit("The draft makes "), F.col("sentences").cast("string"), F.lit(
                 " factual claim(s) but the package carries no SUPPORTED claim at all.")),
-        F.lit(""))
-    has_body = drafts.where(F.coalesce("body", F.lit("")).rlike(r"\S")).select("draft_id")
-    findings = reduce(lambda a, b: a.unionByName(b), (high, clash, lost, bare))
-    blocked = findings.groupBy("draft_id").agg(F.count("*").alias("blocking_issues"))
+            F.lit(""))))
+
+    claimed = asserted.groupBy("draft_id").agg(
+        (F.count_if(unproven) + F.count_if(clashing)).alias("claim_issues"))
     n, missing = F.coalesce("sentences", F.lit(0)), F.coalesce("unmatched", F.lit(0))
+    has_body = F.coalesce("body", F.lit("")).rlike(r"\S")
+    blocking = (F.coalesce("claim_issues", F.lit(0)) + F.coalesce(lost, F.lit(False)).cast("int")
+                + ((n > 0) & bare).cast("int"))
     result = (
-        drafts.select("draft_id")
-        .join(totals.select("draft_id", "sentences"), "draft_id", "left")
-        .join(n_lost.select("draft_id", "unmatched"), "draft_id", "left")
-        .join(blocked, "draft_id", "left")
-        .join(has_body.withColumn("_body", F.lit(True)), "draft_id", "left")
+        drafts.select("draft_id", has_body.alias("_body"))
+        .join(per_draft, "draft_id", "left").join(claimed, "draft_id", "left")
         .select(
             "draft_id", n.alias("sentences"), (n - missing).alias("matched"),
-            F.when(F.col("_body").isNull(), 0).when(n == 0, 100)
+            F.when(~F.col("_body"), 0).when(n == 0, 100)
             .otherwise(F.bround(100 * (n - missing) / n, 0).cast("int")).alias("score"),
-            F.coalesce("blocking_issues", F.lit(0)).alias("blocking_issues"),
-            F.when(F.col("blocking_issues") > 0, "FAILED").otherwise("PASSED")
-            .alias("status"))
+            blocking.alias("blocking_issues"),
+            F.when(blocking > 0, "FAILED").otherwise("PASSED").alias("status"))
     )
     return findings, result
 

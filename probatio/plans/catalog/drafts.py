@@ -406,14 +406,18 @@ SELECT package_id, count(*) AS total,
 FROM ledger GROUP BY 1"""
 
 
-def bound_sentences(spark, sf):
-    """First factual model over the same drafts, facts ranked by source quality."""
-    facts = _ledger(spark, sf).select(
+def _ranked_facts(spark, sf):
+    return _ledger(spark, sf).select(
         "package_id", F.split("claim_id", "-")[1].cast("int").alias("fact_ord"),
         F.col("claim").alias("fact"), F.col("claim_id").alias("source_ref"),
         F.when(F.col("risk") == "HIGH", "OFFICIAL").otherwise("COMMERCIAL")
         .alias("source_quality"))
-    return factual.bind_sentences(_drafts(spark, sf), facts, PROFILE).select(
+
+
+def bound_sentences(spark, sf):
+    """First factual model over the same drafts, facts ranked by source quality."""
+    return factual.bind_sentences(
+        _drafts(spark, sf), _ranked_facts(spark, sf), PROFILE).select(
         "draft_id", "sentence_ord", "claim_risk", "support_status", "evidence_ref",
         "source_quality", "blocking")
 
@@ -447,6 +451,29 @@ SELECT draft_id, sentence_ord, claim_risk, support_status, evidence_ref,
 FROM ruled"""
 
 
+def first_model_verdicts(spark, sf):
+    """Score and status of every draft under the first factual model."""
+    drafts, facts = _drafts(spark, sf), _ranked_facts(spark, sf)
+    return factual.first_version_verdict(
+        drafts, factual.bind_sentences(drafts, facts, PROFILE), facts)
+
+
+FIRST_MODEL_VERDICTS = f"""
+WITH bound AS ({BOUND_SENTENCES}),
+per AS (
+  SELECT draft_id, count(*) AS n, count(*) FILTER (support_status = 'SUPPORTED') AS s,
+         count(*) FILTER (blocking) AS b FROM bound GROUP BY 1),
+have AS (SELECT DISTINCT package_id FROM ({CLAIM_LEDGER})),
+rows_ AS (
+  SELECT d.draft_id, coalesce(n, 0) AS claims, coalesce(s, 0) AS s,
+    coalesce(b, 0) + CASE WHEN h.package_id IS NULL AND n > 0 THEN 1 ELSE 0 END AS blocking_issues
+  FROM ({o.with_(DRAFTS, FACTS, _SENTENCES)} SELECT draft_id, package_id FROM normal) d LEFT JOIN per USING (draft_id) LEFT JOIN have h USING (package_id))
+SELECT draft_id, claims, CASE WHEN claims = 0 THEN 100
+    ELSE CAST(round_even(100 * s / claims, 0) AS INTEGER) END AS score, blocking_issues,
+  CASE WHEN blocking_issues > 0 THEN 'FAILED' ELSE 'PASSED' END AS status
+FROM rows_"""
+
+
 # ----------------------------------------------------------------- sections --
 def page_sections(spark, sf):
     return sections.sections(_drafts(spark, sf)).select(
@@ -494,5 +521,6 @@ QUERIES = {
     "ledger_findings": (ledger_findings, LEDGER_FINDINGS),
     "claim_ledger": (claim_ledger, CLAIM_LEDGER),
     "bound_sentences": (bound_sentences, BOUND_SENTENCES),
+    "first_model_verdicts": (first_model_verdicts, FIRST_MODEL_VERDICTS),
     "page_sections": (page_sections, PAGE_SECTIONS),
 }

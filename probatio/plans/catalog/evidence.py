@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import numerics
 from probatio.operators import (brief, classify, evidence, package,
-                                passages, prices, research)
+                                passages, prices, publication, research)
 from probatio.plans import evidence_run, inputs, oracle as o
 from probatio.plans.catalog.claims import (CLAIMS, DEDUPED, PASSAGES, POLICY, PRICE_CONTEXTS,
                                            PRICE_TEXTS, _sql_category, price_texts)
@@ -904,6 +904,23 @@ FROM (SELECT *, query = 'tion ingeres' AND intent = 'COMMERCIAL' AS asked FROM s
 LEFT JOIN top t USING (package_id) LEFT JOIN ranges r USING (package_id)"""
 
 
+def public_price_answers(spark, sf):
+    """Price answers as the public page gets them: no addresses, no claim internals."""
+    return _core(spark, sf).where("answers is not null").select(
+        "package_id", F.inline(publication.public_answers(F.col("answers")))).select(
+        "package_id", "claim", "category", "qualification", "currency", "basis", "vat_status",
+        "battery_included", "installation_included", "is_range")
+
+
+PUBLIC_PRICE_ANSWERS = PRICED + """
+SELECT package_id, text AS claim, category, CASE WHEN category = 'MARKET_AVERAGE'
+    THEN 'an average this source reports' ELSE 'a figure this source reports' END AS qualification,
+  'EUR' AS currency, basis, vat_status, battery_included, installation_included,
+  len(amounts) > 1 AS is_range
+FROM answers JOIN suppliers USING (package_id)
+WHERE query = 'tion ingeres' AND intent = 'COMMERCIAL'"""
+
+
 def conflict_kinds(spark, sf):
     """Consecutive price sentences of an order, classified as disagreements."""
     rows = price_texts(spark, sf).withColumn("region", F.get(
@@ -1070,6 +1087,7 @@ QUERIES = {
     "observed_ranges": (observed_ranges, OBSERVED_RANGES),
     "price_gap": (price_gap, PRICE_GAP),
     "core_question": (core_question, CORE_QUESTION),
+    "public_price_answers": (public_price_answers, PUBLIC_PRICE_ANSWERS),
     "conflict_kinds": (conflict_kinds, CONFLICT_KINDS),
     "conflict_summary": (conflict_summary, CONFLICT_SUMMARY),
     "brief_facts": (brief_facts, BRIEF_FACTS),

@@ -362,7 +362,39 @@ FROM (SELECT [{o.listed(fv.CLAIM_CATEGORIES)}][p_partkey % 16 + 1] AS c,
 GROUP BY 1, 2"""
 
 
+def ingested_metrics(spark, sf):
+    """Metrics read from provider JSON: a response per part, every ninth one refused."""
+    p, key = inputs.table(spark, sf, "part"), F.col("p_partkey")
+
+    def entry(keyword):
+        return F.struct(
+            keyword.alias("keyword"), F.when(F.col("p_size") > 10, F.col("p_size") * 10)
+            .alias("search_volume"), F.round("p_retailprice", 2).alias("cpc"),
+            F.when(key % 3 > 0, F.col("p_size")).alias("competition_index"),
+            F.when(key % 4 > 0, F.lower("p_type")).otherwise(" ").alias("competition"))
+
+    payload = F.to_json(F.struct(
+        F.when(key % 9 == 0, 40000).otherwise(20000).alias("status_code"),
+        F.array(F.struct(F.array(
+            entry(F.concat_ws(" ", F.lit(" "), "p_name", key.cast("string"))),
+            entry(F.lit("  "))).alias("result"))).alias("tasks")))
+    return serp.ingest_metrics(p.select(key.alias("batch_id"), payload.alias("payload"))).select(
+        "keyword", "metric_ord", "metric_type", "value", "value_text", "currency")
+
+
+INGESTED_METRICS = """
+WITH good AS (SELECT *, p_name || ' ' || p_partkey AS keyword FROM part WHERE p_partkey % 9 <> 0)
+SELECT keyword, 0 AS metric_ord, 'search_volume' AS metric_type, CAST(p_size * 10 AS DOUBLE) AS value,
+       NULL AS value_text, NULL AS currency FROM good WHERE p_size > 10
+UNION ALL SELECT keyword, 1, 'cpc', round(p_retailprice, 2), NULL, 'USD' FROM good
+UNION ALL SELECT keyword, 2, 'competition_index', CAST(p_size AS DOUBLE), NULL, NULL FROM good
+  WHERE p_partkey % 3 > 0
+UNION ALL SELECT keyword, 3, 'competition', NULL, lower(p_type), NULL FROM good
+  WHERE p_partkey % 4 > 0"""
+
+
 QUERIES = {
+    "ingested_metrics": (ingested_metrics, INGESTED_METRICS),
     "serp_snapshots": (serp_snapshots, SERP_SNAPSHOTS),
     "serp_quarantine": (serp_quarantine, SERP_QUARANTINE),
     "serp_results": (serp_results, SERP_RESULTS),

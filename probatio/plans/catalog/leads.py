@@ -517,6 +517,18 @@ def publication_gate(spark, sf):
         F.array_join("reasons", "; ").alias("reasons"))
 
 
+def draft_previews(spark, sf):
+    """Every document as a draft for review, with what its gate still asks for."""
+    drafts = inputs.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("draft_id"), F.concat(F.lit("Titre É "), "source").alias("title"),
+        F.when(F.col("lang") == "fr", F.concat(F.lit("Page Ü/"), F.col("doc_id").cast("string")))
+        .alias("recommended_slug"), F.concat(F.lit("--"), F.coalesce("lang", F.lit("")))
+        .alias("primary_query"))
+    return publication.draft_preview(drafts, publication_gate(spark, sf), SITE).select(
+        "draft_id", "locale", "slug", "title", "canonical_path", "canonical_url", "noindex",
+        "version", "state", "gate_passed", "gate_reasons")
+
+
 PUBLICATION_GATE = """
 WITH reviews AS (
   SELECT user_id AS draft_id, CASE WHEN event_id % 5 < 2 THEN 'FACTUAL'
@@ -659,7 +671,18 @@ SELECT k AS site_id, unnest(list_filter([
 FROM s"""
 
 
+DRAFT_PREVIEWS = f"""
+WITH slugged AS (
+  SELECT doc_id, 'Titre É ' || source AS title, CASE WHEN lang = 'fr' THEN 'page-u-' || doc_id
+    WHEN coalesce(lang, '') = '' THEN 'page' ELSE lang END AS slug FROM documents)
+SELECT draft_id, 'fr' AS locale, slug, title, '/' || slug AS canonical_path,
+  'https://probe.example.com/' || slug AS canonical_url, true AS noindex, 0 AS version,
+  'DRAFT_PREVIEW' AS state, passed AS gate_passed, reasons AS gate_reasons
+FROM ({PUBLICATION_GATE}) JOIN slugged ON doc_id = draft_id"""
+
+
 QUERIES = {
+    "draft_previews": (draft_previews, DRAFT_PREVIEWS),
     "attribution_counts": (attribution_counts, ATTRIBUTION_COUNTS),
     "lead_listing": (lead_listing, LEAD_LISTING),
     "export_queue": (export_queue, EXPORT_QUEUE),
