@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import text
 from probatio.profiles import Profile
+from probatio.session import cut_lineage
 
 RESTRICTED_WINDOW = 120
 
@@ -223,7 +224,7 @@ def duplicate_title_findings(prepared: DataFrame, existing: DataFrame) -> DataFr
 def deterministic_findings(drafts: DataFrame, facts: DataFrame, cautions: DataFrame,
                            numbers: DataFrame, existing: DataFrame,
                            profile: Profile) -> DataFrame:
-    prepared = prepare(drafts)
+    prepared = cut_lineage(prepare(drafts))  # normalised once for all five groups of rules
     return reduce(lambda a, b: a.unionByName(b), (
         structure_findings(prepared, profile),
         number_findings(prepared, numbers),
