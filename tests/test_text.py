@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from probatio.functions import contacts, keys, numerics, text
 from probatio.functions.rounding import round_tenth
+from probatio.operators import passages
 
 
 def column(spark, values, expression):
@@ -85,3 +86,14 @@ def test_sentences_split_before_capitals(spark):
     samples = ["".join(rng.choices("aB. !?é1É\n", k=60)) for _ in range(200)]
     expected = [re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-ÿ0-9])", s) for s in samples]
     assert column(spark, samples, text.split_sentences) == expected
+
+
+def test_claims_keep_the_digits_they_begin_with(spark):
+    kept = spark.createDataFrame([(
+        "Les panneaux neufs coûtent cher en hiver. 148 foyers sur la côte est reçoivent une aide. "
+        "2024 est une année sans aucune aide publique; 3 kWc coûtent 100 €, 5 kWc coûtent 200 €; "
+        "les onduleurs durent 10 ans au moins selon eux.",)], "passage string")
+    said = [r.claim for r in passages.claims(kept).orderBy("claim_ord").collect()]
+    assert said[1:3] == ["148 foyers sur la côte est reçoivent une aide.",
+                         "2024 est une année sans aucune aide publique"]
+    assert said[3].startswith("3 kWc coûtent")
