@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conftest import SF
-from probatio.operators import evidence, matching, research
+from probatio.operators import classify, evidence, matching, research
 from probatio.plans.catalog import offers
 from probatio.functions import prices
 from probatio.plans.probe import PROFILE
@@ -143,3 +143,15 @@ def test_prices_are_shown_as_readers_write_them(spark):
     sizes = spark.createDataFrame([([5.0],), ([3.5, 10.0],), ([],), (None,)], "s array<double>")
     assert [r[0] for r in sizes.select(prices.shown_size(F.col("s"))).collect()] == [
         "5 kWc", "3.5–10 kWc", None, None]
+
+
+def test_an_amount_of_money_is_no_year(spark):
+    rows = spark.createDataFrame([
+        ("Comptez 2098 € en 2001.", "Comptez 2098 € en 2003."),
+        ("Prix de $2050 en 2001.", "Prix de 2050 euros en 2001."),
+        ("Prix 10 € en 2001.", "Prix 11 € en 2001.")], "a string, b string")
+    kinds = [r[0] for r in rows.select(classify.conflict_kind(
+        F.col("a"), F.col("b"), F.lit("UNKNOWN"), F.lit("UNKNOWN"), PROFILE)).collect()]
+    assert kinds == ["TIME_DIFFERENCE", "TRUE_CONFLICT", "TRUE_CONFLICT"]
+    read = rows.select(classify.years(F.col("a")), classify.years(F.col("b"))).collect()
+    assert [tuple(r) for r in read] == [([2001], [2003]), ([2001], [2001]), ([2001], [2001])]
