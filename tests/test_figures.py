@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conftest import SF
-from probatio.operators import classify, evidence, matching, research
+from probatio.operators import classify, evidence, matching, package, research
 from probatio.plans.catalog import offers
 from probatio.functions import prices
 from probatio.plans.probe import PROFILE
@@ -155,3 +155,12 @@ def test_an_amount_of_money_is_no_year(spark):
     assert kinds == ["TIME_DIFFERENCE", "TRUE_CONFLICT", "TRUE_CONFLICT"]
     read = rows.select(classify.years(F.col("a")), classify.years(F.col("b"))).collect()
     assert [tuple(r) for r in read] == [([2001], [2003]), ([2001], [2001]), ([2001], [2001])]
+
+
+def test_mean_relevance_does_not_depend_on_the_order_of_rows(spark):
+    scores = [0.1, 0.7, 0.2, 0.3, 0.6, 0.100001, 0.3, 0.400001] * 5
+    means = set()
+    for values in (scores, scores[::-1], sorted(scores)):
+        rows = spark.createDataFrame([(0, v) for v in values], "package_id int, s double")
+        means.add(rows.coalesce(1).groupBy("package_id").agg(package._mean("s").alias("m")).first().m)
+    assert means == {0.33750025}
