@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from conftest import SF
+from probatio import fixed_values as fv
 from probatio.operators import classify, evidence, matching, package, research
 from probatio.plans.catalog import offers
-from probatio.functions import prices
+from probatio.functions import prices, text
 from probatio.plans.probe import PROFILE
 from probatio.sources import sinks
 
@@ -164,3 +165,47 @@ def test_mean_relevance_does_not_depend_on_the_order_of_rows(spark):
         rows = spark.createDataFrame([(0, v) for v in values], "package_id int, s double")
         means.add(rows.coalesce(1).groupBy("package_id").agg(package._mean("s").alias("m")).first().m)
     assert means == {0.33750025}
+
+
+def test_small_packages_are_compared_whole(spark, monkeypatch):
+    """Offers have few pairs a package, so no key is looked up; what counts stays the same."""
+    run = offers._run(spark, SF)
+    matters = "supports or agrees is not null"
+
+    def rows():
+        found = matching.match(run.claims, run.passages, PROFILE).where(matters)
+        return sorted(map(str, found.collect()))
+
+    monkeypatch.setattr(matching, "SMALL_PACKAGE", 0)
+    indexed = rows()
+    monkeypatch.setattr(matching, "SMALL_PACKAGE", 100)  # some packages are above
+    mixed = rows()
+    monkeypatch.undo()
+    monkeypatch.setattr(matching, "candidates", None)
+    assert indexed and rows() == indexed == mixed
+
+
+def test_sources_are_read_once_for_dimensions_and_passages(spark):
+    """The region of a passage comes along with it; no join moves the text."""
+    run = offers._run(spark, SF)
+    assert run._described.columns[-1] == "body" and "body" not in run.sources.columns
+    homes = {(r.package_id, r.source_ref): r.region for r in run.sources.collect()}
+    assert {homes[r.package_id, r.source_ref] == r.region for r in run.passages.collect()} == {True}
+
+
+def test_searched_pieces_lose_no_date_and_no_outcome(spark):
+    said = [("mise à jour le 12/03/2024", "updated"), ("LAST UPDATED: 2024-01-02", "updated"),
+            ("laatst bijgewerkt 1.2.2023", "updated"), ("à partir du 01/02/2024", "since"),
+            ("Depuis le 3 mars 2024", "since"), ("effective from 2024-01-01", "since"),
+            ("vanaf 01-02-2024", "since"), ("jusqu'au 31/12/2023", "until"),
+            ("valable jusqu'à 1 mai 2023", "until"), ("until 2023-01-01", "until"),
+            ("tot en met 01/02/2023", "until"), ("en vigueur à partir du 1/2/2024", "since")]
+    rows = text.once(spark.createDataFrame(said, "body string, kind string").withColumn(
+        "published_at", F.lit(None).cast("timestamp")), n=text.normalise(F.col("body")))
+    patterns = {"updated": (fv.UPDATED_PATTERN, fv.UPDATED_PIECES),
+                "since": (fv.EFFECTIVE_FROM_PATTERN, fv.EFFECTIVE_FROM_PIECES),
+                "until": (fv.EFFECTIVE_UNTIL_PATTERN, fv.EFFECTIVE_UNTIL_PIECES)}
+    for kind, (pattern, pieces) in patterns.items():
+        hits = rows.where(F.col("body").rlike(pattern))
+        assert hits.where(F.col("kind") == kind).count() == sum(k == kind for _, k in said)
+        assert hits.where(~classify._holds(F.col("n"), pieces)).count() == 0
