@@ -8,6 +8,7 @@ from conftest import SF
 from probatio import fixed_values as fv
 from probatio.operators import classify, evidence, matching, package, research
 from probatio.plans.catalog import offers
+from probatio.plans.evidence_run import EvidenceRun
 from probatio.functions import prices, text
 from probatio.plans.probe import PROFILE
 from probatio.sources import sinks
@@ -209,3 +210,41 @@ def test_searched_pieces_lose_no_date_and_no_outcome(spark):
         hits = rows.where(F.col("body").rlike(pattern))
         assert hits.where(F.col("kind") == kind).count() == sum(k == kind for _, k in said)
         assert hits.where(~classify._holds(F.col("n"), pieces)).count() == 0
+
+
+def test_equal_texts_are_read_once(spark, monkeypatch):
+    """As many texts are read as there are different ones; every row is as if read alone."""
+    lines = offers.offers(spark, SF).limit(40).localCheckpoint()
+    copies = lines.unionByName(lines.withColumns({
+        "source_ref": F.concat("source_ref", F.lit("-again")), "url": F.lit(None).cast("string")}))
+    copies = copies.unionByName(lines.limit(1).withColumns({
+        "source_ref": F.lit("none"), "body": F.lit(None).cast("string")})).localCheckpoint()
+    claims, read = offers.part_claims(spark, SF), []
+    concepts = matching.concepts
+
+    def counted(texts, *args, **kwargs):
+        read.append(texts.count())
+        return concepts(texts, *args, **kwargs)
+
+    monkeypatch.setattr(matching, "concepts", counted)
+
+    def rows(equal_texts):
+        run = EvidenceRun(copies, claims, offers._MARKET, PROFILE, 2024, equal_texts)
+        parts = [run.sources, run.passages.drop("marked", "figures", "kinds"), run.references]
+        return [sorted(map(str, r.select(*sorted(r.columns)).collect())) for r in parts]
+
+    alone, together = rows(False), rows(True)
+    assert all(alone) and alone == together
+    assert read[2] * 2 <= read[0]
+
+
+def test_unit_pieces_lose_no_unit(spark):
+    said = [("1 € par KWC", "per_kwc"), ("1 € / \u212aWh", "per_kwh"), ("9 € par M²", "per_m2"),
+            ("9 €/m2", "per_m2"), ("2 € par Watt-Crête", "per_wp"), ("2 €/WP", "per_wp"),
+            ("100 € PAR AN", "per_year"), ("3 %", "percent"), ("AU TOTAL", "total"),
+            ("Inve\u017ftissement", "total"), ("\u0131nvestissement", "total"), ("Budget", "total")]
+    rows = spark.createDataFrame(said, "body string, unit string")
+    plain = F.array_compact(F.array(*[
+        F.when(F.col("body").rlike(p), F.lit(n)) for n, p in fv.UNIT_PATTERNS]))
+    for r in rows.select("unit", classify.units(F.col("body")).alias("u"), plain.alias("p")).collect():
+        assert r.u == r.p and r.unit in r.u
