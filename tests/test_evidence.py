@@ -323,3 +323,28 @@ def test_nothing_is_cut_beyond_the_old_limits(spark):
             f"\n\nParagraphe {n}." for n in range(80)))], "draft_id int, body string")
     found = sections.sections(draft).collect()
     assert max(len(r["items"] or []) for r in found) == 70 and len(found) >= 81
+
+
+def test_few_claims_are_met_beside_the_passages(spark, solar, monkeypatch):
+    """Neither way loses or doubles a pair, and only the join on keys shuffles passages."""
+    said = ["Le tarif prosumer coute 100 € en wallonie", "la garantie onduleur dure 5 ans",
+            "puissance installee batterie toiture cable", "compteur digital prime",
+            "onduleur batterie neuve maison verte"]
+    claims = matching.concepts(spark.createDataFrame(
+        [(1, str(i), c) for i, c in enumerate(said)],
+        "package_id int, claim_id string, claim string"), "claim", solar).cache()
+    found = matching.concepts(spark.createDataFrame(
+        [(1, str(i), i % 2, f"{said[i % 4]} texte{i} {said[i * 7 % 4]}.") for i in range(700)],
+        "package_id int, source_ref string, passage_ord int, passage string"),
+        "passage", solar).cache()
+
+    def rows(refused):
+        return sorted(map(str, matching.match(claims, found, solar, refused).collect()))
+
+    beside, met = rows(True), rows(False)
+    monkeypatch.setattr(matching, "_postings", None)
+    assert rows(True) == beside
+    monkeypatch.undo()
+    monkeypatch.setattr(matching, "FEW_CLAIMS", 0)
+    assert rows(True) == beside and rows(False) == met
+    assert len(set(beside)) == len(beside) >= len(met) >= 700
