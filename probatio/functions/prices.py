@@ -16,8 +16,16 @@ def _amounts(text: Column, pattern: str) -> Column:
         lambda a: a.isNotNull())
 
 
-def _three_way(text: Column, yes: str, no: str) -> Column:
-    return F.when(text.rlike(yes), F.lit(True)).when(text.rlike(no), F.lit(False))
+def _holds(lower: Column, pieces: tuple[str, ...]) -> Column:
+    test = F.lit(False)
+    for piece in pieces:
+        test = test | lower.contains(piece)
+    return test
+
+
+def _states(body: Column, lower: Column, pattern: str, pieces: tuple[str, ...]) -> Column:
+    """Whether the pattern matches; it runs only on texts that hold a piece of it."""
+    return _holds(lower, pieces) & body.rlike(pattern)
 
 
 def with_price_context(texts: DataFrame, column: str, name: str = "price") -> DataFrame:
@@ -29,28 +37,40 @@ def with_price_context(texts: DataFrame, column: str, name: str = "price") -> Da
     body = F.coalesce(F.col(column), F.lit(""))
     amounts = F.array_sort(F.array_distinct(F.concat(
         _amounts(body, fv.AMOUNT_PATTERN), _amounts(body, fv.AMOUNT_PREFIX_PATTERN))))
+    lower = F.col("_lower")
     basis = F.coalesce(
-        *[F.when(body.rlike(p), F.lit(label)) for label, p in fv.BASIS_PATTERNS],
-        F.when(body.rlike(fv.TOTAL_WORDS_PATTERN), F.lit("TOTAL")), F.lit("UNKNOWN"))
-    vat = (F.when(body.rlike(fv.VAT_INCLUDED_PATTERN), "INCLUDED")
-           .when(body.rlike(fv.VAT_EXCLUDED_PATTERN), "EXCLUDED").otherwise("UNKNOWN"))
-    sizes = F.concat(
+        *[F.when(_states(body, lower, p, fv.BASIS_PIECES[label]), F.lit(label))
+          for label, p in fv.BASIS_PATTERNS],
+        F.when(_states(body, lower, fv.TOTAL_WORDS_PATTERN, fv.TOTAL_WORDS_PIECES),
+               F.lit("TOTAL")), F.lit("UNKNOWN"))
+    vat = (F.when(_states(body, lower, fv.VAT_INCLUDED_PATTERN, fv.VAT_INCLUDED_PIECES), "INCLUDED")
+           .when(_states(body, lower, fv.VAT_EXCLUDED_PATTERN, fv.VAT_EXCLUDED_PIECES), "EXCLUDED")
+           .otherwise("UNKNOWN"))
+    battery = (
+        F.when(_states(body, lower, fv.BATTERY_IN_PATTERN, fv.BATTERY_PIECES), F.lit(True))
+        .when(_states(body, lower, fv.BATTERY_OUT_PATTERN, fv.BATTERY_PIECES), F.lit(False)))
+    installed = (
+        F.when(_states(body, lower, fv.INSTALLATION_IN_PATTERN, fv.INSTALLATION_IN_PIECES),
+               F.lit(True))
+        .when(_states(body, lower, fv.INSTALLATION_OUT_PATTERN, fv.INSTALLATION_OUT_PIECES),
+              F.lit(False)))
+    sized = _holds(lower, fv.SYSTEM_SIZE_PIECES)
+    sizes = F.when(sized, F.concat(
         F.regexp_extract_all(body, F.lit(fv.SYSTEM_SIZE_PATTERN), F.lit(1)),
         F.regexp_extract_all(body, F.lit(fv.SYSTEM_SIZE_PATTERN), F.lit(2)))
+    ).otherwise(text.string_array([]))
     sizes = F.array_sort(F.array_distinct(F.filter(
         F.transform(sizes, lambda s: F.regexp_replace(s, ",", ".").try_cast("double")),
         lambda s: s.isNotNull())))
     priced = F.size("_amounts") > 0
-    found = text.once(texts, _amounts=F.when(body.rlike("[0-9]"), amounts))
+    found = text.once(texts, _amounts=F.when(body.rlike("[0-9]"), amounts), _lower=F.lower(body))
     read = text.once(
         found,
         _basis=F.when(priced, basis),
         _vat=F.when(priced, vat),
         _sizes=F.when(priced, sizes),
-        _battery=F.when(priced, _three_way(
-            body, fv.BATTERY_IN_PATTERN, fv.BATTERY_OUT_PATTERN)),
-        _installed=F.when(priced, _three_way(
-            body, fv.INSTALLATION_IN_PATTERN, fv.INSTALLATION_OUT_PATTERN)),
+        _battery=F.when(priced, battery),
+        _installed=F.when(priced, installed),
     )
     context = F.struct(
         F.col("_amounts").alias("amounts"),
@@ -64,7 +84,7 @@ def with_price_context(texts: DataFrame, column: str, name: str = "price") -> Da
         (F.col("_basis") != "UNKNOWN").alias("usable"),
     )
     return read.withColumn(name, F.when(priced, context)).drop(
-        "_amounts", "_basis", "_vat", "_sizes", "_battery", "_installed")
+        "_amounts", "_lower", "_basis", "_vat", "_sizes", "_battery", "_installed")
 
 
 def _plain_number(value: Column) -> Column:

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from probatio import fixed_values as fv
 from probatio.functions import contacts, keys, numerics, text
 from probatio.functions.rounding import round_tenth
 from probatio.operators import passages
@@ -97,3 +98,60 @@ def test_claims_keep_the_digits_they_begin_with(spark):
     assert said[1:3] == ["148 foyers sur la côte est reçoivent une aide.",
                          "2024 est une année sans aucune aide publique"]
     assert said[3].startswith("3 kWc coûtent")
+
+
+def test_white_space_is_squeezed_as_before(spark):
+    rng = random.Random(11)
+    samples = ["".join(rng.choices("ab É   \t\n\r\x0b\x0c\x1c.", k=30)) for _ in range(300)]
+    whole = column(spark, samples, lambda c: F.trim(F.regexp_replace(text.fold(c), r"\s+", " ")))
+    assert column(spark, samples, text.normalise) == whole
+    assert column(spark, samples, text.squeeze) == column(spark, samples, lambda c: F.trim(
+        F.regexp_replace(F.translate(c, text._WIDE_SPACES, " " * len(text._WIDE_SPACES)),
+                         r"\s+", " ")))
+
+
+def test_single_spaces_are_no_match_to_replace():
+    assert not re.search(text._UNEVEN, "one space between words")
+    assert re.sub(text._UNEVEN, " ", "a \t b\nc  d") == "a b c d"
+
+
+def test_figure_pieces_stand_in_every_match(monkeypatch):
+    samples = ["1,5 € par Wc", "2 EUROS/KWH", "3 eur par m²", "20 %", "$ 5", "7 Cents", "9 KWc", "1 MW",
+               "3 watt-crête", "4 GWh", "5 ans", "6 Années", "7 MOIS", "2 jaar", "3 Years", "9 jours",
+               "1/2/2024", "2024-01-02", "1.2.24", "en 2024", "tranche 3", "5 Kwh", "1 MẄ", "x"]
+    with_pieces = [numerics.read_quantities(s, numerics.compiled_patterns()) for s in samples]
+    monkeypatch.setattr(fv, "NUMERIC_PIECES", {})
+    assert with_pieces == [numerics.read_quantities(s, numerics.compiled_patterns()) for s in samples]
+
+
+def test_figures_skip_patterns_without_a_piece():
+    class Never:
+        def finditer(self, _):
+            raise AssertionError("a text without the piece is not searched")
+
+    assert numerics.read_quantities("en 2024", [("PERCENT", Never(), ("%",))]) == []
+
+
+def test_terms_that_hold_another_term_are_not_searched(spark):
+    terms = ["entre", "varie entre", "compris entre", "tarif"]
+    assert str(text.contains_any(F.col("t"), terms)).count("contains") == 2
+    assert column(spark, ["il varie entre", "rentre", "x", "tarifs"],
+                  lambda c: text.contains_any(c, terms)) == [True, True, False, True]
+
+
+def test_price_pieces_stand_in_every_match():
+    texts = ["10 € par kWc", "par KWp", "/ watt-crête", "par m²", "/m2", "par KWH", "par An", "le panneau seul",
+             "panneau solaire revient", "installation", "BUDGET", "au total", "investissement", "TVAC", "ttc",
+             "btw inbegrepen", "incl. TVA", "hors taxes", "exclusief BTW", "5 kWc", "3-6 kwp", "avec batterie",
+             "met batterij", "batterie en option", "pose comprise", "CLÉ EN MAIN", "tout compris", "hors pose",
+             "matériel seul", "panneau seul", "hors installation"]
+    named = [*[(p, fv.BASIS_PIECES[n]) for n, p in fv.BASIS_PATTERNS],
+             (fv.TOTAL_WORDS_PATTERN, fv.TOTAL_WORDS_PIECES), (fv.VAT_INCLUDED_PATTERN, fv.VAT_INCLUDED_PIECES),
+             (fv.VAT_EXCLUDED_PATTERN, fv.VAT_EXCLUDED_PIECES), (fv.SYSTEM_SIZE_PATTERN, fv.SYSTEM_SIZE_PIECES),
+             (fv.BATTERY_IN_PATTERN, fv.BATTERY_PIECES), (fv.BATTERY_OUT_PATTERN, fv.BATTERY_PIECES),
+             (fv.INSTALLATION_IN_PATTERN, fv.INSTALLATION_IN_PIECES),
+             (fv.INSTALLATION_OUT_PATTERN, fv.INSTALLATION_OUT_PIECES)]
+    for pattern, pieces in named:
+        # Python has no flag U inside a pattern that turns classes to Unicode; they are already.
+        found = [t for t in texts if re.search(pattern.replace("(?iU)", "(?i)"), t)]
+        assert found and all(any(p in t.lower() for p in pieces) for t in found)
