@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from probatio import fixed_values as fv
 from probatio.functions import prices, text
 from probatio.profiles import Profile
+from probatio.session import shuffled
 
 COMPARABLE = ["basis", "vat_status", "currency", "battery_included",
               "installation_included"]
@@ -66,7 +67,7 @@ def price_answers(evaluated: DataFrame) -> DataFrame:
 def price_gap(packages: DataFrame, evaluated: DataFrame, profile: Profile) -> DataFrame:
     """Price questions that ended with no usable, supported figure."""
     return packages.where(is_price_query(F.col("query"), profile)).join(
-        price_answers(evaluated).select("package_id").distinct(), "package_id",
+        shuffled(price_answers(evaluated).select("package_id").distinct()), "package_id",
         "left_anti")
 
 

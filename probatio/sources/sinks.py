@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probatio import fixed_values as fv
+from probatio.session import shuffled
 
 
 def source_rows(sources: DataFrame, outcomes: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def evidence_rows(evaluated: DataFrame, sources: DataFrame) -> DataFrame:
 def passage_rows(references: DataFrame, sources: DataFrame) -> DataFrame:
     """One row per (claim, source) reference."""
     known = sources.select("package_id", "source_ref").distinct()
-    return references.join(known, ["package_id", "source_ref"], "left_semi").select(
+    return references.join(
+        shuffled(known), ["package_id", "source_ref"], "left_semi").select(
         "package_id", "claim_id", "source_ref",
         "passage", "supports",
         "agrees", "observation_status", "source_quality",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF
 from probatio import fixed_values as fv
-from probatio.operators import classify, evidence, matching, package, research
+from probatio.operators import (classify, evidence, matching, package, prices as prices_of,
+                                research)
 from probatio.plans.catalog import offers
 from probatio.plans.evidence_run import EvidenceRun
 from probatio.functions import prices, text
@@ -248,3 +249,25 @@ def test_unit_pieces_lose_no_unit(spark):
         F.when(F.col("body").rlike(p), F.lit(n)) for n, p in fv.UNIT_PATTERNS]))
     for r in rows.select("unit", classify.units(F.col("body")).alias("u"), plain.alias("p")).collect():
         assert r.u == r.p and r.unit in r.u
+
+
+def test_rows_that_grow_with_the_data_are_not_broadcast(spark):
+    """Small files hold many equal rows: what Spark takes for small is joined by sorting."""
+    run = offers._run(spark, SF)
+    packages = run.claims.select("package_id", F.lit("prix").alias("query")).distinct()
+    gaps = packages.select("package_id")
+    planned = {
+        "offers": offers.offers(spark, SF),
+        "per_distinct": text.per_distinct(offers.part_claims(spark, SF), ["claim"], lambda t: t),
+        "within": matching._match_within(run.claims, run.passages, PROFILE, False),
+        "pairs": matching.match_pairs(run.matches.select(
+            "package_id", "claim_id", "source_ref", "passage_ord"), run.claims, run.passages,
+            PROFILE),
+        "references": run.references, "evaluated": run.evaluated,
+        "spread": matching.figure_spread(run.claims, run.passages),
+        "blocked": evidence.blocked_claims(run.claims.withColumn(
+            "evidence_status", F.lit("UNSUPPORTED")), gaps),
+        "gap": prices_of.price_gap(packages, run.evaluated, PROFILE),
+        "sink": sinks.passage_rows(run.references, run.sources)}
+    for name, rows in planned.items():
+        assert "Broadcast" not in rows._jdf.queryExecution().sparkPlan().toString(), name
