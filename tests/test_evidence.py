@@ -348,3 +348,32 @@ def test_few_claims_are_met_beside_the_passages(spark, solar, monkeypatch):
     monkeypatch.setattr(matching, "FEW_CLAIMS", 0)
     assert rows(True) == beside and rows(False) == met
     assert len(set(beside)) == len(beside) >= len(met) >= 700
+
+
+def test_only_pairs_that_may_matter_are_shuffled(spark, solar):
+    """Random texts: what shares too little goes inside the join, and no match with it."""
+    rng = random.Random(7)
+    words = ["tarif prosumer", "batteries", "onduleur", "garantie", "toiture", "puissance",
+             "cables", "rendement", "wallonie", "100 €", "5 ans", "puissance installee",
+             "compteur", "digital", "classs", "maison", "vert", "neuf", "chantiers", "reseau"]
+
+    def sentence(n):
+        return " ".join(rng.choice(words) for _ in range(n)) + "."
+
+    claims = matching.concepts(spark.createDataFrame(
+        [(i % 2, str(i), sentence(rng.randint(1, 9))) for i in range(120)],
+        "package_id int, claim_id string, claim string"), "claim", solar).cache()
+    found = matching.concepts(spark.createDataFrame(
+        [(i % 2, str(i // 4), i % 4, sentence(rng.randint(2, 12))) for i in range(240)],
+        "package_id int, source_ref string, passage_ord int, passage string"),
+        "passage", solar).cache()
+    ids = ["package_id", "claim_id", "source_ref", "passage_ord"]
+    every = claims.select("package_id", "claim_id").join(
+        found.select("package_id", "source_ref", "passage_ord"), "package_id")
+    brute = matching.match_pairs(every, claims, found, solar, refused=False)
+    met = matching.candidates(claims, found, solar)
+    kept = matching.candidates(claims, found, solar, refused=False)
+    matched = {tuple(r) for r in brute.select(*ids).collect()}
+    pairs = [tuple(r) for r in kept.collect()]
+    assert len(pairs) == len(set(pairs)) and matched <= set(pairs)
+    assert len(pairs) * 1.5 < met.count()

@@ -19,3 +19,13 @@ def test_gated_run_reads_relevant_sources_only(spark):
     assert said and len({k[0] for k in said}) > 1 and said <= cut <= relevant
     home = {ref: package for package, ref in status}
     assert all(home[r.source_ref] == r.package_id for r in run.references.collect())
+
+
+def test_only_relevant_texts_are_stored(spark):
+    labels, _ = evidence_run.gated_labels(spark, SF, PROFILE, 2024)
+    kept = {(r.package_id, r.source_ref): r.body for r in labels.collect()}
+    gated, _ = evidence_run.gated_tables(spark, SF, PROFILE, 2024)
+    rows = gated.collect()
+    assert len(rows) == len(kept) and any(body is None for body in kept.values())
+    assert all(kept[r.package_id, r.source_ref] == (
+        r.body if r.relevance_status == "RELEVANT" else None) for r in rows)
